@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, packing, sharding, token_output
 from .common import table
 
 
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read_digest(token_output.write_ids(table(spark, sf_dir, "documents")))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -19,7 +27,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_mix_sources, op9_shard)}
+    return {f.__name__: f for f in (op1_pack, op3_token_ids, op8_mix_sources, op9_shard)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,31 +39,28 @@ class Topology:
         return sum(len(rack) for region in self.regions for rack in region)
 
 
-def _pick(children: list[tuple[str, float, Column]], key: Column) -> Column:
-    """The value of the child with the smallest draw; a child without weight never wins."""
-    children = [c for c in children if c[1] > 0]
-    if not children:
-        return F.lit(None).cast("int")
-    if len(children) == 1:
-        return children[0][2]
-    draws = [F.struct((-F.log(unit_hash(key, F.lit(name))) / F.lit(weight)).alias("d"), F.lit(i).alias("i")) for i, (name, weight, _) in enumerate(children)]
-    best = F.array_min(F.array(*draws))["i"]
-    out = F.lit(None).cast("int")
-    for i, (_, _, value) in enumerate(children):
-        out = F.when(best == i, value).otherwise(out)
-    return out
-
-
-def shard_of(key: Column, topology: Topology) -> Column:
-    """The shard of a key; a null key is a key like any other."""
-    regions = []
-    for i, region in enumerate(topology.regions):
-        racks = []
-        for j, rack in enumerate(region):
-            leaves = [(f"shard {s}", w, F.lit(s)) for s, w in rack]
-            racks.append((f"rack {i}/{j}", sum(w for _, w in rack), _pick(leaves, key)))
-        regions.append((f"region {i}", sum(w for _, w, _ in racks), _pick(racks, key)))
-    return _pick(regions, key).cast("int")
+def _pick(children: list[tuple[str, float]], key: Column) -> Column:
+    """The number of the child with the smallest draw; a child without weight never wins."""
+    able = [i for i, (_, weight) in enumerate(children) if weight > 0]
+    if len(able) < 2:
+        return F.lit(able[0] if able else None).cast("int")
+    draws = [F.struct((-F.log(unit_hash(key, F.lit(children[i][0]))) / F.lit(float(children[i][1]))).alias("d"), F.lit(i).alias("i")) for i in able]
+    return F.array_min(F.array(*draws))["i"]
+
+
+def descend(df: DataFrame, key: str, topology: Topology, out: str) -> DataFrame:
+    """df with the shard of column ``key`` as ``out``; one level of the tree a projection."""
+    region, rack = f"_{out}_region", f"_{out}_rack"
+    weight = lambda racks: sum(w for r in racks for _, w in r)
+    k = F.col(key)
+    at_rack = at_shard = F.lit(None).cast("int")
+    for i, racks in enumerate(topology.regions):
+        at_rack = F.when(F.col(region) == i, _pick([(f"rack {i}/{j}", weight([r])) for j, r in enumerate(racks)], k)).otherwise(at_rack)
+        for j, leaves in enumerate(racks):
+            chosen = F.element_at(F.array(*(F.lit(s) for s, _ in leaves)), _pick([(f"shard {s}", w) for s, w in leaves], k) + 1)
+            at_shard = F.when((F.col(region) == i) & (F.col(rack) == j), chosen).otherwise(at_shard)
+    found = df.withColumn(region, _pick([(f"region {i}", weight(racks)) for i, racks in enumerate(topology.regions)], k))
+    return found.withColumn(rack, at_rack).withColumn(out, at_shard).drop(region, rack)
 
 
 def shard(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topology: Topology | None = None) -> DataFrame:
@@ -81,10 +78,10 @@ def shard(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topo
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        shard_of(key, topology).alias("shard"),
-        shard_of(key, topology.grown()).alias("grown_shard"),
+        key.alias("_key"),
         F.pmod(F.xxhash64(key, F.crc32(text)), F.lit(SALTS)).cast("int").alias("_salt"),
     )
+    rows = descend(descend(rows, "_key", topology, "shard"), "_key", topology.grown(), "grown_shard").drop("_key")
     before = Window.partitionBy("shard").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("shard", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -96,4 +93,5 @@ def shard(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topo
 def write_shards(df: DataFrame, path: str, *, id_col: str = "doc_id", topology: Topology | None = None) -> None:
     """Write df's rows as Parquet, one folder a shard."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    df.withColumn("shard", shard_of(key, topology or Topology.even())).repartition("shard", F.pmod(F.xxhash64(key), F.lit(16))).write.partitionBy("shard").parquet(path)
+    placed = descend(df.withColumn("_key", key), "_key", topology or Topology.even(), "shard")
+    placed.repartition("shard", F.pmod(F.xxhash64("_key"), F.lit(16))).drop("_key").write.partitionBy("shard").parquet(path)
