@@ -31,7 +31,7 @@ from .tokens import encoder
 
 CAPACITY = 4096
 SALTS = 64
-BLOCK_BITS = 12
+BLOCK_BITS = 9
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:

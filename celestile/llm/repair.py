@@ -1,8 +1,8 @@
 """Re-Pair grammar compression of id sequences.
 
-Each round counts the adjacent pairs of a shard, gives the most frequent ones a
-nonterminal each and replaces their occurrences from left to right, until no pair is
-frequent enough.  Pairs of one round share no symbol with each other where that matters:
+Each round counts the adjacent pairs of a shard, gives up to PAIRS_A_ROUND of the most frequent ones a
+nonterminal each and replaces their occurrences, until no pair is frequent enough or
+ROUNDS are done.  Pairs of one round share no symbol with each other where that matters:
 a pair is only taken if its occurrences can't overlap with those of another of the round.
 A rule names two earlier symbols; rules carry the length of their expansion, so that any
 place of the text is found without expanding what stands before it.
@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-ROUNDS = 6
+ROUNDS = 3
 LEAST = 16
-PAIRS_A_ROUND = 512
+PAIRS_A_ROUND = 2048
+SLOTS_A_ROUND = 4096
 HASH_BITS = 18
 
 
@@ -31,17 +32,28 @@ class Grammar:
     body: np.ndarray
 
 
-def _counts(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent pairs as (left, right, count); counted by hash first, then exactly."""
-    key = (body[:-1].astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (body[1:].astype(np.uint32) * np.uint32(0x85EBCA77))
-    slot = key >> np.uint32(32 - HASH_BITS)
-    often = np.bincount(slot, minlength=1 << HASH_BITS) >= LEAST
+def _slots(body: np.ndarray) -> np.ndarray:
+    """A hash of each adjacent pair."""
+    key = body[:-1] * np.uint32(0x9E3779B1)
+    key ^= body[1:] * np.uint32(0x85EBCA77)
+    key >>= np.uint32(32 - HASH_BITS)
+    return key.view(np.int32)
+
+
+def _frequent(body: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pair of each of the fullest slots, as (slot, place of an occurrence, exact count), most frequent first."""
+    full = np.bincount(slot, minlength=1 << HASH_BITS)
+    often = full >= max(LEAST, int(np.partition(full, -SLOTS_A_ROUND)[-SLOTS_A_ROUND]))
     at = np.flatnonzero(often[slot])
-    pair = (body[at].astype(np.uint64) << np.uint64(32)) | body[at + 1].astype(np.uint64)
-    pair, n = np.unique(pair, return_counts=True)
-    keep = n >= LEAST
-    pair, n = pair[keep], n[keep]
-    return (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32), n
+    own = slot[at]
+    place = np.zeros(1 << HASH_BITS, np.int64)
+    place[own] = at
+    seen = place[own]
+    same = (body[at] == body[seen]) & (body[at + 1] == body[seen + 1])
+    count = np.bincount(own[same], minlength=1 << HASH_BITS)
+    slots = np.flatnonzero(count >= LEAST)
+    slots = slots[np.argsort(-count[slots], kind="stable")]
+    return slots, place[slots], count[slots]
 
 
 def compress(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> Grammar:
@@ -54,35 +66,31 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> Grammar:
     for _ in range(rounds):
         if len(body) < 2 * LEAST:
             break
-        a, b, n = _counts(body)
-        order = np.lexsort((b, a, -n))
+        slot = _slots(body)
+        slots, place, _ = _frequent(body, slot)
+        a, b = body[place].tolist(), body[place + 1].tolist()
         lefts: set[int] = set()
         rights: set[int] = set()
-        taken = []
-        for i in order.tolist():
-            x, y = int(a[i]), int(b[i])
+        taken: list[int] = []
+        for i, (p, q) in enumerate(zip(a, b, strict=True)):
             # no symbol ends one pair and begins another: occurrences never overlap
-            if x != y and x not in rights and y not in lefts:
-                lefts.add(x)
-                rights.add(y)
+            if p != q and p not in rights and q not in lefts:
+                lefts.add(p)
+                rights.add(q)
                 taken.append(i)
                 if len(taken) == PAIRS_A_ROUND:
                     break
         if not taken:
             break
-        x, y = a[taken], b[taken]
-        keys = (x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64)
-        sort = np.argsort(keys)
-        is_left = np.zeros(free, bool)
-        is_left[x] = True
-        is_right = np.zeros(free, bool)
-        is_right[y] = True
-        at = np.flatnonzero(is_left[body[:-1]] & is_right[body[1:]])
-        found = (body[at].astype(np.uint64) << np.uint64(32)) | body[at + 1].astype(np.uint64)
-        place = np.minimum(np.searchsorted(keys[sort], found), len(keys) - 1)
-        hit = keys[sort][place] == found
-        at, rule = at[hit], sort[place[hit]]
-        body[at] = (free + rule).astype(np.uint32)
+        x, y = body[place[taken]], body[place[taken] + 1]
+        rule_of = np.full(1 << HASH_BITS, -1, np.int16)
+        rule_of[slots[taken]] = np.arange(len(taken))
+        rule = rule_of[slot]
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at]
+        hit = (body[at] == x[rule]) & (body[at + 1] == y[rule])
+        at, rule = at[hit], rule[hit]
+        body[at] = (free + rule.astype(np.int64)).astype(np.uint32)
         stay = np.ones(len(body), bool)
         stay[at + 1] = False
         body = body[stay]
@@ -103,20 +111,29 @@ def lengths(grammar: Grammar) -> np.ndarray:
     return out
 
 
+def _expansions(grammar: Grammar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of every symbol, one after another, with each symbol's place and length there."""
+    size = np.concatenate([np.ones(grammar.first_rule, np.int64), grammar.span])
+    place = np.cumsum(size) - size
+    ids = np.empty(int(size.sum()), np.uint32)
+    ids[: grammar.first_rule] = np.arange(grammar.first_rule, dtype=np.uint32)
+    for k, (x, y) in enumerate(zip(grammar.left.tolist(), grammar.right.tolist(), strict=True)):
+        to = int(place[grammar.first_rule + k])
+        middle = to + int(size[x])
+        ids[to:middle] = ids[place[x] : place[x] + size[x]]
+        ids[middle : middle + size[y]] = ids[place[y] : place[y] + size[y]]
+    return ids, place, size
+
+
 def expand(grammar: Grammar, symbols: np.ndarray | None = None) -> np.ndarray:
     """The ids of symbols, or of the whole body."""
-    out = (grammar.body if symbols is None else symbols).astype(np.uint32)
-    while len(at := np.flatnonzero(out >= grammar.first_rule)):
-        rule = out[at] - grammar.first_rule
-        wide = np.ones(len(out), np.int64)
-        wide[at] = 2
-        start = np.cumsum(wide) - wide
-        new = np.empty(int(wide.sum()), np.uint32)
-        new[start] = out
-        new[start[at]] = grammar.left[rule]
-        new[start[at] + 1] = grammar.right[rule]
-        out = new
-    return out
+    symbols = grammar.body if symbols is None else symbols
+    ids, place, size = _expansions(grammar)
+    n = size[symbols]
+    shift = place[symbols] - (np.cumsum(n) - n)
+    at = np.repeat(shift, n)
+    at += np.arange(len(at))
+    return ids[at]
 
 
 def read(grammar: Grammar, start: int, length: int) -> np.ndarray:

@@ -4,7 +4,7 @@ The tokenizer drops white space, so the ids of a text are those of its pieces be
 spaces, one after another.  Pieces repeat; each worker keeps the ids of up to
 CACHE_PIECES of them and starts anew beyond that.  Unknown pieces are encoded many at a
 time, with the end-of-text token between them, which is an added token and so never
-merges with its neighbours; pieces that could hold such a token are encoded alone.
+merges with its neighbours; texts that could hold such a token are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 
 CACHE_PIECES = 700_000
 SEPARATOR = "<|endoftext|>"
+TEXTS_AT_ONCE = 128
 
 
 def default_vocabulary() -> str:
@@ -32,40 +33,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if "<|" not in p] if self.separator is not None else []
-        odd = [p for p in pieces if "<|" in p] if plain else pieces
-        groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        if groups:
+        self.cache: dict[bytes, bytes] = {}
+        self.marks = {m: self._whole(m.decode()) for m in (b".", b",")}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Put the ids of pieces into the cache.
+
+        A full stop or comma after Latin letters is a word of its own for the
+        tokenizer: such a piece has the ids of its letters, then those of the mark.
+        """
+        cache, marked, plain = self.cache, [], []
+        for piece in pieces:
+            if piece[-1:] in self.marks and (letters := piece[:-1].decode()).isalpha() and max(letters) < "\u0250":
+                marked.append(piece)
+                if piece[:-1] not in cache and piece[:-1] not in pieces:
+                    plain.append(letters)
+            else:
+                plain.append(piece.decode())
+        if self.separator is None:
+            cache.update((p.encode(), self._whole(p)) for p in plain)
+        else:
+            groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
             for group, found in zip(groups, self.tokenizer.encode_batch_fast([SEPARATOR.join(g) for g in groups], add_special_tokens=False), strict=True):
                 ids = np.array(found.ids, dtype="<u4")
-                ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
-                if len(ends) != len(group):
-                    odd += group
-                    continue
+                ends = np.append(np.flatnonzero(ids == self.separator), len(ids)).tolist()
                 raw, start = ids.tobytes(), 0
-                for piece, end in zip(group, ends.tolist(), strict=True):
-                    self.cache[piece] = raw[4 * start : 4 * end]
+                for piece, end in zip(group, ends, strict=True):
+                    cache[piece.encode()] = raw[4 * start : 4 * end]
                     start = end + 1
-        for piece in odd:
-            self.cache[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for piece in marked:
+            cache[piece] = cache[piece[:-1]] + self.marks[piece[-1:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         out: list[bytes] = []
-        step = 64
-        for i in range(0, len(split), step):
-            part = split[i : i + step]
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            split = []
+            for text in texts[i : i + TEXTS_AT_ONCE]:
+                raw = (text or "").encode()
+                # lower case as the tokenizer's own, for ASCII; but added tokens are found before it
+                split.append(raw.lower().replace(b"\n", b" ").split(b" ") if b"<|" not in raw else text)
             cache = self.cache
-            missing = {p for pieces in part for p in pieces if p not in cache}
+            missing = {p for pieces in split if type(pieces) is list for p in pieces if p not in cache}
             if missing:
-                if len(cache) + len(missing) > CACHE_PIECES:
+                if len(cache) + 2 * len(missing) > CACHE_PIECES:
                     cache.clear()
-                    missing = {p for pieces in part for p in pieces}
-                self._learn(list(missing))
-            out += [b"".join([cache[p] for p in pieces]) for pieces in part]
+                    missing = {p for pieces in split if type(pieces) is list for p in pieces}
+                self._learn(missing)
+            out += [b"".join([cache[p] for p in pieces]) if type(pieces) is list else self._whole(pieces) for pieces in split]
         return out
 
 
