@@ -148,7 +148,7 @@ def predict_digest(df: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def keep_identified(df: DataFrame, least_score: float = 0.4) -> DataFrame:
+def keep_identified(df: DataFrame, least_score: float = 0.3) -> DataFrame:
     """df's rows whose language can be told; ``und`` and scores below least_score go."""
     columns = df.columns
     return predict(df, train(df)).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least_score)).select(*columns)

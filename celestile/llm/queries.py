@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, token_output
+from . import langid, minhash, mixing, packing, sharding, token_output, toxicity
 from .common import table
 
 
@@ -18,6 +18,18 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digest(token_output.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -27,7 +39,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op3_token_ids, op8_mix_sources, op9_shard)}
+    return {f.__name__: f for f in (op1_pack, op3_token_ids, op4_toxicity, op5_near_duplicates, op6_language, op8_mix_sources, op9_shard)}
 
 
 def oracle_sql() -> dict[str, str]:

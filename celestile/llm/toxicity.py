@@ -140,7 +140,7 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(model)
     own = ("_grade", "_severity", "_p_toxic")
     keep = [c for c in df.columns if c not in own]
-    schema = df.select(*keep).schema.add("_grade", "int").add("_severity", "double").add("_p_toxic", "double")
+    schema = df.select(*keep).schema.add("_grade", "integer").add("_severity", "double").add("_p_toxic", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = held.value, {}

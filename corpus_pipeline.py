@@ -1,8 +1,51 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, toxicity, near-dedup, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept, which
+are written as Parquet and read again in between.  All stages but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from celestile.llm import langid, minhash, mixing, packing, toxicity
+from celestile.llm.common import save, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; texts without a letter and undecided ones go."""
+    return langid.keep_identified(docs)
+
+
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal regression doesn't find toxic; it learns from ``labels``."""
+    return toxicity.keep_civil(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return minhash.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.emit(mixing.mix(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with the sequences they lie in."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("toxicity", civil), ("near-dedup", distinct), ("mixing", mixed), ("packing", packed)]
+
+#: Language ID, regression and packing have no SQL; tests hold each stage against its definition.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
