@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import fresh, unit_hash
 
 ORDERS = (2, 3, 4)
 SLOT_BITS = 17
@@ -121,22 +121,22 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return fit([t for t, _ in found], [lang for _, lang in found])
 
 
-def predict(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """df with _lang_pred and _score.
+def predict(df: DataFrame, model: Model, *, text_col: str = "text", names: tuple[str, str] = ("_lang_pred", "_score")) -> DataFrame:
+    """df with the language and its score, named ``names``; these replace columns of the same name.
 
     Null texts and texts without a letter are ``und`` with score 0; an empty table gives
     an empty one; repeated rows get the same answer.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in df.columns if c not in ("_lang_pred", "_score")]
-    schema = df.select(*keep).schema.add("_lang_pred", "string").add("_score", "double")
+    keep = [c for c in df.columns if c not in names]
+    schema = df.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence, own = Presence(), held.value
         for batch in batches:
             found = [own.predict(t.as_py(), presence) for t in batch.column(keep.index(text_col))]
             lang, score = (pa.array([f[i] for f in found], kind) for i, kind in ((0, pa.string()), (1, pa.float64())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lang, score], names=[*keep, "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lang, score], names=[*keep, *names])
 
     return df.select(*keep).mapInArrow(run, schema)
 
@@ -150,5 +150,6 @@ def predict_digest(df: DataFrame, **options) -> DataFrame:
 
 def keep_identified(df: DataFrame, least_score: float = 0.3) -> DataFrame:
     """df's rows whose language can be told; ``und`` and scores below least_score go."""
-    columns = df.columns
-    return predict(df, train(df)).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least_score)).select(*columns)
+    lang, score = fresh(df, "_lang_pred", "_score")
+    found = predict(df, train(df), names=(lang, score))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(*df.columns)

@@ -225,12 +225,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def keep_one(df: DataFrame, **options) -> DataFrame:
     """df with one row of each class: the one with the smallest id, once.  Rows without a word or an id all stay."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    columns = df.columns
-    gone = near_duplicates(df, **options)
-    first = gone.where("doc_id is not null and text_key is not null").groupBy("doc_id", "text_key").agg(F.min("kept").alias("_kept"))
-    keyed = df.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", F.md5(F.col(text_col)))
+    marked = near_duplicates(df, **options).where("doc_id is not null and text_key is not null")
+    kept = save(marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.min("kept").alias("_kept")), "kept")
+    text = F.col(text_col)
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]") | F.col(id_col).isNull()
+    keyed = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.md5(text).alias("_key"), blank.alias("_blank"))
     same = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
-    kept = save(first.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_kept"), "kept")
-    met = keyed.join(kept, ["_id", "_key"], "left")
-    blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]") | F.col("_id").isNull()
-    return met.withColumn("_n", F.row_number().over(same)).where(blank | (F.coalesce("_kept", F.lit(True)) & (F.col("_n") == 1))).select(*columns)
+    met = keyed.join(kept, ["_id", "_key"], "left").withColumn("_n", F.row_number().over(same))
+    return met.where(F.col("_blank") | (F.coalesce("_kept", F.lit(True)) & (F.col("_n") == 1))).select("_row.*")

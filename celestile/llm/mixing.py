@@ -77,12 +77,19 @@ def mix(
     A null text has size 0; null sources form one source; a source without words has
     target 0.  Repeated rows are documents of their own, an empty table gives an empty
     one.  ``_copies`` is a long, at most cap.  Reruns agree: ranks follow size and a
-    hash of the id.  Columns that start with an underscore are the operator's own and
-    replace any of the same name.
+    hash of the id.  The four columns replace any of the same name.
     """
-    keep = [c for c in (keep or df.columns) if c not in OWN]
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = df.select(*keep, *(F.col(a).alias(b) for a, b in ((source_col, "_source"), (id_col, "_id"))), word_count(text_col).alias("_size"), digest.alias("_digest"))
+    own = ("_size", "_source_size", "_target", "_copies")
+    keep = [c for c in (keep or df.columns) if c not in own]
+    return _mix(df.select(F.struct(*keep).alias("_row"), *_inputs(id_col, text_col, source_col)), weights, cap, seed).select("_row.*", *own)
+
+
+def _inputs(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), word_count(text_col).alias("_size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_digest")]
+
+
+def _mix(rows: DataFrame, weights: Sequence[int], cap: int, seed: str) -> DataFrame:
+    """_row with _size, _source_size, _target, _copies, for _row and _inputs."""
     salt = F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int") % SALTS
     rows = rows.withColumn("_class", size_class(F.col("_size"))).withColumn("_salt", salt)
     group = ["_source", "_class", "_salt"]
@@ -99,10 +106,7 @@ def mix(
     ranked = ranked.join(placed, F.col("_source").eqNullSafe(F.col("_source_g")) & (F.col("_class") == F.col("_class_g")) & (F.col("_salt") == F.col("_salt_g")))
     upto = F.col("_before") + F.col("_rank")
     copies = F.floor(upto * F.col("_ratio") + F.col("_offset")) - F.floor((upto - 1) * F.col("_ratio") + F.col("_offset"))
-    return ranked.select(*keep, "_size", "_source_size", "_target", copies.cast("long").alias("_copies"))
-
-
-OWN = {"_size", "_source_size", "_target", "_copies", "_source", "_id", "_digest", "_class", "_salt", "_rank"}
+    return ranked.select("_row", "_size", "_source_size", "_target", copies.cast("long").alias("_copies"))
 
 
 def source_offset(seed: str, source: Column) -> Column:
@@ -111,10 +115,11 @@ def source_offset(seed: str, source: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as _copies says, without the operator's columns."""
-    cols = [c for c in mixed.columns if c not in OWN]
-    return mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*cols)
+def emit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of df as often as the mix takes it."""
+    mixed = _mix(df.select(F.struct(*df.columns).alias("_row"), *_inputs(id_col, text_col, source_col)), weights, cap, seed)
+    again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
+    return mixed.where("_copies > 0").select("_row", again).select("_row.*")
 
 
 SQL = r"""

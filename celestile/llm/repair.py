@@ -16,9 +16,9 @@ import numpy as np
 
 ROUNDS = 3
 LEAST = 16
-PAIRS_A_ROUND = 2048
-SLOTS_A_ROUND = 4096
-HASH_BITS = 18
+PAIRS_A_ROUND = 1024
+SLOTS_A_ROUND = 2048
+HASH_BITS = 16
 
 
 @dataclass

@@ -23,7 +23,7 @@ from . import repair
 from .common import save
 from .tokens import encoder
 
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 18
 TEXTS_AT_ONCE = 256
 FORMAT = (
     "part int, number int, first long, ids long, doc_ids array<bigint>, doc_lengths array<bigint>, "

@@ -2,7 +2,7 @@
 
 The tokenizer drops white space, so the ids of a text are those of its pieces between
 spaces, one after another.  Pieces repeat; each worker keeps the ids of up to
-CACHE_PIECES of them and starts anew beyond that.  Unknown pieces are encoded many at a
+CACHE_PIECES of them, in two generations of which the older one goes.  Unknown pieces are encoded many at a
 time, with the end-of-text token between them, which is an added token and so never
 merges with its neighbours; texts that could hold such a token are encoded whole.
 """
@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_000_000
 SEPARATOR = "<|endoftext|>"
 TEXTS_AT_ONCE = 128
 
@@ -34,6 +34,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.marks = {m: self._whole(m.decode()) for m in (b".", b",")}
 
     def _whole(self, text: str) -> bytes:
@@ -78,9 +79,14 @@ class Encoder:
             cache = self.cache
             missing = {p for pieces in split if type(pieces) is list for p in pieces if p not in cache}
             if missing:
-                if len(cache) + 2 * len(missing) > CACHE_PIECES:
-                    cache.clear()
+                if len(cache) + 2 * len(missing) > CACHE_PIECES // 2:
+                    self.older, self.cache = cache, {}
+                    cache = self.cache
                     missing = {p for pieces in split if type(pieces) is list for p in pieces}
+                older = self.older
+                for p in [p for p in missing if p in older]:
+                    cache[p] = older[p]
+                    missing.remove(p)
                 self._learn(missing)
             out += [b"".join([cache[p] for p in pieces]) if type(pieces) is list else self._whole(pieces) for pieces in split]
         return out

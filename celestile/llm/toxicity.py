@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import fresh, unit_hash
 
 SAMPLE = 1000
 GRAM = 5
@@ -131,16 +131,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([t for t, _ in found], [g for _, g in found])
 
 
-def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """df with _grade, _severity and _p_toxic.
+def score(df: DataFrame, model: Model, *, text_col: str = "text", names: tuple[str, str, str] = ("_grade", "_severity", "_p_toxic")) -> DataFrame:
+    """df with the grade, the expected grade and the chance of a grade above the lowest, named ``names``; these replace columns of the same name.
 
     Null texts and texts without a word get the lowest grade and 0; a model without
     labels gives 0 throughout; an empty table gives an empty one.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
-    own = ("_grade", "_severity", "_p_toxic")
-    keep = [c for c in df.columns if c not in own]
-    schema = df.select(*keep).schema.add("_grade", "integer").add("_severity", "double").add("_p_toxic", "double")
+    keep = [c for c in df.columns if c not in names]
+    schema = df.select(*keep).schema.add(names[0], "integer").add(names[1], "double").add(names[2], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = held.value, {}
@@ -162,7 +161,7 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
                     total = sum([cache[w] for w in words])
                 found.append(model.at(total / np.sqrt(len(words))))
             arrays = [pa.array([f[i] for f in found], kind) for i, kind in ((0, pa.int32()), (1, pa.float64()), (2, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*keep, *own])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*keep, *names])
 
     return df.select(*keep).mapInArrow(run, schema)
 
@@ -175,4 +174,5 @@ def score_digest(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFr
 
 def keep_civil(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """docs without the rows whose chance of a grade above the lowest is cut or more."""
-    return score(docs, train(docs, labels)).where(F.col("_p_toxic") < cut).select(*docs.columns)
+    names = tuple(fresh(docs, "_grade", "_severity", "_p_toxic"))
+    return score(docs, train(docs, labels), names=names).where(F.col(names[2]) < cut).select(*docs.columns)

@@ -45,8 +45,8 @@ def test_mix(docs, odd_docs, no_docs):
     assert sum(taken.values()) == pytest.approx(sum(want.values()), rel=0.15)
     assert sorted(got) == sorted(mixing.mix_digest(docs.repartition(7)).collect())
     mixed = mixing.mix(docs)
-    assert mixing.emit(mixed).count() == mixed.groupBy().sum("_copies").first()[0]
-    assert mixing.emit(mixed).columns == docs.columns
+    assert mixing.emit(docs).count() == mixed.groupBy().sum("_copies").first()[0]
+    assert mixing.emit(docs).columns == docs.columns
 
 
 def test_shards(docs, odd_docs, no_docs):
