@@ -8,10 +8,11 @@ Jaccard similarity.  Bands of registers give candidates, which the exact Jaccard
 similarity of the shingle sets confirms at 0.8 or more.
 
 Equal texts are one class from the start.  A bucket of a band doesn't yield all its pairs:
-its members are compared with one of them, the one that shares most buckets with others;
-what that leaves unconnected within a bucket is compared in blocks by registers, and
-pairs from different components that may reach the threshold are confirmed.  Classes are
-connected components.
+its members are compared with one of them, the one that shares most buckets with others.
+Where that leaves several components within a bucket, the bucket is compared in blocks:
+pairs from different components whose registers allow for the threshold are confirmed in
+place, until they are one, and only the links that join something leave the task.
+Classes are connected components.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ BANDS = 20
 ROWS = 5
 THRESHOLD = 0.8
 SLACK = 0.12  # three standard errors of an estimate from BANDS * ROWS registers
-BLOCK = 512
+BLOCK = 1024
 SALTS = 8
 CACHE_WORDS = 700_000
 TEXTS_AT_ONCE = 64
@@ -153,40 +154,48 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return dealt.mapInArrow(lambda x: _verify(x, threshold), "a long, b long")
 
 
-def _compare(key: tuple, group: pa.Table, least: float) -> pa.Table:
+def _compare(band: int, group: pa.Table, threshold: float) -> pa.Table:
+    """Links between different components of a block, as far as they join something new."""
     doc = group.column("doc").to_numpy()
-    comp = group.column("component").to_numpy()
-    left = group.column("left").to_numpy(zero_copy_only=False)
-    right = group.column("right").to_numpy(zero_copy_only=False)
+    left, right = (group.column(c).to_numpy() for c in ("left", "right"))
+    shingle = Shingler()
+    own = [np.unique(shingle(t)) for t in group.column("text").to_pylist()]
+    size = np.array([len(x) for x in own])
     regs = np.stack([np.frombuffer(x, np.uint16) for x in group.column("registers").to_pylist()])
-    i_s, j_s = np.flatnonzero(left), np.flatnonzero(right)
+    names, comp = np.unique(group.column("component").to_numpy(), return_inverse=True)
     a_s, b_s = [], []
-    for i in i_s:
-        js = j_s[comp[j_s] != comp[i]]
-        js = js[doc[js] > doc[i]] if key[1] == key[2] else js
-        hit = js[(regs[js] == regs[i]).mean(axis=1) >= least] if len(js) else js
-        a_s += [min(int(doc[i]), x) for x in doc[hit].tolist()]
-        b_s += [max(int(doc[i]), x) for x in doc[hit].tolist()]
+    for i in np.flatnonzero(left).tolist():
+        js = np.flatnonzero(right & (comp != comp[i]) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])))
+        equal = regs[js] == regs[i]
+        share = equal.mean(axis=1)
+        # a pair that meets in several bands is compared in the first
+        ok = (share >= threshold - SLACK) & (equal.reshape(len(js), BANDS, ROWS).all(2).argmax(1) == band)
+        js, share = js[ok], share[ok]
+        for j in js[np.argsort(-share)].tolist():
+            if comp[i] == comp[j]:
+                continue
+            at = np.minimum(np.searchsorted(own[i], own[j]), size[i] - 1)
+            both = int((own[i][at] == own[j]).sum())
+            if both >= threshold * (size[i] + size[j] - both) - 1e-9:
+                a_s.append(int(doc[i]))
+                b_s.append(int(doc[j]))
+                comp[comp == comp[j]] = comp[i]
     return pa.table({"a": pa.array(a_s, pa.int64()), "b": pa.array(b_s, pa.int64())})
 
 
-def _rest(members: DataFrame, found: DataFrame, reps: DataFrame, threshold: float) -> DataFrame | None:
-    """Pairs from different components within a bucket that may reach the threshold; None if no bucket has two components."""
+def _rest(members: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between different components within a bucket, by blocks of its members."""
     comp = members.join(found.withColumnRenamed("v", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     comp = save(comp, "members")
-    split = comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("all"))
-    # buckets with the same members are one
-    split = save(split.where("lo < hi").groupBy("n", "all").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "split")
-    if split.isEmpty():
-        return None
-    rows = comp.join(split, "key").join(reps.select(F.col("doc_id").alias("doc"), "registers"), "doc")
-    block = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    split = comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    split = split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    block = comp.join(split, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     spread = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "component", "registers",
+        "key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "component",
         (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"),
     )
-    pairs = spread.groupBy("key", "i", "j").applyInArrow(lambda k, t: _compare(tuple(x.as_py() for x in k), t, threshold - SLACK), "a long, b long")
-    return save(pairs.distinct(), "rest")
+    rows = spread.join(reps.select(F.col("doc_id").alias("doc"), "registers"), "doc").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    return save(rows.groupBy("key", "band", "i", "j").applyInArrow(lambda k, t: _compare(k[1].as_py(), t, threshold), "a long, b long"), "links")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -194,28 +203,28 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     class_id is the smallest id of the document's class, kept says that it is the
     document's own.  Null texts, texts without a word and rows of null id link with
-    nothing and are kept (their class is their id).  Repeated rows share a class; an empty table gives
+    nothing and are kept (their class is their id).  Texts under one id are classed together.  Repeated rows share a class; an empty table gives
     an empty one.  Other columns are not read.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = save(sketches(texts), "sketches")
     able = rows.where("shingles > 0 and doc_id is not null")
     reps = save(able.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers")), "texts")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-    entries = reps.select(F.col("doc_id").alias("doc"), band.alias("key"))
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    entries = reps.select(F.col("doc_id").alias("doc"), F.posexplode(band).alias("band", "key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = save(entries.join(shared, "key").select("key", "doc", "n"), "buckets")
+    members = save(entries.join(shared, "key").select("key", "band", "doc", "n"), "buckets")
     central = members.groupBy("doc").agg(F.sum("n").alias("met"))
     leaders = members.join(central, "doc").groupBy("key").agg(F.max(F.struct("met", (-F.col("doc")).alias("d"))).alias("m")).select("key", (-F.col("m.d")).alias("a"))
     pairs = members.join(leaders, "key").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
-    texts = texts.where("doc_id is not null")
+    # the texts that are compared at all are set apart once
+    compared = members.select(F.col("doc").alias("doc_id")).distinct().join(reps.select("doc_id", "text_key"), "doc_id")
+    texts = save(texts.withColumn("text_key", F.md5("text")).join(compared, ["doc_id", "text_key"]).select("doc_id", "text"), "compared")
     links = save(verify(pairs, texts, threshold), "links")
     found = components(links)
-    rest = _rest(members.select("key", "doc"), found, reps, threshold)
-    if rest is not None:
-        more = save(verify(rest, texts, threshold), "links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    more = _rest(members.select("key", "band", "doc"), found, reps, texts, threshold)
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     classes = reps.select("text_key", F.col("doc_id").alias("v")).join(found, "v", "left").select("text_key", F.coalesce("component", "v").alias("class_id"))
     met = rows.join(save(classes, "classes"), "text_key", "left")
     own = F.when((F.col("shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))

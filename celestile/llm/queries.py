@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, packing, sharding, token_output, toxicity
+from . import brown, langid, lattice, minhash, mixing, packing, sharding, token_output, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digest(token_output.write_ids(table(spark, sf_dir, "documents")))
 
@@ -38,9 +42,13 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op3_token_ids, op4_toxicity, op5_near_duplicates, op6_language, op8_mix_sources, op9_shard)}
+    return {f.__name__: f for f in (op1_pack, op2_near_vectors, op3_token_ids, op4_toxicity, op5_near_duplicates, op6_language, op8_mix_sources, op9_shard, op10_class_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": mixing.SQL}
+    return {"op2_near_vectors": lattice.SQL, "op8_mix_sources": mixing.SQL}
