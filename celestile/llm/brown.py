@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import save
@@ -37,13 +37,27 @@ CLASSES = 64
 PRIOR = 20.0
 SWEEPS = 12
 BLOCK_TOKENS = 1 << 20
-BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, held_out array<boolean>, words array<binary>, counts array<int>, tokens binary"
+BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, held_out array<boolean>, words array<binary>, counts array<int>, endings binary, tokens binary"
+SMALL = 38  # bits of a count that is moved together with the place of its word
 
 
 def _is_held_out(doc_id: int | None, parts: int, part: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % parts == part
 
 
+def _ending(word: bytes) -> int:
+    return zlib.crc32(word[-ENDING:]) % ENDINGS
+
+
+def _planes(tokens: np.ndarray) -> bytes:
+    """The lowest bytes of all tokens, then the next, and so on: the high ones compress to little."""
+    return np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _tokens(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _block(batches: Iterator[pa.RecordBatch], parts: int, part: int) -> Iterator[pa.RecordBatch]:
     first = TaskContext.get().partitionId() << 32
     number: dict[bytes, int] = {}
@@ -60,7 +74,7 @@ def _block(batches: Iterator[pa.RecordBatch], parts: int, part: int) -> Iterator
         counts = np.bincount(tokens[train], minlength=len(number))
         row = [pa.array([first + done], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([out], pa.list_(pa.bool_()))]
         offsets = pa.array([0, len(number)], pa.int32())
-        row += [pa.ListArray.from_arrays(offsets, pa.array(list(number), pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())), pa.array([tokens.astype("<u4").tobytes()])]
+        row += [pa.ListArray.from_arrays(offsets, pa.array(list(number), pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())), pa.array([bytes(_ending(w) for w in number)]), pa.array([_planes(tokens)])]
         done, held = done + 1, 0
         for x in (number, ids, sizes, out, chunks):
             x.clear()
@@ -86,7 +100,7 @@ def _block(batches: Iterator[pa.RecordBatch], parts: int, part: int) -> Iterator
 
 def symbol_of(word: bytes, core: dict[bytes, int]) -> int:
     found = core.get(word)
-    return CORE + zlib.crc32(word[-ENDING:]) % ENDINGS if found is None else found
+    return CORE + _ending(word) if found is None else found
 
 
 END = CORE + ENDINGS
@@ -110,7 +124,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch], core: dict[bytes, int]) -> Itera
             sizes = np.array(batch.column(0)[row].values.to_numpy(zero_copy_only=False), np.int64)
             held = batch.column(1)[row].values.to_numpy(zero_copy_only=False).astype(bool)
             symbols = np.array([symbol_of(w, core) for w in batch.column(2)[row].values.to_pylist()], np.int64)
-            tokens = np.frombuffer(batch.column(3)[row].as_py(), "<u4")
+            tokens = _tokens(batch.column(3)[row].as_py())
             tokens = tokens[np.repeat(~held, sizes)]
             now, _ = _sequence(symbols[tokens] if len(tokens) else tokens, sizes[~held], END)
             before = np.concatenate([[END], now[:-1]]) if len(now) else now
@@ -211,18 +225,21 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     log_all = np.log10(model.tokens + model.types + 1)
     for batch in batches:
         for row in range(batch.num_rows):
-            ids, sizes, held, words, raw, pulled = (batch.column(i)[row] for i in range(6))
+            ids, sizes, held, endings, raw, packed, large, core = (batch.column(i)[row] for i in range(8))
             sizes = np.array(sizes.values.to_numpy(zero_copy_only=False), np.int64)
-            words = words.values.to_pylist()
-            count = np.zeros(len(words) + 1, np.int64)
-            if pulled.is_valid:
-                count[pulled.values.field("pos").to_numpy()] = pulled.values.field("c").to_numpy()
+            symbol = np.append(CORE + np.frombuffer(endings.as_py(), np.uint8).astype(np.int64), END)
+            count = np.zeros(len(symbol), np.int64)
+            if packed.is_valid:
+                at = packed.values.to_numpy(zero_copy_only=False)
+                count[at >> SMALL] = at & ((1 << SMALL) - 1)
+                count[large.values.field("pos").to_numpy()] = large.values.field("c").to_numpy()
+                symbol[core.values.field("pos").to_numpy()] = core.values.field("at").to_numpy()
             count[-1] = model.texts
-            cls = np.append(model.of[[symbol_of(w, model.core) for w in words]] if words else np.zeros(0, np.int64), model.of[END]).astype(np.int64)
+            cls = model.of[symbol]
             emission = model.emission(count, cls)
             emission[-1] = 0.0
             base = np.log10(count + 1) - log_all
-            now, doc = _sequence(np.frombuffer(raw.as_py(), "<u4"), sizes, len(words))
+            now, doc = _sequence(_tokens(raw.as_py()), sizes, len(symbol) - 1)
             k = cls[now]
             before = np.concatenate([[model.of[END]], k[:-1]])
             total = lambda x, doc=doc, n=len(sizes): np.bincount(doc, x, n)
@@ -235,12 +252,17 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             )
 
 
+def _core_table(spark: SparkSession, core: dict[bytes, int]) -> DataFrame:
+    """word, at: CORE rows at most, and so broadcast."""
+    return F.broadcast(spark.createDataFrame([(bytearray(w), i) for w, i in core.items()], "word binary, at int"))
+
+
 def train(blocks: DataFrame, vocabulary: DataFrame) -> Model:
     """vocabulary: word, c of all training words."""
     top = vocabulary.orderBy(F.col("c").desc(), "word").limit(CORE).toLocalIterator()
     core = {bytes(r["word"]): i for i, r in enumerate(top)}
     spark = blocks.sparkSession
-    known = F.broadcast(spark.createDataFrame([(bytearray(w), i) for w, i in core.items()], "word binary, at int"))
+    known = _core_table(spark, core)
     symbol = F.coalesce("at", F.lit(CORE) + F.crc32(F.expr(f"substring(word, -least({ENDING}, length(word)), {ENDING})")) % ENDINGS).cast("int")
     size, once, types = np.zeros(END), np.zeros(END), 0
     for r in vocabulary.join(known, "word", "left").groupBy(symbol.alias("s")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == 1).alias("once")).toLocalIterator():
@@ -268,8 +290,14 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part
     vocabulary = save(counted.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     model = blocks.sparkSession.sparkContext.broadcast(train(blocks, vocabulary))
     asked = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    pulled = asked.join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("pulled"))
-    met = blocks.select("block", "doc_ids", "sizes", "held_out", "words", "tokens").join(pulled, "block", "left").drop("block")
+    counts = vocabulary.join(_core_table(blocks.sparkSession, model.value.core), "word", "left")
+    small = (F.col("c") < F.lit(1 << SMALL)) & (F.col("pos") < F.lit(1 << (62 - SMALL)))
+    pulled = asked.join(counts, "word").groupBy("block").agg(
+        F.collect_list(F.when(small, F.shiftleft(F.col("pos").cast("long"), SMALL) + F.col("c"))).alias("packed"),
+        F.collect_list(F.when(~small, F.struct("pos", "c"))).alias("large"),
+        F.collect_list(F.when(F.col("at").isNotNull(), F.struct("pos", "at"))).alias("core"),
+    )
+    met = blocks.select("block", "doc_ids", "sizes", "held_out", "endings", "tokens").join(pulled, "block", "left").drop("block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = met.mapInArrow(lambda x: _score(x, model.value), schema)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
