@@ -32,6 +32,7 @@ from .tokens import encoder
 CAPACITY = 4096
 SALTS = 64
 BLOCK_BITS = 9
+TEXTS_AT_ONCE = 1024
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -130,8 +131,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str | None, end_id: i
     codec = encoder(vocabulary)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
+        for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(i, TEXTS_AT_ONCE)
             rows: list[tuple] = []
             for doc, raw in zip(part.column(0).to_pylist(), codec.encode(part.column(1).to_pylist()), strict=True):
                 raw += end

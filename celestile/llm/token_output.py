@@ -24,7 +24,7 @@ from .common import save
 from .tokens import encoder
 
 SHARD_IDS = 1 << 18
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1024
 FORMAT = (
     "part int, number int, first long, ids long, doc_ids array<bigint>, doc_lengths array<bigint>, "
     "first_rule long, rule_left binary, rule_right binary, rule_span binary, body binary"

@@ -2,20 +2,31 @@
 
 The tokenizer drops white space, so the ids of a text are those of its pieces between
 spaces, one after another.  Pieces repeat; each worker keeps the ids of up to
-CACHE_PIECES of them, in two generations of which the older one goes.  Unknown pieces are encoded many at a
-time, with the end-of-text token between them, which is an added token and so never
-merges with its neighbours; texts that could hold such a token are encoded whole.
+CACHE_PIECES of them, in two generations of which the older one goes.  Texts are split and
+their distinct pieces found a chunk at a time by Arrow; ids are put together by numpy.
+
+Unknown pieces are encoded many at a time.  A piece of Latin letters is one word for the
+tokenizer, and one with a full stop or comma behind it two, so in a row of such pieces
+the tokens that end a word tell the pieces apart.  Other pieces have the end-of-text token
+between them, which is an added token and so never merges with its neighbours; texts
+that could hold such a token are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_500_000
 SEPARATOR = "<|endoftext|>"
-TEXTS_AT_ONCE = 128
+WORD_END = "</w>"
+CHUNK_BYTES = 1 << 22
+# Latin letters; not the dotted capital I, whose lower case is two characters
+_LETTERS = re.compile(r"[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+([.,]?)")
 
 
 def default_vocabulary() -> str:
@@ -24,6 +35,36 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Generation:
+    """Pieces with their ids, one after another in a pool."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ends = np.zeros(1, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+        self.used = 0
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, used = len(self.number), self.used
+        self.number.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        if len(self.ends) <= first + len(pieces):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(pieces), np.int64)])
+        if len(self.pool) < used + len(ids):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), np.uint32)])
+        np.cumsum(sizes, out=self.ends[first + 1 : first + 1 + len(pieces)])
+        self.ends[first + 1 : first + 1 + len(pieces)] += used
+        self.pool[used : used + len(ids)] = ids
+        self.used += len(ids)
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in turn, and how many each has."""
+        start = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - start
+        at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return self.pool[at], sizes
+
+
 class Encoder:
     """Text to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -33,62 +74,98 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.marks = {m: self._whole(m.decode()) for m in (b".", b",")}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends_word[number] = token.endswith(WORD_END)
+        self.now, self.older = _Generation(), _Generation()
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        """Put the ids of pieces into the cache.
+    def _rows(self, groups: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, np.uint32) for found in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
 
-        A full stop or comma after Latin letters is a word of its own for the
-        tokenizer: such a piece has the ids of its letters, then those of the mark.
-        """
-        cache, marked, plain = self.cache, [], []
+    def _learn(self, pieces: list[str]) -> None:
+        plain: list[str] = []
+        words: list[int] = []
+        others: list[str] = []
         for piece in pieces:
-            if piece[-1:] in self.marks and (letters := piece[:-1].decode()).isalpha() and max(letters) < "\u0250":
-                marked.append(piece)
-                if piece[:-1] not in cache and piece[:-1] not in pieces:
-                    plain.append(letters)
+            if found := _LETTERS.fullmatch(piece):
+                plain.append(piece)
+                words.append(2 if found[1] else 1)
             else:
-                plain.append(piece.decode())
+                others.append(piece)
+        parts = [(plain[i : i + 400], np.array(words[i : i + 400])) for i in range(0, len(plain), 400)]
+        for (group, each), ids in zip(parts, self._rows([" ".join(g) for g, _ in parts]), strict=True):
+            ends = np.flatnonzero(self.ends_word[ids])
+            # every piece has as many words at least, so equal sums mean that all have just as many
+            if len(ends) != each.sum() or (len(ends) and ends[-1] != len(ids) - 1):
+                others += group
+                continue
+            self.now.add(group, ids, np.diff(ends[np.cumsum(each) - 1] + 1, prepend=0))
         if self.separator is None:
-            cache.update((p.encode(), self._whole(p)) for p in plain)
-        else:
-            groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-            for group, found in zip(groups, self.tokenizer.encode_batch_fast([SEPARATOR.join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, dtype="<u4")
-                ends = np.append(np.flatnonzero(ids == self.separator), len(ids)).tolist()
-                raw, start = ids.tobytes(), 0
-                for piece, end in zip(group, ends, strict=True):
-                    cache[piece.encode()] = raw[4 * start : 4 * end]
-                    start = end + 1
-        for piece in marked:
-            cache[piece] = cache[piece[:-1]] + self.marks[piece[-1:]]
+            for piece in others:
+                ids = self._whole(piece)
+                self.now.add([piece], ids, np.array([len(ids)]))
+            return
+        groups = [others[i : i + 400] for i in range(0, len(others), 400)]
+        for group, ids in zip(groups, self._rows([SEPARATOR.join(g) for g in groups]), strict=True):
+            ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
+            self.now.add(group, ids[ids != self.separator], np.diff(ends, prepend=-1) - 1)
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Where the pieces stand in the generation of now; unknown ones are learned."""
+        found = list(map(self.now.number.get, pieces))
+        missing = [p for p, n in zip(pieces, found, strict=True) if n is None]
+        if not missing:
+            return np.array(found, np.int64)
+        if len(self.now.number) + len(missing) > CACHE_PIECES // 2 and self.now.number:
+            self.older, self.now = self.now, _Generation()
+            missing = pieces
+        before = self.older.number
+        kept = [p for p in missing if p in before]
+        if kept:
+            self.now.add(kept, *self.older.ids_of(np.array([before[p] for p in kept], np.int64)))
+        self._learn([p for p in missing if p not in before] if kept else missing)
+        number = self.now.number
+        return np.array([number[p] for p in pieces] if missing is pieces else [number[p] if n is None else n for p, n in zip(pieces, found, strict=True)], np.int64)
+
+    def _chunk(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of texts in lower case whose only line breaks are spaces."""
+        split = pc.split_pattern(pa.array(raw, pa.string()), " ")
+        flat = split.flatten().dictionary_encode()
+        numbers = self._numbers(flat.dictionary.to_pylist())
+        ids, sizes = self.now.ids_of(numbers[flat.indices.to_numpy()])
+        upto = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        whole = memoryview(ids.astype("<u4", copy=False).tobytes())
+        return [bytes(whole[4 * a : 4 * b]) for a, b in zip(upto, upto[1:], strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), TEXTS_AT_ONCE):
-            split = []
-            for text in texts[i : i + TEXTS_AT_ONCE]:
-                raw = (text or "").encode()
-                # lower case as the tokenizer's own, for ASCII; but added tokens are found before it
-                split.append(raw.lower().replace(b"\n", b" ").split(b" ") if b"<|" not in raw else text)
-            cache = self.cache
-            missing = {p for pieces in split if type(pieces) is list for p in pieces if p not in cache}
-            if missing:
-                if len(cache) + 2 * len(missing) > CACHE_PIECES // 2:
-                    self.older, self.cache = cache, {}
-                    cache = self.cache
-                    missing = {p for pieces in split if type(pieces) is list for p in pieces}
-                older = self.older
-                for p in [p for p in missing if p in older]:
-                    cache[p] = older[p]
-                    missing.remove(p)
-                self._learn(missing)
-            out += [b"".join([cache[p] for p in pieces]) if type(pieces) is list else self._whole(pieces) for pieces in split]
+        out: list[bytes] = [b""] * len(texts)
+        held: list[int] = []
+        raw: list[bytes] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            for i, ids in zip(held, self._chunk(raw) if raw else [], strict=True):
+                out[i] = ids
+            held.clear()
+            raw.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            own = (text or "").encode()
+            if b"<|" in own:  # added tokens are found before lower case
+                out[i] = self._whole(text).astype("<u4", copy=False).tobytes()
+                continue
+            held.append(i)
+            # lower case as the tokenizer's own, for ASCII
+            raw.append(own.lower().replace(b"\n", b" "))
+            size += len(own)
+            if size >= CHUNK_BYTES:
+                flush()
+        flush()
         return out
 
 
