@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, unit_hash
+from .common import fresh, tidy, unit_hash
 
 ORDERS = (2, 3, 4)
 SLOT_BITS = 17
@@ -138,7 +138,7 @@ def predict(df: DataFrame, model: Model, *, text_col: str = "text", names: tuple
             lang, score = (pa.array([f[i] for f in found], kind) for i, kind in ((0, pa.string()), (1, pa.float64())))
             yield pa.RecordBatch.from_arrays([*batch.columns, lang, score], names=[*keep, *names])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def predict_digest(df: DataFrame, **options) -> DataFrame:

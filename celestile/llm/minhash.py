@@ -18,6 +18,7 @@ Classes are connected components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, tidy
 from .components import components
 
 SHINGLE = 5
@@ -116,7 +117,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key (md5), number of shingles, registers of each row."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_sketch, "doc_id long, text_key string, shingles int, registers binary")
+    return rows.mapInArrow(tidy(_sketch), "doc_id long, text_key string, shingles int, registers binary")
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
         salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
     )
     dealt = need.join(texts, "doc_id").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(lambda x: _verify(x, threshold), "a long, b long")
+    return dealt.mapInArrow(partial(tidy(_verify), threshold=threshold), "a long, b long")
 
 
 def _compare(band: int, group: pa.Table, threshold: float) -> pa.Table:

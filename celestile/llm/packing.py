@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, tidy
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -146,7 +146,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str | None, end_id: i
 def pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the pieces of each document; a null text counts as empty."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(partial(_pieces, vocabulary=vocabulary, end_id=end_id, capacity=capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(partial(tidy(_pieces), vocabulary=vocabulary, end_id=end_id, capacity=capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(df: DataFrame, **options) -> DataFrame:

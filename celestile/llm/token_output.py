@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repair
-from .common import save
+from .common import save, tidy
 from .tokens import encoder
 
 SHARD_IDS = 1 << 18
@@ -68,7 +68,7 @@ def write_ids(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return save(dealt.mapInArrow(partial(_write, vocabulary=vocabulary, end_id=end_id, shard_ids=shard_ids), FORMAT), "token_ids")
+    return save(dealt.mapInArrow(partial(tidy(_write), vocabulary=vocabulary, end_id=end_id, shard_ids=shard_ids), FORMAT), "token_ids")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 800_000
 SEPARATOR = "<|endoftext|>"
 WORD_END = "</w>"
 CHUNK_BYTES = 1 << 22

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, unit_hash
+from .common import fresh, tidy, unit_hash
 
 SAMPLE = 1000
 GRAM = 5
@@ -163,7 +163,7 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", names: tuple[s
             arrays = [pa.array([f[i] for f in found], kind) for i, kind in ((0, pa.int32()), (1, pa.float64()), (2, pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*keep, *names])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def score_digest(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
