@@ -16,7 +16,7 @@ SENTINEL_FLOOR = -9000.0
 def wrap_ra(ra: Value) -> Column:
     """RA reduced to [0, 360)."""
     r = F.pmod(col(ra).cast("double"), F.lit(360.0))
-    return F.when(r >= 360.0, 0.0).otherwise(r)
+    return F.when((r >= 360.0) & ~F.isnan(r), 0.0).otherwise(r)
 
 
 def separation(ra1: Value, dec1: Value, ra2: Value, dec2: Value) -> Column:

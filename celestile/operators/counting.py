@@ -46,8 +46,9 @@ def humanized(n: Value) -> Column:
     c = col(n).cast("double")
 
     def shown(value: Column, unit: str) -> Column:
-        digits = F.greatest(F.lit(0), F.lit(1) - F.floor(F.log10(value))).cast("int")
-        return F.when(value < 10, F.concat(F.lit("~"), F.format_string("%.1f", value), F.lit(unit))).otherwise(F.concat(F.lit("~"), F.format_string("%.0f", F.round(value / F.pow(F.lit(10.0), 1 - digits), 0) * F.pow(F.lit(10.0), 1 - digits)), F.lit(unit)))
+        step = F.pow(F.lit(10.0), F.floor(F.log10(value)) - 1)
+        text = F.when(value < 9.95, F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", F.round(value / step, 0) * step))
+        return F.concat(F.lit("~"), text, F.lit(unit))
 
     plain = F.concat(F.lit("~"), c.cast("long").cast("string"))
     return F.when(c < 1000, plain).when(c < 1e6, shown(c / 1e3, "k")).when(c < 1e9, shown(c / 1e6, "M")).otherwise(shown(c / 1e9, "B"))

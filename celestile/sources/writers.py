@@ -112,11 +112,11 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 def pack_tile(spark: SparkSession, folder: str, archive: str) -> dict:
     """A tile's files as one tar with a manifest of their checksums; a tile is of bounded size."""
-    out, listed = io.BytesIO(), []
+    out, listed, top = io.BytesIO(), [], folder.rstrip("/").rsplit("/", 1)[1]
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).orderBy("path")
     with tarfile.open(fileobj=out, mode="w") as tar:
         for r in found.select("path", "content").toLocalIterator():
-            name, raw = r["path"].rsplit("/", 1)[1], bytes(r["content"])
+            name, raw = r["path"].rpartition(f"/{top}/")[2], bytes(r["content"])
             listed.append({"name": name, "size": len(raw), "sha256": hashlib.sha256(raw).hexdigest()})
             entry = tarfile.TarInfo(name)
             entry.size = len(raw)
