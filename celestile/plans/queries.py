@@ -255,9 +255,9 @@ def redshift_lookup(spark, sf_dir):
     return lookup.redshifts(parts, table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_partkey"), id_col="p_partkey")
 
 
-@query("SELECT l_orderkey AS id, l_linenumber, l_extendedprice AS price FROM lineitem WHERE (l_discount > 0.05) AND (l_tax < 0.03) ORDER BY l_orderkey, l_linenumber LIMIT 500")
+@query("SELECT l_orderkey AS id, l_linenumber, l_extendedprice AS price FROM lineitem WHERE (l_discount > 0.05) AND (l_tax < 0.03) ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 500")
 def where_limit_extract(spark, sf_dir):
-    return predicates.filtered(table(spark, sf_dir, "lineitem"), "WHERE l_discount > 0.05", extra=["l_tax < 0.03"], columns=["L_ORDERKEY:id,l_linenumber", "l_extendedprice:price"], limit=500, order=["l_orderkey", "l_linenumber"])
+    return predicates.filtered(table(spark, sf_dir, "lineitem"), "WHERE l_discount > 0.05", extra=["l_tax < 0.03"], columns=["L_ORDERKEY:id,l_linenumber", "l_extendedprice:price"], limit=500, order=["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
 
 
 @query("SELECT o_orderkey, o_orderkey % 5 - 2 AS _spectrum_index, 7 AS run, CAST(1.5 AS DOUBLE) AS weight, 'x' AS tag FROM orders WHERE o_orderkey % 5 - 2 >= 0")
