@@ -8,8 +8,14 @@ than the words of its blocks.
 Symbols are the CORE most frequent words, each for itself, all other words by the
 ending of their spelling, and the end of a text.  The exchange algorithm moves symbols
 between classes as long as the likelihood of the training bigrams rises; its table is
-bounded by the number of symbols, while every count in it covers all training texts.  A
-text's probability is the product of P(class | class before) and P(word | class):
+bounded by the number of symbols, while every count in it covers all training texts.
+Then each other word that occurs LEAST times or more, whose number grows with the input,
+leaves its ending's class for the one that raises the likelihood most by the word's own
+counts of classes before and after it.  These words are dealt over the cluster and weighed
+one by one against the classes of the exchange, in one sweep; rarer words, and words that
+training lacks, keep their ending's class.  Transitions are counted anew by the classes
+of all words.  A text's probability is the product of P(class | class before) and
+P(word | class):
 
 * transitions are smoothed by the distribution of classes (Dirichlet prior PRIOR);
 * a word has its share of its class; a word unseen in training has the share
@@ -20,7 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import release, save, tidy
 
 CORE = 512
 ENDINGS = 128
@@ -36,6 +42,7 @@ ENDING = 3
 CLASSES = 64
 PRIOR = 20.0
 SWEEPS = 12
+LEAST = 16
 BLOCK_TOKENS = 1 << 20
 BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, held_out array<boolean>, words array<binary>, counts array<int>, endings binary, tokens binary"
 SMALL = 38  # bits of a count that is moved together with the place of its word
@@ -133,10 +140,74 @@ def _bigrams(batches: Iterator[pa.RecordBatch], core: dict[bytes, int]) -> Itera
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["pair", "n"])
 
 
+SELF = 2 * CLASSES
+CODES = SELF + 1
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], core: dict[bytes, int], of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each training word outside the core: counts << 8 | code of its neighbours in a block.
+
+    Codes are the class before, CLASSES + the class after, and SELF where the word follows itself.
+    """
+    for batch in batches:
+        for row in range(batch.num_rows):
+            sizes, held = (np.array(batch.column(i)[row].values.to_numpy(zero_copy_only=False), np.int64) for i in (0, 1))
+            words = batch.column(2)[row].values
+            end = len(words)
+            at = np.array([core.get(w, -1) for w in words.to_pylist()], np.int64)
+            symbols = np.where(at < 0, CORE + np.frombuffer(batch.column(4)[row].as_py(), np.uint8).astype(np.int64), at)
+            cls = of[np.append(symbols, END)]
+            tokens = _tokens(batch.column(3)[row].as_py())
+            now, _ = _sequence(tokens[np.repeat(held == 0, sizes)], sizes[held == 0], end)
+            asked = np.flatnonzero(np.append(at < 0, False)[now])
+            word, before, after = now[asked], now[asked - 1], now[asked + 1]
+            key = np.concatenate([word * 256 + cls[before], word * 256 + CLASSES + cls[after], word[word == before] * 256 + SELF])
+            key, n = np.unique(key, return_counts=True)
+            first = np.flatnonzero(np.diff(key >> 8, prepend=-1))
+            near = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(n << 8 | key & 255))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(key[first] >> 8)), near], names=["word", "near"])
+
+
+def _assign(batches: Iterator[pa.RecordBatch], table: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The class of each word by its neighbours in all blocks."""
+    rows, cols = table.sum(1), table.sum(0)
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        new = []
+        for i, w in enumerate(words):
+            near = batch.column(1)[i].values.to_numpy()
+            n = np.bincount(near & 255, near >> 8, CODES)
+            old = int(of[CORE + _ending(w)])
+            a, b, self_n = n[CLASSES:SELF].copy(), n[:CLASSES].copy(), n[SELF]
+            a[old] -= self_n
+            b[old] -= self_n
+            out = into = a.sum() + self_n
+            left = table.copy()
+            left[old] -= a
+            left[:, old] -= b
+            left[old, old] -= self_n
+            r, c = rows.copy(), cols.copy()
+            r[old] -= out
+            c[old] -= into
+            gain = _gain(left, r, c, a, b, self_n, out, into)
+            new.append(int(gain.argmax()) if gain.max() > gain[old] + 1e-9 else old)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.int32())], names=["word", "cls"])
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def _gain(table: np.ndarray, rows: np.ndarray, cols: np.ndarray, a: np.ndarray, b: np.ndarray, self_n: float, out: float, into: float) -> np.ndarray:
+    """What each class adds to the likelihood by taking up a symbol that is in none, with a bigrams to and b from the classes."""
+    gain = (_xlogx(table + a[None, :]) - _xlogx(table)).sum(1) + (_xlogx(table + b[:, None]) - _xlogx(table)).sum(0)
+    d = table.diagonal()
+    gain += _xlogx(d + a + b + self_n) + _xlogx(d) - _xlogx(d + a) - _xlogx(d + b)
+    gain -= _xlogx(rows + out) - _xlogx(rows) + _xlogx(cols + into) - _xlogx(cols)
+    gain[-1] = -np.inf
+    return gain
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """The class of each symbol.  The last symbol, the end, is alone in the last class.
 
@@ -153,7 +224,6 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     table = member.T @ bigrams @ member
     rows, cols = table.sum(1), table.sum(0)
     to, fro = bigrams @ member, bigrams.T @ member
-    each = np.arange(classes)
     for _ in range(sweeps):
         moved = 0
         for w in order.tolist():
@@ -168,11 +238,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             table[old, old] -= self_n
             rows[old] -= out[w]
             cols[old] -= into[w]
-            gain = (_xlogx(table + a[None, :]) - _xlogx(table)).sum(1) + (_xlogx(table + b[:, None]) - _xlogx(table)).sum(0)
-            d = table[each, each]
-            gain += _xlogx(d + a + b + self_n) + _xlogx(d) - _xlogx(d + a) - _xlogx(d + b)
-            gain -= _xlogx(rows + out[w]) - _xlogx(rows) + _xlogx(cols + into[w]) - _xlogx(cols)
-            gain[-1] = -np.inf
+            gain = _gain(table, rows, cols, a, b, self_n, out[w], into[w])
             new = int(gain.argmax()) if gain.max() > gain[old] + 1e-9 else old
             table[new] += a
             table[:, new] += b
@@ -193,11 +259,13 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
 
 @dataclass
 class Model:
-    """core: symbol of the frequent words; of: class of each symbol; move: log10 P(class | class
-    before); size and once: of each class the training words, and how many types occur once."""
+    """core: symbol of the frequent words; of: class of each symbol; table: bigrams of classes;
+    move: log10 P(class | class before); size and once: of each class the training words, and
+    how many types occur once."""
 
     core: dict[bytes, int]
     of: np.ndarray
+    table: np.ndarray
     move: np.ndarray
     size: np.ndarray
     once: np.ndarray
@@ -210,36 +278,62 @@ class Model:
         return np.log10(np.where(count > 0, count, unseen) / (self.size[cls] + unseen))
 
 
+def _moves(table: np.ndarray) -> np.ndarray:
+    share = (table.sum(0) + 1) / (table.sum() + len(table))
+    return np.log10((table + PRIOR * share[None, :]) / (table.sum(1)[:, None] + PRIOR))
+
+
 def fit(bigrams: np.ndarray, core: dict[bytes, int], size: np.ndarray, once: np.ndarray, types: int, texts: int, classes: int = CLASSES) -> Model:
     """size and once: by symbol, without the end."""
     of = exchange(bigrams, classes)
     member = np.zeros((SYMBOLS, classes))
     member[np.arange(SYMBOLS), of] = 1
     table = member.T @ bigrams @ member
-    share = (table.sum(0) + 1) / (table.sum() + classes)
-    move = np.log10((table + PRIOR * share[None, :]) / (table.sum(1)[:, None] + PRIOR))
-    return Model(core, of, move, size @ member[:END], once @ member[:END], int(size.sum()) + texts, types + (texts > 0), texts)
+    return Model(core, of, table, _moves(table), size @ member[:END], once @ member[:END], int(size.sum()) + texts, types + (texts > 0), texts)
+
+
+def _classes(endings: pa.Scalar, own: pa.Scalar, of: np.ndarray) -> np.ndarray:
+    """The class of each word of a block, and of the end."""
+    cls = of[np.append(CORE + np.frombuffer(endings.as_py(), np.uint8).astype(np.int64), END)]
+    if own.is_valid:
+        at = own.values.to_numpy(zero_copy_only=False)
+        cls[at >> 8] = at & 255
+    return cls
+
+
+def _moved(batches: Iterator[pa.RecordBatch], of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Training bigrams of the classes of all words."""
+    total = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            sizes, held = (np.array(batch.column(i)[row].values.to_numpy(zero_copy_only=False), np.int64) for i in (0, 1))
+            cls = _classes(batch.column(2)[row], batch.column(4)[row], of)
+            tokens = _tokens(batch.column(3)[row].as_py())
+            now, _ = _sequence(tokens[np.repeat(held == 0, sizes)], sizes[held == 0], len(cls) - 1)
+            k = cls[now]
+            before = np.concatenate([[of[END]], k[:-1]]) if len(k) else k
+            total += np.bincount(before * CLASSES + k, minlength=CLASSES * CLASSES)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["pair", "n"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     log_all = np.log10(model.tokens + model.types + 1)
     for batch in batches:
         for row in range(batch.num_rows):
-            ids, sizes, held, endings, raw, packed, large, core = (batch.column(i)[row] for i in range(8))
+            ids, sizes, held, endings, raw, packed, large, own = (batch.column(i)[row] for i in range(8))
             sizes = np.array(sizes.values.to_numpy(zero_copy_only=False), np.int64)
-            symbol = np.append(CORE + np.frombuffer(endings.as_py(), np.uint8).astype(np.int64), END)
-            count = np.zeros(len(symbol), np.int64)
+            cls = _classes(endings, own, model.of)
+            count = np.zeros(len(cls), np.int64)
             if packed.is_valid:
                 at = packed.values.to_numpy(zero_copy_only=False)
                 count[at >> SMALL] = at & ((1 << SMALL) - 1)
                 count[large.values.field("pos").to_numpy()] = large.values.field("c").to_numpy()
-                symbol[core.values.field("pos").to_numpy()] = core.values.field("at").to_numpy()
             count[-1] = model.texts
-            cls = model.of[symbol]
             emission = model.emission(count, cls)
             emission[-1] = 0.0
             base = np.log10(count + 1) - log_all
-            now, doc = _sequence(_tokens(raw.as_py()), sizes, len(symbol) - 1)
+            now, doc = _sequence(_tokens(raw.as_py()), sizes, len(cls) - 1)
             k = cls[now]
             before = np.concatenate([[model.of[END]], k[:-1]])
             total = lambda x, doc=doc, n=len(sizes): np.bincount(doc, x, n)
@@ -276,6 +370,32 @@ def train(blocks: DataFrame, vocabulary: DataFrame) -> Model:
     return fit(table.reshape(SYMBOLS, SYMBOLS), core, size, once, types, int(texts))
 
 
+def word_classes(blocks: DataFrame, vocabulary: DataFrame, model: Model) -> DataFrame:
+    """word, cls of the words outside the core that occur LEAST times or more."""
+    core, of, table = model.core, model.of, model.table
+    near = blocks.select("sizes", "held_out", "words", "tokens", "endings").mapInArrow(tidy(lambda x: _neighbours(x, core, of)), "word binary, near array<bigint>")
+    frequent = vocabulary.where(F.col("c") >= LEAST).select("word")
+    gathered = near.join(frequent, "word").groupBy("word").agg(F.flatten(F.collect_list("near")).alias("near"))
+    return gathered.mapInArrow(lambda x: _assign(x, table, of), "word binary, cls int")
+
+
+def regrouped(model: Model, met: DataFrame, counts: DataFrame) -> Model:
+    """model by the classes of all words: met has them by block, counts (word, c, cls) those that aren't their ending's."""
+    of = model.of
+    table, size, once = np.zeros(CLASSES * CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
+    pairs = met.select("sizes", "held_out", "endings", "tokens", "own").mapInArrow(lambda x: _moved(x, of), "pair int, n long")
+    found = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table[found["pair"].to_numpy()] = found["n"].to_numpy()
+    ending = F.crc32(F.expr(f"substring(word, -least({ENDING}, length(word)), {ENDING})")) % ENDINGS
+    held = counts.groupBy("cls", F.when(F.col("cls").isNull(), ending).cast("int").alias("e")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once"))
+    for r in held.toLocalIterator():
+        k = of[CORE + r["e"]] if r["cls"] is None else r["cls"]
+        size[k] += r["c"]
+        once[k] += r["once"]
+    table = table.reshape(CLASSES, CLASSES)
+    return replace(model, table=table, move=_moves(table), size=size, once=once)
+
+
 def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row.
 
@@ -288,16 +408,23 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part
     blocks = save(rows.mapInArrow(lambda x: _block(x, parts, part), BLOCKS), "blocks")
     counted = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     vocabulary = save(counted.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    model = blocks.sparkSession.sparkContext.broadcast(train(blocks, vocabulary))
+    model = train(blocks, vocabulary)
+    of = model.of
+    # the core's words and the other frequent ones by word; the number of the latter grows with the input
+    core = blocks.sparkSession.createDataFrame([(bytearray(w), int(of[i])) for w, i in model.core.items()], "word binary, cls int")
+    counts = save(vocabulary.join(word_classes(blocks, vocabulary, model).unionByName(core), "word", "left"), "counts")
     asked = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    counts = vocabulary.join(_core_table(blocks.sparkSession, model.value.core), "word", "left")
     small = (F.col("c") < F.lit(1 << SMALL)) & (F.col("pos") < F.lit(1 << (62 - SMALL)))
     pulled = asked.join(counts, "word").groupBy("block").agg(
         F.collect_list(F.when(small, F.shiftleft(F.col("pos").cast("long"), SMALL) + F.col("c"))).alias("packed"),
         F.collect_list(F.when(~small, F.struct("pos", "c"))).alias("large"),
-        F.collect_list(F.when(F.col("at").isNotNull(), F.struct("pos", "at"))).alias("core"),
+        F.collect_list(F.shiftleft(F.col("pos").cast("long"), 8) + F.col("cls")).alias("own"),
     )
-    met = blocks.select("block", "doc_ids", "sizes", "held_out", "endings", "tokens").join(pulled, "block", "left").drop("block")
+    met = save(blocks.select("block", "doc_ids", "sizes", "held_out", "endings", "tokens").join(pulled, "block", "left").drop("block"), "met")
+    release(blocks)
+    release(vocabulary)
+    final = blocks.sparkSession.sparkContext.broadcast(regrouped(model, met, counts))
+    release(counts)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = met.mapInArrow(lambda x: _score(x, model.value), schema)
+    scored = met.mapInArrow(lambda x: _score(x, final.value), schema)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

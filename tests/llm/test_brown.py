@@ -89,3 +89,37 @@ def test_probabilities_sum_to_one():
     for k in {int(m.of[0]), int(m.of[1])}:
         words = np.array([5 for i in (0, 1) if m.of[i] == k] + [0])
         assert np.isclose((10 ** m.emission(words, np.full(len(words), k))).sum(), 1)
+
+
+def test_words_outside_the_core_get_classes_of_their_own(spark):
+    """More frequent words than the core holds, all of one ending: their neighbours tell the two kinds apart."""
+    rng = np.random.default_rng(2)
+    kinds = [[f"{k}{i:03d}xyz" for i in range(400)] for k in "ab"]
+    texts = [" ".join(str(kinds[i % 2][rng.integers(400)]) for i in range(start, start + 200)) for start in rng.integers(0, 2, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.collect()
+    blocks = brown.save(df.coalesce(2).mapInArrow(lambda x: brown._block(x, 7, 2), brown.BLOCKS), "blocks")
+    words = blocks.selectExpr("explode(arrays_zip(words, counts)) AS w").selectExpr("w.words AS word", "w.counts AS n")
+    vocabulary = brown.save(words.groupBy("word").agg({"n": "sum"}).withColumnRenamed("sum(n)", "c"), "vocabulary")
+    model = brown.train(blocks, vocabulary)
+    got = {bytes(r.word): r.cls for r in brown.word_classes(blocks, vocabulary, model).collect()}
+    c = Counter(w for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for w in tokens(r.text))
+    assert set(got) == {w for w, n in c.items() if n >= brown.LEAST and w not in model.core} and len(got) > 200
+    of = {k: {v for w, v in got.items() if w[:1] == k} for k in (b"a", b"b")}
+    assert not of[b"a"] & of[b"b"]
+
+    # and the neighbours, counted by definition, are those that the sweep saw
+    cls = lambda w: int(model.of[brown.END if w is None else brown.symbol_of(w, model.core)])
+    want = Counter()
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
+            s = [None, *tokens(r.text), None]
+            for a, w, b in zip(s, s[1:], s[2:]):
+                if w not in model.core:
+                    want.update([(w, cls(a)), (w, brown.CLASSES + cls(b))] + [(w, brown.SELF)] * (a == w))
+    near = blocks.select("sizes", "held_out", "words", "tokens", "endings").mapInArrow(lambda x, m=(model.core, model.of): brown._neighbours(x, *m), "word binary, near array<bigint>")
+    found = Counter()
+    for r in near.collect():
+        for n in r.near:
+            found[bytes(r.word), n & 255] += n >> 8
+    assert found == want
