@@ -1,17 +1,18 @@
 """MinHash near-dedup by ProbMinHash.
 
-A document is the set of its shingles of five words (of all its words, if fewer),
-weighed by 1 + ln(count).  For each shingle a Poisson process with its weight as rate
-sends arrivals to registers; a register keeps its first arrival, and a shingle stops once
-it is later than every register.  The share of equal registers estimates the probability
-Jaccard similarity.  Bands of registers give candidates, which the exact Jaccard
-similarity of the shingle sets confirms at 0.8 or more.
+A document is the set of its shingles of five words (of all its words, if fewer).  For
+each shingle a Poisson process with its weight as rate sends arrivals to registers; a
+register keeps its first arrival, and a shingle stops once it is later than every
+register.  The share of equal registers estimates the probability Jaccard similarity; all
+weights are 1 here, where it is the Jaccard similarity of the sets, as counts of
+repetitions would part texts of equal sets.  Bands of registers give candidates, which the
+exact Jaccard similarity of the shingle sets confirms at 0.8 or more.
 
 Equal texts are one class from the start.  A bucket of a band doesn't yield all its pairs:
 its members are compared with one of them, the one that shares most buckets with others.
 Where that leaves several components within a bucket, the bucket is compared in blocks:
-pairs from different components whose registers allow for the threshold are confirmed in
-place, until they are one, and only the links that join something leave the task.
+pairs from different components whose sizes allow for the threshold are confirmed in
+place, likely ones first, until they are one, and only the links that join something leave the task.
 Classes are connected components.
 """
 
@@ -33,7 +34,6 @@ SHINGLE = 5
 BANDS = 20
 ROWS = 5
 THRESHOLD = 0.8
-SLACK = 0.12  # three standard errors of an estimate from BANDS * ROWS registers
 BLOCK = 1024
 SALTS = 8
 CACHE_WORDS = 700_000
@@ -106,10 +106,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
             part = batch.slice(i, TEXTS_AT_ONCE)
-            sets = [np.unique(shingle(t), return_counts=True) for t in part.column(2).to_pylist()]
-            own = signatures(sets)
+            sets = [np.unique(shingle(t)) for t in part.column(2).to_pylist()]
+            own = signatures([(s, np.ones(len(s))) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(s) for s, _ in sets], pa.int32()), pa.array([r.tobytes() for r in own], pa.binary())],
+                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([r.tobytes() for r in own], pa.binary())],
                 names=["doc_id", "text_key", "shingles", "registers"],
             )
 
@@ -170,7 +170,7 @@ def _compare(band: int, group: pa.Table, threshold: float) -> pa.Table:
         equal = regs[js] == regs[i]
         share = equal.mean(axis=1)
         # a pair that meets in several bands is compared in the first
-        ok = (share >= threshold - SLACK) & (equal.reshape(len(js), BANDS, ROWS).all(2).argmax(1) == band)
+        ok = equal.reshape(len(js), BANDS, ROWS).all(2).argmax(1) == band
         js, share = js[ok], share[ok]
         for j in js[np.argsort(-share)].tolist():
             if comp[i] == comp[j]:

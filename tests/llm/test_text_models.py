@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from celestile.llm import components, langid, minhash, toxicity
 
@@ -84,6 +85,27 @@ def test_register_share_estimates_probability_jaccard():
     assert (regs[2] == 0).all()
 
 
+def test_a_passage_repeated_more_often_parts_no_copies(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for i in range(24):
+        body, passage = [word() for _ in range(140)], [word() for _ in range(60)]
+        rows += [(2 * i, " ".join(body + passage * 400)), (2 * i + 1, " ".join([word(), *body[1:], *passage]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
+def test_pairs_of_a_bucket_are_told_apart_by_their_sets_alone():
+    """Two copies that share the first band only, as the registers of rare pairs may."""
+    words = [f"w{i}" for i in range(100)]
+    regs = np.arange(2 * minhash.BANDS * minhash.ROWS, dtype=np.uint16).reshape(2, -1)
+    regs[1, : minhash.ROWS] = regs[0, : minhash.ROWS]
+    columns = {"doc": [1, 2], "component": [1, 2], "left": [True, True], "right": [True, True]}
+    group = pa.table(columns | {"registers": [r.tobytes() for r in regs], "text": [" ".join(words), " ".join(words[1:])]})
+    assert minhash._compare(0, group, 0.8).num_rows == 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     for links in ([], [(i, i + 1) for i in range(40)], [(500, i) for i in range(60)] + [(7, 7), (9, 500)], [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]):
