@@ -1,11 +1,15 @@
 """Re-Pair grammar compression of id sequences.
 
-Each round counts the adjacent pairs of a shard, gives up to PAIRS_A_ROUND of the most frequent ones a
-nonterminal each and replaces their occurrences, until no pair is frequent enough or
-ROUNDS are done.  Pairs of one round share no symbol with each other where that matters:
-a pair is only taken if its occurrences can't overlap with those of another of the round.
-A rule names two earlier symbols; rules carry the length of their expansion, so that any
-place of the text is found without expanding what stands before it.
+Frequent adjacent pairs of a shard are replaced by nonterminals until no pair occurs LEAST times or more.
+A round counts the pairs, ranks the frequent ones by their counts, and gives each place to the
+pair with the best rank: an occurrence is replaced unless it overlaps with one of a better
+rank.  Pairs of which fewer than LEAST occurrences remain wait for the next round, which counts
+anew.  In a run of one id, every other place counts as an occurrence of the pair of equal ids.
+
+Symbols form a linked list, so a round touches frequent places only: a pair that was once too rare
+stays so, as new pairs always hold a symbol of the last round.  A rule names two earlier
+symbols; rules carry the length of their expansion, so that any place of the text is found
+without expanding what stands before it.
 """
 
 from __future__ import annotations
@@ -14,11 +18,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-ROUNDS = 3
 LEAST = 16
-PAIRS_A_ROUND = 1024
-SLOTS_A_ROUND = 2048
-HASH_BITS = 16
+HASH_BITS = 17
+HASHED = 1 << 14  # so many places are told apart by a hash of their pairs
 
 
 @dataclass
@@ -32,75 +34,132 @@ class Grammar:
     body: np.ndarray
 
 
-def _slots(body: np.ndarray) -> np.ndarray:
-    """A hash of each adjacent pair."""
-    key = body[:-1] * np.uint32(0x9E3779B1)
-    key ^= body[1:] * np.uint32(0x85EBCA77)
-    key >>= np.uint32(32 - HASH_BITS)
-    return key.view(np.int32)
-
-
-def _frequent(body: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One pair of each of the fullest slots, as (slot, place of an occurrence, exact count), most frequent first."""
-    full = np.bincount(slot, minlength=1 << HASH_BITS)
-    often = full >= max(LEAST, int(np.partition(full, -SLOTS_A_ROUND)[-SLOTS_A_ROUND]))
-    at = np.flatnonzero(often[slot])
-    own = slot[at]
-    place = np.zeros(1 << HASH_BITS, np.int64)
-    place[own] = at
-    seen = place[own]
-    same = (body[at] == body[seen]) & (body[at + 1] == body[seen + 1])
-    count = np.bincount(own[same], minlength=1 << HASH_BITS)
-    slots = np.flatnonzero(count >= LEAST)
-    slots = slots[np.argsort(-count[slots], kind="stable")]
-    return slots, place[slots], count[slots]
-
-
-def compress(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> Grammar:
-    """ids: unsigned, all below first_rule."""
-    body = ids.astype(np.uint32)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    span = np.ones(0, np.int64)
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, symbols: int) -> np.ndarray:
+    """The number of each place's pair."""
+    bits = int(symbols - 1).bit_length()
+    index_bits = int(len(left)).bit_length()
+    key = (left.astype(np.int64) << bits) | right
+    if 2 * bits + index_bits <= 63:
+        key = np.sort((key << index_bits) | np.arange(len(key)))
+        order = key & ((1 << index_bits) - 1)
+        key >>= index_bits
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+    return group
+
+
+def _hashed_pairs(left: np.ndarray, right: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose pair may occur ``least`` times, and the number of each one's pair.
+
+    A pair has its hash as number; of pairs of one hash, one has it and the others are sorted.
+    """
+    slot = left * np.uint32(0x9E3779B1)
+    slot ^= right * np.uint32(0x85EBCA77)
+    slot >>= np.uint32(32 - HASH_BITS)
+    slot = slot.view(np.int32)
+    may = np.flatnonzero((np.bincount(slot, minlength=1 << HASH_BITS) >= least).take(slot))
+    left, right, slot = left.take(may), right.take(may), slot.take(may)
+    example = np.zeros(1 << HASH_BITS, np.int32)
+    example[slot] = np.arange(len(slot), dtype=np.int32)
+    example = example.take(slot)
+    other = np.flatnonzero((left.take(example) != left) | (right.take(example) != right))
+    if len(other):
+        slot[other] = (1 << HASH_BITS) + _sorted_pairs(left.take(other), right.take(other), symbols)
+    return may, slot
+
+
+def _every_other(at: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of ascending places of pairs of equal symbols: whether it is the first, third, ... of its run."""
+    if not len(at):
+        return np.zeros(0, bool)
+    begins = np.concatenate([[True], before[at[1:]] != at[:-1]])
+    number = np.arange(len(at))
+    return (number - number[begins][np.cumsum(begins) - 1]) % 2 == 0
+
+
+def compress(ids: np.ndarray, first_rule: int, least: int = LEAST) -> Grammar:
+    """ids: unsigned, all below first_rule.  A pair is frequent if it occurs ``least`` (2 or more) times."""
+    n = len(ids)
+    none = np.zeros(0, np.uint32)
+    if n < 2 * least:
+        return Grammar(first_rule, none, none, np.zeros(0, np.int64), ids.astype(np.uint32))
+    # place 0 and the last one stand for the ends of the list
+    symbol = np.zeros(n + 2, np.uint32)
+    symbol[1:-1] = ids
+    after = np.arange(1, n + 3)
+    before = np.arange(-1, n + 1)
+    alive = np.ones(n + 2, bool)
+    alive[[0, -1]] = False
+    worst = np.iinfo(np.int32).max
+    rank = np.full(n + 2, worst, np.int32)
+    lefts, rights, spans = [], [], [np.ones(first_rule, np.int64)]
     free = first_rule
-    for _ in range(rounds):
-        if len(body) < 2 * LEAST:
+    at, a, b = np.arange(1, n), symbol[1:n], symbol[2 : n + 1]
+    while True:
+        if not len(at):
             break
-        slot = _slots(body)
-        slots, place, _ = _frequent(body, slot)
-        a, b = body[place].tolist(), body[place + 1].tolist()
-        lefts: set[int] = set()
-        rights: set[int] = set()
-        taken: list[int] = []
-        for i, (p, q) in enumerate(zip(a, b, strict=True)):
-            # no symbol ends one pair and begins another: occurrences never overlap
-            if p != q and p not in rights and q not in lefts:
-                lefts.add(p)
-                rights.add(q)
-                taken.append(i)
-                if len(taken) == PAIRS_A_ROUND:
-                    break
-        if not taken:
+        if len(at) > HASHED:
+            may, group = _hashed_pairs(a, b, free, least)
+            at, a, b = at.take(may), a.take(may), b.take(may)
+        else:
+            group = _sorted_pairs(a, b, free)
+        counts = np.ones(len(at), bool)
+        twin = np.flatnonzero(a == b)
+        counts[twin] = _every_other(at[twin], before)
+        size = np.bincount(group[counts] if len(twin) else group, minlength=int(group.max(initial=0)) + 1)
+        frequent = np.flatnonzero(size >= least)
+        if not len(frequent):
             break
-        x, y = body[place[taken]], body[place[taken] + 1]
-        rule_of = np.full(1 << HASH_BITS, -1, np.int16)
-        rule_of[slots[taken]] = np.arange(len(taken))
-        rule = rule_of[slot]
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        hit = (body[at] == x[rule]) & (body[at + 1] == y[rule])
-        at, rule = at[hit], rule[hit]
-        body[at] = (free + rule.astype(np.int64)).astype(np.uint32)
-        stay = np.ones(len(body), bool)
-        stay[at + 1] = False
-        body = body[stay]
-        left.append(x)
-        right.append(y)
-        lengths = lambda s, span=span: np.where(s < first_rule, 1, span[np.maximum(s.astype(np.int64) - first_rule, 0)] if len(span) else 1)
-        span = np.concatenate([span, lengths(x) + lengths(y)])
-        free += len(taken)
-    empty = np.zeros(0, np.uint32)
-    return Grammar(first_rule, np.concatenate(left) if left else empty, np.concatenate(right) if right else empty, span, body)
+        frequent = frequent[np.argsort(-size[frequent], kind="stable")]
+        rank_of = np.full(len(size), worst, np.int32)
+        rank_of[frequent] = np.arange(len(frequent))
+        own = rank_of.take(group)
+        stay = np.flatnonzero(own < worst)
+        at, own, counts = at.take(stay), own.take(stay), counts.take(stay)
+        # each place goes to the best rank: those better than both neighbours, then among what is left
+        todo, of = at[counts], own[counts]
+        rank[todo] = of
+        taken, taken_rank = [], []
+        while len(todo):
+            best = (of < rank.take(before.take(todo))) & (of < rank.take(after.take(todo)))
+            won = todo[best]
+            taken.append(won)
+            taken_rank.append(of[best])
+            for place in (won, before.take(won), after.take(won)):
+                rank[place] = worst
+            of = rank.take(todo)
+            left = np.flatnonzero(of < worst)
+            todo, of = todo.take(left), of.take(left)
+        hit, rule = np.concatenate(taken), np.concatenate(taken_rank)
+        used = np.bincount(rule, minlength=len(frequent)) >= least
+        keep = used[rule]
+        hit, rule = hit[keep], (np.cumsum(used) - 1)[rule[keep]]
+        example = np.empty(int(used.sum()), np.int64)
+        example[rule] = hit
+        lefts.append(symbol[example])
+        rights.append(symbol[after[example]])
+        span = spans[0] if len(spans) == 1 else np.concatenate(spans)
+        spans = [span, span[lefts[-1]] + span[rights[-1]]]
+        gone = after[hit]
+        follows = after[gone]
+        symbol[hit] = (free + rule).astype(np.uint32)
+        alive[gone] = False
+        after[hit] = follows
+        before[follows] = hit
+        free += len(example)
+        again = np.zeros(n + 2, bool)
+        again[at] = True
+        again[hit] = True
+        again[before[hit]] = True
+        again &= alive
+        again[before[-1]] = False
+        at = np.flatnonzero(again)
+        a, b = symbol.take(at), symbol.take(after.take(at))
+    span = np.concatenate(spans)[first_rule:]
+    return Grammar(first_rule, np.concatenate(lefts) if lefts else none, np.concatenate(rights) if rights else none, span, symbol[alive])
 
 
 def lengths(grammar: Grammar) -> np.ndarray:
@@ -113,27 +172,36 @@ def lengths(grammar: Grammar) -> np.ndarray:
 
 def _expansions(grammar: Grammar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of every symbol, one after another, with each symbol's place and length there."""
-    size = np.concatenate([np.ones(grammar.first_rule, np.int64), grammar.span])
+    first = grammar.first_rule
+    size = np.concatenate([np.ones(first, np.int64), grammar.span])
     place = np.cumsum(size) - size
     ids = np.empty(int(size.sum()), np.uint32)
-    ids[: grammar.first_rule] = np.arange(grammar.first_rule, dtype=np.uint32)
-    for k, (x, y) in enumerate(zip(grammar.left.tolist(), grammar.right.tolist(), strict=True)):
-        to = int(place[grammar.first_rule + k])
-        middle = to + int(size[x])
-        ids[to:middle] = ids[place[x] : place[x] + size[x]]
-        ids[middle : middle + size[y]] = ids[place[y] : place[y] + size[y]]
+    ids[:first] = np.arange(first, dtype=np.uint32)
+    parts = np.stack([grammar.left, grammar.right], 1).astype(np.int64)
+    latest = parts.max(1, initial=0) - first
+    start = 0
+    while start < len(parts):
+        # rules up to the next that names one of these
+        waits = latest[start:] >= start
+        end = start + (int(waits.argmax()) if waits.any() else len(waits))
+        part = parts[start:end].ravel()
+        ids[place[first + start] : place[first + end - 1] + size[first + end - 1]] = ids[_spread(place[part], size[part])]
+        start = end
     return ids, place, size
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one after another."""
+    at = np.repeat(start - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return at
+
+
 def expand(grammar: Grammar, symbols: np.ndarray | None = None) -> np.ndarray:
     """The ids of symbols, or of the whole body."""
     symbols = grammar.body if symbols is None else symbols
     ids, place, size = _expansions(grammar)
-    n = size[symbols]
-    shift = place[symbols] - (np.cumsum(n) - n)
-    at = np.repeat(shift, n)
-    at += np.arange(len(at))
-    return ids[at]
+    return ids[_spread(place[symbols], size[symbols])]
 
 
 def read(grammar: Grammar, start: int, length: int) -> np.ndarray:

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repair
-from .common import save
-from .tokens import encoder
+from .common import save, tidy
+from .tokens import encoder, forget
 
 SHARD_IDS = 1 << 18
 TEXTS_AT_ONCE = 1024
@@ -64,16 +64,20 @@ def write_ids(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Encode every text, append end_id, and write shards in ascending id order; returns the table written.
 
     A null text counts as empty, so every document has its end id.  Null ids come first;
-    repeated ids stand next to each other.  Other columns are not read.
+    rows of equal ids stand next to each other by text, so ties are settled but for equal rows,
+    which are written each.  A text longer than a shard makes a longer shard.  An empty table
+    gives an empty one.  Other columns are not read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return save(dealt.mapInArrow(partial(_write, vocabulary=vocabulary, end_id=end_id, shard_ids=shard_ids), FORMAT), "token_ids")
+    return save(dealt.mapInArrow(partial(tidy(_write), vocabulary=vocabulary, end_id=end_id, shard_ids=shard_ids), FORMAT), "token_ids")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()  # workers that wrote before hold the pieces they met
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             raw = memoryview(repair.expand(repair.load(row)).astype("<u4").tobytes())
             sizes = np.array(row["doc_lengths"], np.int64)
             ends = np.cumsum(sizes)
@@ -94,7 +98,7 @@ def with_base(shards: DataFrame) -> DataFrame:
 
 def read_digest(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the shards' grammars."""
-    return with_base(shards).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_base(shards).mapInArrow(tidy(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_range(shards: DataFrame, start: int, length: int) -> list[int]:

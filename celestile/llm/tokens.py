@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer, on executors.
 
 The tokenizer drops white space, so the ids of a text are those of its pieces between
-spaces, one after another.  Pieces repeat; each worker keeps the ids of up to
-CACHE_PIECES of them, in two generations of which the older one goes.  Texts are split and
+spaces, one after another.  Pieces repeat; each worker keeps the ids of CACHE_BYTES of them
+(their texts counted), in two generations of which the older one goes.  Texts are split and
 their distinct pieces found a chunk at a time by Arrow; ids are put together by numpy.
 
 Unknown pieces are encoded many at a time.  A piece of Latin letters is one word for the
@@ -15,18 +15,20 @@ that could hold such a token are encoded whole.
 from __future__ import annotations
 
 import os
-import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 1_500_000
+CACHE_BYTES = 320 << 20
+PIECE_BYTES = 200  # of a piece: its text, its place in a dict, its ids
+ROW = 400  # pieces in a text that the tokenizer gets
 SEPARATOR = "<|endoftext|>"
 WORD_END = "</w>"
 CHUNK_BYTES = 1 << 22
 # Latin letters; not the dotted capital I, whose lower case is two characters
-_LETTERS = re.compile(r"[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+([.,]?)")
+_LETTERS = r"^[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+[.,]?$"
 
 
 def default_vocabulary() -> str:
@@ -43,6 +45,7 @@ class _Generation:
         self.ends = np.zeros(1, np.int64)
         self.pool = np.zeros(0, np.uint32)
         self.used = 0
+        self.bytes = 0
 
     def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first, used = len(self.number), self.used
@@ -55,6 +58,7 @@ class _Generation:
         self.ends[first + 1 : first + 1 + len(pieces)] += used
         self.pool[used : used + len(ids)] = ids
         self.used += len(ids)
+        self.bytes += PIECE_BYTES * len(pieces) + sum(map(len, pieces))
 
     def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces in turn, and how many each has."""
@@ -86,16 +90,12 @@ class Encoder:
         return [np.array(found.ids, np.uint32) for found in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        plain: list[str] = []
-        words: list[int] = []
-        others: list[str] = []
-        for piece in pieces:
-            if found := _LETTERS.fullmatch(piece):
-                plain.append(piece)
-                words.append(2 if found[1] else 1)
-            else:
-                others.append(piece)
-        parts = [(plain[i : i + 400], np.array(words[i : i + 400])) for i in range(0, len(plain), 400)]
+        held = pa.array(pieces, pa.string())
+        plain_at = pc.match_substring_regex(held, _LETTERS).to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(held, "[.,]$").to_numpy(zero_copy_only=False)
+        plain, words = [pieces[i] for i in np.flatnonzero(plain_at).tolist()], marked[plain_at] + 1
+        others = [pieces[i] for i in np.flatnonzero(~plain_at).tolist()]
+        parts = [(plain[i : i + ROW], words[i : i + ROW]) for i in range(0, len(plain), ROW)]
         for (group, each), ids in zip(parts, self._rows([" ".join(g) for g, _ in parts]), strict=True):
             ends = np.flatnonzero(self.ends_word[ids])
             # every piece has as many words at least, so equal sums mean that all have just as many
@@ -108,33 +108,41 @@ class Encoder:
                 ids = self._whole(piece)
                 self.now.add([piece], ids, np.array([len(ids)]))
             return
-        groups = [others[i : i + 400] for i in range(0, len(others), 400)]
+        groups = [others[i : i + ROW] for i in range(0, len(others), ROW)]
         for group, ids in zip(groups, self._rows([SEPARATOR.join(g) for g in groups]), strict=True):
             ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
             self.now.add(group, ids[ids != self.separator], np.diff(ends, prepend=-1) - 1)
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """Where the pieces stand in the generation of now; unknown ones are learned."""
-        found = list(map(self.now.number.get, pieces))
-        missing = [p for p, n in zip(pieces, found, strict=True) if n is None]
-        if not missing:
-            return np.array(found, np.int64)
-        if len(self.now.number) + len(missing) > CACHE_PIECES // 2 and self.now.number:
+        found = self._known(self.now, pieces)
+        missing_at = np.flatnonzero(found < 0)
+        if not len(missing_at):
+            return found
+        if self.now.bytes + PIECE_BYTES * len(missing_at) > CACHE_BYTES // 2 and self.now.number:
             self.older, self.now = self.now, _Generation()
-            missing = pieces
-        before = self.older.number
-        kept = [p for p in missing if p in before]
-        if kept:
-            self.now.add(kept, *self.older.ids_of(np.array([before[p] for p in kept], np.int64)))
-        self._learn([p for p in missing if p not in before] if kept else missing)
-        number = self.now.number
-        return np.array([number[p] for p in pieces] if missing is pieces else [number[p] if n is None else n for p, n in zip(pieces, found, strict=True)], np.int64)
+            missing_at = np.arange(len(pieces))
+        missing = [pieces[i] for i in missing_at.tolist()]
+        before = self._known(self.older, missing)
+        kept = np.flatnonzero(before >= 0)
+        if len(kept):
+            self.now.add([missing[i] for i in kept.tolist()], *self.older.ids_of(before[kept]))
+            self._learn([missing[i] for i in np.flatnonzero(before < 0).tolist()])
+        else:
+            self._learn(missing)
+        found[missing_at] = self._known(self.now, missing)
+        return found
+
+    @staticmethod
+    def _known(generation: _Generation, pieces: list[str]) -> np.ndarray:
+        """The pieces' numbers; -1 where the generation lacks one."""
+        return np.fromiter(map(generation.number.get, pieces, repeat(-1)), np.int64, len(pieces))
 
     def _chunk(self, raw: list[bytes]) -> list[bytes]:
         """Ids of texts in lower case whose only line breaks are spaces."""
         split = pc.split_pattern(pa.array(raw, pa.string()), " ")
         flat = split.flatten().dictionary_encode()
-        numbers = self._numbers(flat.dictionary.to_pylist())
+        numbers = self._numbers(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
         ids, sizes = self.now.ids_of(numbers[flat.indices.to_numpy()])
         upto = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         whole = memoryview(ids.astype("<u4", copy=False).tobytes())
@@ -178,3 +186,8 @@ def encoder(vocabulary: str | None = None) -> Encoder:
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary)
     return _ENCODERS[vocabulary]
+
+
+def forget() -> None:
+    """Drop the worker's encoders, and what they keep."""
+    _ENCODERS.clear()

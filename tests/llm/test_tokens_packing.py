@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 from celestile.llm import packing, repair, token_output, tokens
@@ -28,6 +29,34 @@ def test_grammar_round_trip_and_random_access(ids, start, length):
         assert (repair.read(g, start, length) == ids[start : start + length]).all()
 
 
+def most_frequent_pair(body):
+    """How often the most frequent adjacent pair occurs without overlap with itself."""
+    count, last = Counter(), {}
+    for i, pair in enumerate(zip(body[:-1], body[1:])):
+        if last.get(pair) != i - 1 or pair[0] != pair[1]:
+            count[pair] += 1
+            last[pair] = i
+    return max(count.values(), default=0)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 12), st.integers(0, 900), st.integers(2, 6), st.integers(0, 9))
+def test_no_frequent_pair_is_left(kinds, n, least, seed):
+    ids = np.random.default_rng(seed).integers(0, kinds, n).astype(np.uint32)
+    g = repair.compress(ids, 12, least)
+    assert (repair.expand(g) == ids).all()
+    assert most_frequent_pair(g.body.tolist()) < least or n < 2 * least
+
+
+def test_no_frequent_pair_is_left_of_a_large_shard():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.zipf(1.3, 60_000) % 5000, np.tile(rng.integers(0, 5000, 300), 40), np.full(20_000, 7)]).astype(np.uint32)
+    g = repair.load(repair.dump(repair.compress(ids, 5000)))
+    assert (repair.expand(g) == ids).all()
+    assert most_frequent_pair(g.body.tolist()) < repair.LEAST
+    assert len(repair.compress(np.full(20_000, 7, np.uint32), 10).body) < 2 * repair.LEAST
+
+
 def check_output(df, rows):
     got = token_output.read_digest(token_output.write_ids(df, shard_ids=3000)).collect()
     rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
