@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_SCRATCH: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,23 +36,37 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
+def _scratch(spark: SparkSession) -> str:
+    """The application's folder for tables between steps, deleted when its driver ends."""
+    path = f"{shared_dir(spark)}/celestile/{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+        _SCRATCH.add(path)
+    return path
+
+
+def save(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df to ``path``, or the shared folder, and read it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/celestile/{uuid.uuid4().hex}/{name}"
+    own = path is None
+    path = path or f"{_scratch(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
+    if own:
+        out.scratch_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table that save() wrote once no later step reads it."""
-    path = getattr(df, "scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def release(*tables: DataFrame) -> None:
+    """Delete tables that save() wrote to the shared folder once no later step reads them."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def unit_hash(*cols) -> Column:

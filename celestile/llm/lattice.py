@@ -6,23 +6,26 @@ A vector is entered under its own cell and under neighbouring ones, where one bl
 its next-nearest point.  Vectors that meet in a cell, within a label, are compared by
 their cosine in double precision.
 
-Equal vectors are one class from the start.  A cell doesn't yield its pairs: it is
+Equal vectors of a label are one class from the start.  A cell doesn't yield its pairs: it is
 compared in blocks by matrix products, which return for each vector the number of its
-links and the root of its component within the block.  A pair that meets in several cells
-counts in the one with the smallest key, which either vector's list of keys tells.
+links and the root of its component within the block; small cells are compared many at a
+time.  A pair that meets in several cells counts in the first table where it does, in the
+cell with the smallest key, which the two lists of keys tell.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import release, save, tidy
 from .components import components
 
 THRESHOLD = 0.98
@@ -30,7 +33,11 @@ TABLES = 10
 BLOCKS = 2
 PROBES = 2
 SCALE = 0.55
-ROWS = 512
+ROWS = 4096
+KEYS = TABLES * (PROBES + 1)
+SMALL = 48  # cells of so many rows are compared many at a time
+TILE = 512
+PAIRS = 1 << 16
 SEED = 20231
 
 
@@ -108,50 +115,149 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(i, 2048)
             raw, label = part.column(3).to_pylist(), part.column(1).to_numpy()
             size = np.array([len(r) for r in raw])
-            keys: list = [None] * len(raw)
+            keys = np.zeros((len(raw), KEYS), np.int64)
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                for k, row in zip(at, cells(_units([raw[j] for j in at]), label[at]), strict=True):
-                    keys[k] = np.unique(row)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.list_(pa.int64()))], names=["v", "label", "n", "vector", "keys"])
+                keys[at] = cells(_units([raw[j] for j in at]), label[at])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), lists], names=["v", "n", "vector", "keys"])
 
 
 def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id of each one's component in a symmetric table of links."""
+    """The smallest id of each one's component, in symmetric tables of links."""
     root = ids.copy()
+    none = np.iinfo(np.int64).max
     while True:
-        new = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
+        new = np.minimum(root, np.where(linked, root[..., None, :], none).min(-1, initial=none))
         if (new == root).all():
             return root
         root = new
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest key that the rows of a and b share."""
-    out = np.full(len(a), np.iinfo(np.int64).max)
-    for k in range(a.shape[1]):
-        out = np.minimum(out, np.where((b == a[:, k : k + 1]).any(1), a[:, k], out))
-    return out
-
-
-def _compare(key: int, same: bool, group: pa.Table, threshold: float) -> pa.Table:
-    ids, times = group.column("v").to_numpy(), group.column("n").to_numpy()
-    left, right = (group.column(c).to_numpy() for c in ("left", "right"))
-    unit = _units(group.column("vector").to_pylist())
-    lists = group.column("keys").to_pylist()
-    keys = np.full((len(ids), max(map(len, lists))), -1, np.int64)
-    for i, k in enumerate(lists):
-        keys[i, : len(k)] = k
-        keys[i, len(k) :] = k[-1]
-    linked = (unit @ unit.T >= threshold) & (left[:, None] & right[None, :] | right[:, None] & left[None, :])
-    np.fill_diagonal(linked, False)
-    at = np.flatnonzero(linked.any(1))
-    count = np.zeros(len(ids), np.int64)
-    for i in at.tolist():
-        js = np.flatnonzero(linked[i])
-        count[i] = times[js[_first_shared(keys[js], np.broadcast_to(keys[i], (len(js), keys.shape[1]))) == key]].sum()
-    root = _roots(linked, ids)
-    return pa.table({"v": pa.array(ids[at]), "links": pa.array(count[at]), "root": pa.array(root[at])})
+def _counts_here(a: np.ndarray, b: np.ndarray, table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether pairs with keys a and b (pair, table, probe), which share ``key`` of ``table``, share none before it."""
+    here = np.ones(len(a), bool)
+    for t in range(int(table.max(initial=-1)) + 1):
+        at = np.flatnonzero(here & (t <= table))
+        x, y = a[at, t], b[at, t]
+        least = np.full(len(at), np.iinfo(np.int64).max)
+        for p in range(x.shape[1]):
+            least = np.minimum(least, np.where((y == x[:, p, None]).any(1), x[:, p], least))
+        none = least == np.iinfo(np.int64).max
+        here[at] = np.where(t < table[at], none, least == key[at])
+    return here
+
+
+class _Rows:
+    """Rows of some cells, sorted by cell."""
+
+    def __init__(self, table: pa.Table):
+        self.key, self.i, self.j, self.table, self.v, self.n = (table.column(c).to_numpy() for c in ("key", "i", "j", "table", "v", "n"))
+        self.left, self.right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+        raw = table.column("vector").combine_chunks()
+        self.raw = raw
+        self.size = np.array(pc.binary_length(raw))
+        self.keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(self.v), TABLES, -1)
+        new = (np.diff(self.key) != 0) | (np.diff(self.i) != 0) | (np.diff(self.j) != 0)
+        self.starts = np.concatenate([[0], np.flatnonzero(new) + 1]) if len(self.v) else np.zeros(0, np.int64)
+
+    def units(self, at: np.ndarray) -> np.ndarray:
+        return _units(self.raw.take(pa.array(at)).to_pylist())
+
+
+def _links(rows: _Rows, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of cells of equal size (cell, place): how many links each place has, its root, and which have any."""
+    cells_, size = at.shape
+    unit = rows.units(at.ravel()).reshape(cells_, size, -1)
+    left, right = rows.left[at], rows.right[at]
+    linked = unit @ unit.transpose(0, 2, 1) >= threshold
+    linked &= left[:, :, None] & right[:, None, :] | right[:, :, None] & left[:, None, :]
+    linked[:, np.arange(size), np.arange(size)] = False
+    count = np.zeros(at.size, np.int64)
+    cell, a, b = np.nonzero(linked)
+    for k in range(0, len(cell), PAIRS):
+        c, x, y = (z[k : k + PAIRS] for z in (cell, a, b))
+        p, q = at[c, x], at[c, y]
+        here = _counts_here(rows.keys[p], rows.keys[q], rows.table[p].astype(np.int64), rows.key[p])
+        np.add.at(count, (c * size + x)[here], rows.n[q[here]])
+    return count.reshape(at.shape), _roots(linked, rows.v[at]), linked.any(2)
+
+
+def _large(rows: _Rows, at: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, links, roots) of one cell, compared in tiles."""
+    unit = rows.units(at)
+    for i in range(0, len(at), TILE):
+        for j in range(i, len(at), TILE):
+            x, y = at[i : i + TILE], at[j : j + TILE]
+            linked = unit[i : i + TILE] @ unit[j : j + TILE].T >= threshold
+            linked &= rows.left[x][:, None] & rows.right[y][None, :] | rows.right[x][:, None] & rows.left[y][None, :]
+            if i == j:
+                np.fill_diagonal(linked, False)
+            a, b = np.nonzero(linked)
+            if not len(a):
+                continue
+            counts = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+            for k in range(0, len(a), PAIRS):
+                p, q = a[k : k + PAIRS], b[k : k + PAIRS]
+                here = _counts_here(rows.keys[x[p]], rows.keys[y[q]], rows.table[x[p]].astype(np.int64), rows.key[x[p]])
+                np.add.at(counts[0], p[here], rows.n[y[q[here]]])
+                if i != j:
+                    np.add.at(counts[1], q[here], rows.n[x[p[here]]])
+            if i == j:
+                own, n, both = x, counts[0], linked
+            else:
+                own, n = np.concatenate([x, y]), np.concatenate(counts)
+                both = np.zeros((len(own), len(own)), bool)
+                both[: len(x), len(x) :] = linked
+                both[len(x) :, : len(x)] = linked.T
+            some = both.any(1)
+            yield rows.v[own][some], n[some], _roots(both, rows.v[own])[some]
+
+
+def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, i, j) -> v, links, root; many cells at once, none of them parted."""
+
+    def compared(held: list[pa.RecordBatch], all_of_it: bool) -> tuple[list[pa.RecordBatch], pa.RecordBatch | None]:
+        table = pa.Table.from_batches(held)
+        rows = _Rows(table)
+        ends = np.append(rows.starts[1:], len(rows.v))
+        done = len(ends) if all_of_it else len(ends) - 1
+        found = []
+        sizes = (ends - rows.starts)[:done]
+        # vectors of different length don't meet: a cell is of one length, as its key is
+        for size in np.unique(sizes):
+            first = rows.starts[:done][sizes == size]
+            for width in np.unique(rows.size[first]):
+                own = first[rows.size[first] == width]
+                if size < 2:
+                    continue
+                if size > SMALL:
+                    for s in own.tolist():
+                        found += list(_large(rows, np.arange(s, s + size), threshold))
+                    continue
+                step = max(1, PAIRS // int(size * size))
+                for k in range(0, len(own), step):
+                    at = own[k : k + step, None] + np.arange(size)
+                    count, root, some = _links(rows, at, threshold)
+                    found.append((rows.v[at][some], count[some], root[some]))
+        rest = table.slice(int(rows.starts[done]) if done < len(ends) else len(rows.v))
+        out = None
+        if found:
+            v, n, root = (np.concatenate(x) for x in zip(*found, strict=True))
+            out = pa.RecordBatch.from_arrays([pa.array(v), pa.array(n), pa.array(root)], names=["v", "links", "root"])
+        return rest.to_batches(), out
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held, out = compared([*held, batch], False)
+        if out is not None:
+            yield out
+    if held:
+        _, out = compared(held, True)
+        if out is not None:
+            yield out
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -160,27 +266,36 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     Vectors link if their labels are equal and their cosine is threshold or more.  Rows
     whose id or label is null, and vectors that are null, empty, zero or hold null or
     non-finite components, link with nothing; so do vectors of different length.  Repeated
-    rows are vectors of their own, an empty table gives an empty one.
+    rows, and rows of one id that differ, are vectors of their own; n_links counts rows.
+    Very long vectors are read whole; an empty table gives an empty one; other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).cast("long").alias("label"))
     vectors = save(rows.mapInArrow(_prepare, "vec_id long, label long, vec_key binary, vector binary"), "vectors")
     able = vectors.where("vector is not null and vec_id is not null")
-    classes = save(able.groupBy("label", "vec_key").agg(F.min("vec_id").alias("v"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector")), "classes")
-    hashed = save(classes.select("v", "label", "n", "vector").mapInArrow(_keys, "v long, label long, n long, vector binary, keys array<bigint>"), "cells")
-    entries = hashed.select("v", F.explode("keys").alias("key"))
+    # a class has a number of its own, as rows of one id may lie in several
+    alike = able.groupBy("label", "vec_key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
+    classes = save(alike.withColumn("v", F.monotonically_increasing_id()), "classes")
+    hashed = save(classes.select("v", "label", "n", "vector").mapInArrow(_keys, "v long, n long, vector binary, keys array<bigint>"), "cells")
+    entries = hashed.select("v", F.posexplode("keys").alias("pos", "key")).select("v", "key", F.expr(f"pos div {PROBES + 1}").cast("int").alias("table"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = entries.join(shared, "key").select("key", "v", F.ceil(F.col("m") / ROWS).cast("int").alias("blocks"))
-    block = met.join(hashed.select("v", "n", "vector", "keys"), "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    met = entries.join(shared, "key").select("key", "table", "v", F.ceil(F.col("m") / ROWS).cast("int").alias("blocks"))
+    block = met.join(hashed, "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     spread = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "v", "n", "vector", "keys",
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "table", "v", "n", "vector", "keys",
         (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"),
     )
-    compare = lambda k, t: _compare(k[0].as_py(), k[1].as_py() == k[2].as_py(), t, threshold)
-    found = save(spread.groupBy("key", "i", "j").applyInArrow(compare, "v long, links long, root long"), "found")
+    dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "v")
+    found = save(dealt.mapInArrow(partial(tidy(_compare), threshold=threshold), "v long, links long, root long"), "found")
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("v").alias("a"), F.col("root").alias("b")))
-    own = classes.select("label", "vec_key", "v", "n").join(links, "v", "left").join(joined, "v", "left")
-    own = save(own.select("label", "vec_key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "v").alias("component_id")), "classes")
+    joined = components(found.select(F.col("v").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
+    # the smallest id of each component, for the classes that are linked at all
+    roots = joined.select("v", "component").unionByName(joined.select(F.col("component").alias("v"), "component").distinct())
+    named = roots.join(classes.select("v", "id"), "v")
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "component").select("v", "component_id")
+    own = classes.select("label", "vec_key", "v", "id", "n").join(links, "v", "left").join(named, "v", "left")
+    own = save(own.select("label", "vec_key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "classes")
+    release(classes, hashed, found, joined)
     back = vectors.select("vec_id", "label", F.when(F.col("vec_id").isNotNull(), F.col("vec_key")).alias("vec_key")).join(own, ["label", "vec_key"], "left")
     component = F.coalesce("component_id", "vec_id")
     return back.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -69,9 +69,45 @@ def test_near_vectors_match_their_sql(spark):
     assert sorted(tuple(r) for r in queries.op2_near_vectors(spark, SF).collect()) == by_sql("op2_near_vectors")
 
 
-def test_blocks_of_a_large_cell_lose_no_link(spark, monkeypatch):
-    """A cell of many vectors that all link, each its own class, cut into several blocks."""
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (6, [1.0, 0.01], 1), (5, [0.0, 1.0], 2), (5, [1.0, 0.0], 1)]
+    got = sorted(tuple(r) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(5, 0, 5, True), (5, 0, 5, True), (5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False)]
+
+
+@pytest.mark.parametrize("width", [16, 64, 256])
+def test_recall_at_the_threshold(width):
+    """Pairs at cosine 0.98 exactly meet in a cell of some table; all but 1 of 100 is asked for."""
+    rng = np.random.default_rng(width)
+    x, y = (v / np.sqrt((v * v).sum(1, keepdims=True)) for v in rng.standard_normal((2, 2000, width)))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.sqrt((y * y).sum(1, keepdims=True))
+    near = 0.98 * x + np.sqrt(1 - 0.98**2) * y
+    zero = np.zeros(2000, np.int64)
+    a, b = (lattice.cells(v, zero).reshape(2000, lattice.TABLES, -1) for v in (x, near))
+    assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() > 0.99
+
+
+@pytest.mark.parametrize("kind", ["ascending", "mixed"])
+def test_components_of_a_chain_take_few_steps(spark, monkeypatch, kind):
+    from celestile.llm import components as c
+
+    n, steps = 1000, []
+    name = np.arange(n + 1) if kind == "ascending" else np.random.default_rng(3).permutation(n + 1)
+    plain = c.save
+    monkeypatch.setattr(c, "save", lambda df, what: (steps.append(what), plain(df, what))[1])
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in zip(name[:-1], name[1:])], "a long, b long")
+    assert sorted(map(tuple, c.components(links).collect())) == [(v, 0) for v in range(1, n + 1)]
+    assert sum(s == "links" for s in steps) <= 12 and len(steps) <= 40
+
+
+@pytest.mark.parametrize("small", [1, 48])
+def test_blocks_of_a_large_cell_lose_no_link(spark, monkeypatch, small):
+    """A cell of many vectors that all link, each its own class, cut into several blocks and tiles."""
     monkeypatch.setattr(lattice, "ROWS", 16)
+    monkeypatch.setattr(lattice, "TILE", 5)
+    monkeypatch.setattr(lattice, "PAIRS", 37)
+    monkeypatch.setattr(lattice, "SMALL", small)
     rng = np.random.default_rng(1)
     x = np.ones(8) + 0.01 * rng.standard_normal((70, 8))
     got = lattice.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
