@@ -9,24 +9,28 @@ keyed by its nearest pivot and its distance to it, range-sorted by that key and
 rings of up to RING rows, one row of the index each.  A ring is an annulus around its
 pivot, which bounds by the triangle inequality what any of its rows can score.
 
-Search: a query's own ring gives its first threshold.  Cells of up to QUERIES queries and
-about RINGS rings (both dealt by hash) then expand rings in the order of their bounds and
-leave out those that no query needs; thresholds rise on the way.  A cell returns what may
-be among a query's best, and the best of all cells are ranked.
+Search: a query's own ring gives its first threshold.  Queries lie in blocks of up to QUERIES,
+in the order of their own rings, so those of a block are near each other.  Blocks first meet
+the outlines of all rings (pivot, nearest and farthest distance; no rows), OUTLINES at a
+time; a ring's rows are sent to a block only if one of its queries may find a better score
+there.  Cells of a block and about RINGS of its rings then expand rings in the order of
+their bounds and leave out those that no query needs any more, as thresholds rise.  A cell
+returns what may be among a query's best, and the best of all cells are ranked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import release, save
 
 SCALE = 1024
 K = 10
@@ -35,6 +39,7 @@ PIVOTS = 48
 RING = 1024
 QUERIES = 1024
 RINGS = 8
+OUTLINES = 1 << 15
 SLACK = 1e-9  # of M^2, for rounding in the bounds
 LARGEST = 2.0**62
 RINGS_SCHEMA = "ring long, dim int, pivot int, lo double, hi double, n int, ids binary, asks binary, rows binary"
@@ -49,13 +54,14 @@ def _whole(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordB
             if x is None or x.null_count or not batch.column(0)[i].is_valid:
                 continue
             x = np.floor(x.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-            # not finite, or products that might not fit into a long
-            if not np.isfinite(x).all() or (len(x) and float(np.abs(x).max()) ** 2 * len(x) >= LARGEST):
+            if not np.isfinite(x).all():
                 continue
+            # products that might not fit into a long stop the query
+            fits = not len(x) or float(np.abs(x).max()) ** 2 * len(x) < LARGEST
             keep.append(i)
-            raw.append(x.astype("<i8").tobytes())
+            raw.append(x.astype("<i8").tobytes() if fits else b"")
             dim.append(len(x))
-            norm.append(float(x @ x))
+            norm.append(float(x @ x) if fits else np.inf)
         at = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(raw, pa.binary()), pa.array(dim, pa.int32()), pa.array(norm, pa.float64())], names=["id", "asks", "raw", "dim", "norm"])
 
@@ -155,36 +161,61 @@ def _asking(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array((r["ring"] << 11) + asks), pa.array(ids[asks]), pa.array([r["dim"]] * len(asks), pa.int32()), pa.array(least, pa.int64()), pa.array([rows[a].tobytes() for a in asks], pa.binary())], names=names)
 
 
-class _Cell:
-    """Queries of one cell, then its rings."""
+BLOCK_SCHEMA = "block long, dim int, n int, queries binary, query_ids binary, least binary, rows binary"
+NONE = np.iinfo(np.int64).min
 
-    def __init__(self, rows: list[dict], pivots: Pivots, k: int):
-        self.k, self.pivots = k, pivots
-        self.key = np.array([r["query"] for r in rows], np.int64)
-        self.id = np.array([r["query_id"] for r in rows], np.int64)
-        self.dim = np.array([r["dim"] for r in rows])
-        self.least = np.array([np.iinfo(np.int64).min if r["least"] is None else r["least"] for r in rows], np.int64)
-        self.rows = [np.frombuffer(r["raw"], "<i8") for r in rows]
-        plain = _stack([r["raw"] for r in rows], pivots.width)
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Queries sorted by dim and ring -> blocks of up to ``size`` of one dim."""
+    block = TaskContext.get().partitionId() << 32
+    held: list[tuple] = []
+
+    def close() -> pa.RecordBatch:
+        nonlocal block, held
+        query, own, dim, least, raw = zip(*held, strict=True)
+        row = [block, dim[0], len(held), np.array(query, "<i8").tobytes(), np.array(own, "<i8").tobytes(), np.array([NONE if x is None else x for x in least], "<i8").tobytes(), b"".join(raw)]
+        held, block = [], block + 1
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (len(held) >= size or row[2] != held[0][2]):
+                yield close()
+            held.append(row)
+    if held:
+        yield close()
+
+
+class _Block:
+    """Queries of one block, with what bounds the scores of rings."""
+
+    def __init__(self, row: dict, pivots: Pivots, k: int):
+        self.k, self.pivots, self.dim = k, pivots, row["dim"]
+        self.key, self.id, self.least = (np.frombuffer(row[c], "<i8") for c in ("queries", "query_ids", "least"))
+        self.least = self.least.copy()
+        self.rows = _matrix(row["rows"], row["n"])
+        plain = np.zeros((row["n"], pivots.width))
+        plain[:, : self.rows.shape[1]] = self.rows
         self.square = (plain * plain).sum(1)
-        self.away = pivots.distances(np.hstack([plain, np.zeros((len(rows), 1))]))
-        self.best: list[list[tuple[int, int]]] = [[] for _ in rows]
+        self.away = pivots.distances(np.hstack([plain, np.zeros((row["n"], 1))]))
+        self.best: list[list[tuple[int, int]]] = [[] for _ in range(row["n"])]
 
-    def bound(self, ring: dict) -> np.ndarray:
-        """The most that a row of the ring can score, by query; -inf where the dims differ."""
-        d = self.away[:, ring["pivot"]]
-        gap = np.maximum(0, np.maximum(ring["lo"] - d, d - ring["hi"]))
-        most = (self.square + self.pivots.top - gap * gap) / 2
-        return np.where(self.dim == ring["dim"], most + SLACK * (self.pivots.top + self.square) + 1, -np.inf)
+    def bounds(self, pivot: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The most that a row of each ring can score (query, ring); rings of the block's dim."""
+        d = self.away[:, pivot]
+        gap = np.maximum(0, np.maximum(low[None, :] - d, d - high[None, :]))
+        most = (self.square[:, None] + self.pivots.top - gap * gap) / 2
+        return most + SLACK * (self.pivots.top + self.square[:, None]) + 1
 
     def expand(self, rings: list[dict]) -> Iterator[tuple[int, int, int, int]]:
-        bounds = [self.bound(r) for r in rings]
-        for at in sorted(range(len(rings)), key=lambda i: -float(np.max(bounds[i], initial=-np.inf))):
-            ring, need = rings[at], np.flatnonzero(bounds[at] >= self.least)
+        bounds = self.bounds(*(np.array([r[c] for r in rings]) for c in ("pivot", "lo", "hi")))
+        for at in np.argsort(-bounds.max(0, initial=-np.inf), kind="stable").tolist():
+            ring, need = rings[at], np.flatnonzero(bounds[:, at] >= self.least)
             if not len(need):
                 continue
             ids = np.frombuffer(ring["ids"], "<i8")
-            score = _products(np.stack([self.rows[q] for q in need]), _matrix(ring["rows"], ring["n"]))
+            score = _products(self.rows[need], _matrix(ring["rows"], ring["n"]))
             for q, s in zip(need.tolist(), score, strict=True):
                 hit = np.flatnonzero((s >= self.least[q]) & (ids != self.id[q]))
                 if not len(hit):
@@ -200,34 +231,73 @@ class _Cell:
                 yield key, own, vec, -minus
 
 
+def _outlined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Outlines of rings (ring, dim, pivot, lo, hi), up to ``size`` in one binary row."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, size):
+            part = batch.slice(i, size)
+            row = [part.column(k).to_numpy().astype("<f8" if k > 2 else "<i8").tobytes() for k in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["ring", "dim", "pivot", "lo", "hi"])
+
+
+def _reached(batches: Iterator[pa.RecordBatch], pivots: Pivots) -> Iterator[pa.RecordBatch]:
+    """The rings that each block of queries needs, from rows of a block and outlines."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            own = _Block(row["asked"], pivots, 1)
+            ring, dim, pivot = (np.frombuffer(row["outline"][c], "<i8") for c in ("ring", "dim", "pivot"))
+            low, high = (np.frombuffer(row["outline"][c], "<f8") for c in ("lo", "hi"))
+            found = []
+            for k in range(0, len(ring), 1024):
+                at = k + np.flatnonzero(dim[k : k + 1024] == own.dim)
+                found.append(ring[at[(own.bounds(pivot[at], low[at], high[at]) >= own.least[:, None]).any(0)]])
+            hit = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), row["asked"]["block"])), pa.array(hit)], names=["block", "ring"])
+
+
 def _search(batches: Iterator[pa.RecordBatch], pivots: Pivots, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell: its queries, then its rings."""
-    at, asked, rings = None, [], []
+    """Rows sorted by block and part: the block's queries, then rings."""
+    at, asked, rings = None, None, []
 
     def close() -> Iterator[pa.RecordBatch]:
         if asked and rings:
-            found = list(_Cell(asked, pivots, k).expand(rings))
+            found = list(_Block(asked, pivots, k).expand(rings))
             columns = zip(*found, strict=True) if found else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "vec_id", "score"])
 
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            if (row["i"], row["j"]) != at:
+            if (row["block"], row["part"]) != at:
                 yield from close()
-                at, asked, rings = (row["i"], row["j"]), [], []
-            (rings if row["asked"] is None else asked).append(row["ringed"] or row["asked"])
+                at, asked, rings = (row["block"], row["part"]), None, []
+            if row["asked"] is None:
+                rings.append(row["ringed"])
+            else:
+                asked = row["asked"]
     yield from close()
 
 
+def reached(blocks: DataFrame, index: DataFrame, pivots: Broadcast) -> DataFrame:
+    """(block, ring) of the rings that a block of queries must read; no rows of the index move for it."""
+    outlines = index.select("ring", F.col("dim").cast("long").alias("dim"), F.col("pivot").cast("long").alias("pivot"), "lo", "hi")
+    packed = save(outlines.mapInArrow(partial(_outlined, size=OUTLINES), "ring binary, dim binary, pivot binary, lo binary, hi binary"), "outlines")
+    n = packed.count()
+    numbered = packed.select((F.row_number().over(Window.orderBy("ring")) - 1).alias("part"), F.struct("ring", "dim", "pivot", "lo", "hi").alias("outline"))
+    asked = blocks.select(F.struct(*blocks.columns).alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("part"))
+    met = asked.join(numbered, "part").select("asked", "outline")
+    return met.mapInArrow(lambda x: _reached(x, pivots.value), "block long, ring long")
+
+
 def top_k(df: DataFrame, asks: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, ring: int = RING) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the highest whole inner products with each row where ``asks`` holds.
 
     Rows of the query's own id are no candidates; ties go to the smaller id, and between
-    rows of one id to either, which are alike.  Rows whose id is null, vectors that are
-    null or hold null or non-finite components, and components so large that a score
-    might not fit into a long take no part.  Vectors of different length don't meet, empty
-    vectors score 0.  Repeated rows are candidates each, and queries each with ranks of
+    rows of one id to either, which are alike.  Rows whose id is null and vectors that are
+    null or hold null or non-finite components take no part.  Components so large that a score
+    might not fit into a long raise.  Vectors of different length don't meet, empty
+    vectors score 0; very long ones are read whole.  Repeated rows are candidates each, and queries each with ranks of
     their own.  An empty table gives an empty one; other columns are not read.
     """
     spark = df.sparkSession
@@ -235,21 +305,25 @@ def top_k(df: DataFrame, asks: Column, *, id_col: str = "vec_id", vector_col: st
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col(vector_col).alias("v"))
     whole = save(rows.mapInArrow(lambda x: _whole(x, scale), "id long, asks boolean, raw binary, dim int, norm double"), "whole")
     most = whole.agg(F.max("norm").alias("top"), F.max("dim").alias("width")).first()
+    if most["top"] == float("inf"):
+        raise ValueError(f"scores of vector {whole.where('isnan(norm) OR norm > 1.7e308').first()['id']} don't fit into a long")
     sample = whole.orderBy(F.xxhash64("id", "raw")).limit(SAMPLE).select("raw").toLocalIterator()
     pivots = choose(_stack([bytes(r["raw"]) for r in sample], most["width"] or 0), most["top"] or 0.0) if most["top"] is not None else Pivots(np.zeros((1, 1)), 0.0, 0)
     shared = spark.sparkContext.broadcast(pivots)
     keyed = whole.drop("norm").mapInArrow(lambda x: _keyed(x, shared.value), "id long, asks boolean, raw binary, dim int, pivot int, away double")
     dealt = keyed.repartitionByRange("dim", "pivot", "away", "id").sortWithinPartitions("dim", "pivot", "away", "id")
     index = save(dealt.mapInArrow(lambda x: _rings(x, ring), RINGS_SCHEMA), "rings")
-    queries = save(index.mapInArrow(lambda x: _asking(x, k), "query long, query_id long, dim int, least long, raw binary"), "queries")
-    across, along = (max(1, -(-t.count() // n)) for t, n in ((queries, QUERIES), (index, RINGS)))
-    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = F.struct("query", "query_id", "dim", "least", "raw")
-    ringed = F.struct("dim", "pivot", "lo", "hi", "n", "ids", "rows")
-    left = queries.select(deal("query", across).alias("i"), each(along).alias("j"), asked.alias("asked"))
-    right = index.select(each(across).alias("i"), deal("ring", along).alias("j"), ringed.alias("ringed"))
-    cells = left.unionByName(right, allowMissingColumns=True).repartition("i", "j").sortWithinPartitions("i", "j", F.col("asked").isNull())
+    release(whole)
+    queries = index.mapInArrow(lambda x: _asking(x, k), "query long, query_id long, dim int, least long, raw binary")
+    near = queries.repartitionByRange("dim", "query").sortWithinPartitions("dim", "query")
+    blocks = save(near.mapInArrow(partial(_blocks, size=QUERIES), BLOCK_SCHEMA), "blocks")
+    pairs = save(reached(blocks, index, shared), "reached")
+    parts = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / RINGS).cast("int").alias("parts"))
+    ringed = F.struct("pivot", "lo", "hi", "n", "ids", "rows").alias("ringed")
+    part = F.pmod(F.xxhash64("ring"), F.col("parts")).cast("int").alias("part")
+    right = index.select("ring", ringed).join(pairs, "ring").join(parts, "block").select("block", part, "ringed")
+    left = blocks.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.struct(*blocks.columns).alias("asked"))
+    cells = left.unionByName(right, allowMissingColumns=True).repartition("block", "part").sortWithinPartitions("block", "part", F.col("asked").isNull())
     found = cells.mapInArrow(lambda x: _search(x, shared.value, k), "query long, query_id long, vec_id long, score long")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -130,7 +130,7 @@ def test_decoding_finds_the_nearest_lattice_point():
 
 
 def top_by_brute_force(rows, asks, k):
-    own = [(r.vec_id, [int(np.floor(1024 * v)) for v in x]) for r, x in usable(rows, True) if not len(x) or np.abs(x).max() < 1e6]
+    own = [(r.vec_id, [int(np.floor(1024 * v)) for v in x]) for r, x in usable(rows, True)]
     out = []
     for q, x in own:
         if asks(q):
@@ -142,6 +142,11 @@ def top_by_brute_force(rows, asks, k):
 @pytest.mark.parametrize("ring", [2, 7, 1024])
 def test_top_k_matches_brute_force(odd_vectors, ring, monkeypatch):
     monkeypatch.setattr(pivots, "QUERIES", 5)
+    monkeypatch.setattr(pivots, "OUTLINES", 3)
+    if ring == 7:
+        with pytest.raises(ValueError, match="600"):
+            pivots.top_k(odd_vectors, F.lit(True))
+    odd_vectors = odd_vectors.where("vec_id <> 600 or vec_id is null")
     got = sorted(tuple(r) for r in pivots.top_k(odd_vectors, F.col("vec_id") % 2 == 0, k=4, ring=ring).collect())
     assert got == top_by_brute_force(odd_vectors.collect(), lambda q: q % 2 == 0, 4)
     if ring == 7:
@@ -158,11 +163,29 @@ def test_rings_out_of_reach_are_left_out():
     own = pivots.choose(rows, float((rows * rows).sum(1).max()), 8)
     away = own.distances(own.lift(rows))
     q = rows[3]
-    cell = pivots._Cell([{"query": 0, "query_id": -1, "dim": 3, "least": int(np.sort(rows @ q)[-10]), "raw": q.astype("<i8").tobytes()}], own, 10)
+    row = {"block": 0, "dim": 3, "n": 1, "queries": np.zeros(1, "<i8").tobytes(), "query_ids": np.full(1, -1, "<i8").tobytes(), "least": np.sort(rows @ q)[-10:-9].astype("<i8").tobytes(), "rows": q.astype("<i8").tobytes()}
+    block = pivots._Block(row, own, 10)
     cut = 0
     for p in range(len(own.points)):
         at = np.flatnonzero(away.argmin(1) == p)
-        bound = cell.bound({"pivot": p, "lo": away[at, p].min(), "hi": away[at, p].max(), "dim": 3})[0]
+        bound = block.bounds(np.array([p]), away[at, p].min(keepdims=True), away[at, p].max(keepdims=True))[0, 0]
         assert (rows[at] @ q <= bound).all()
-        cut += bound < cell.least[0]
+        cut += bound < block.least[0]
     assert cut >= 3
+
+
+def test_rings_out_of_reach_are_not_sent(spark, monkeypatch):
+    """Clusters far apart: a block of queries gets the rings of its own surroundings only."""
+    monkeypatch.setattr(pivots, "QUERIES", 8)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((16, 8))
+    centres /= np.sqrt((centres * centres).sum(1, keepdims=True))
+    x = np.repeat(centres, 100, 0) + 0.01 * rng.standard_normal((1600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent, plain = [], pivots.reached
+    monkeypatch.setattr(pivots, "reached", lambda blocks, index, shared: (sent.append((blocks.count(), index.count())), plain(blocks, index, shared))[1])
+    monkeypatch.setattr(pivots, "save", lambda df, name, keep=pivots.save: (lambda out: (sent.append(out.count()) if name == "reached" else None, out)[1])(keep(df, name)))
+    got = pivots.top_k(df, F.col("vec_id") % 20 == 0, ring=16).collect()
+    assert len(got) == 80 * 10 and sum(r.vec_id // 100 == r.query_id // 100 for r in got) > 780
+    (blocks, rings), pairs = sent
+    assert pairs < 0.6 * blocks * rings
