@@ -36,6 +36,7 @@ ROWS = 5
 THRESHOLD = 0.8
 BLOCK = 1024
 SALTS = 8
+MOST_HOT = 64
 CACHE_WORDS = 700_000
 TEXTS_AT_ONCE = 64
 _U = np.uint64
@@ -204,13 +205,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     class_id is the smallest id of the document's class, kept says that it is the
     document's own.  Null texts, texts without a word and rows of null id link with
-    nothing and are kept (their class is their id).  Texts under one id are classed together.  Repeated rows share a class; an empty table gives
+    nothing and are kept (their class is their id).  Texts are read whole, however long.  Texts
+    under one id are classed together.  Repeated rows share a class; an empty table gives
     an empty one.  Other columns are not read.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = save(sketches(texts), "sketches")
     able = rows.where("shingles > 0 and doc_id is not null")
-    reps = save(able.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers")), "texts")
+    reps = save(able.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("n")), "texts")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     entries = reps.select(F.col("doc_id").alias("doc"), F.posexplode(band).alias("band", "key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -227,19 +229,33 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if not more.isEmpty():
         found = components(links.unionByName(more))
     classes = reps.select("text_key", F.col("doc_id").alias("v")).join(found, "v", "left").select("text_key", F.coalesce("component", "v").alias("class_id"))
-    met = rows.join(save(classes, "classes"), "text_key", "left")
+    classes = save(classes, "classes")
+    # the few texts that hold a large share of all rows go another way: MOST_HOT rows at most, and so broadcast
+    hot = reps.where(F.col("n") * MOST_HOT > rows.count()).select("text_key").join(classes, "text_key").select("text_key", F.col("class_id").alias("hot_class"))
+    marked = rows.drop("registers").join(F.broadcast(save(hot, "hot")), "text_key", "left")
+    rare = marked.where("hot_class is null").drop("hot_class").join(classes, "text_key", "left")
+    met = rare.unionByName(marked.where("hot_class is not null").withColumnRenamed("hot_class", "class_id"))
     own = F.when((F.col("shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
     return met.select("doc_id", "text_key", own.alias("class_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(df: DataFrame, **options) -> DataFrame:
-    """df with one row of each class: the one with the smallest id, once.  Rows without a word or an id all stay."""
+    """df with one row of each class: the one with the smallest id, once.
+
+    Rows without a word or an id all stay.  Of rows of one id and text one stays, the first by a
+    hash of the other columns, so that only rows that agree in all of them tie; columns
+    may have any name.  An empty table gives an empty one.
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     marked = near_duplicates(df, **options).where("doc_id is not null and text_key is not null")
     kept = save(marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.min("kept").alias("_kept")), "kept")
     text = F.col(text_col)
     blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]") | F.col(id_col).isNull()
-    keyed = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.md5(text).alias("_key"), blank.alias("_blank"))
-    same = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
-    met = keyed.join(kept, ["_id", "_key"], "left").withColumn("_n", F.row_number().over(same))
-    return met.where(F.col("_blank") | (F.coalesce("_kept", F.lit(True)) & (F.col("_n") == 1))).select("_row.*")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
+    order = F.xxhash64(F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit(0)).alias("_order")
+    keyed = df.where(~blank).select(row, F.col(id_col).cast("long").alias("_id"), F.md5(text).alias("_key"), order)
+    # the limit on ranks acts before the shuffle, so that rows repeated many times don't meet in one task
+    same = Window.partitionBy("_id", "_key").orderBy("_order")
+    one = keyed.withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    return one.join(kept, ["_id", "_key"]).where("_kept").select("_row.*").unionByName(df.where(blank))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-SALTS = 32
+SALTS = 256
 
 
 def word_count(text: str) -> Column:
@@ -74,7 +74,7 @@ def mix(
 ) -> DataFrame:
     """df's ``keep`` columns (all, if None) with _size, _source_size, _target, _copies.
 
-    A null text has size 0; null sources form one source; a source without words has
+    A null text has size 0; texts are read whole, however long; null sources form one source; a source without words has
     target 0.  Repeated rows are documents of their own, an empty table gives an empty
     one.  ``_copies`` is a long, at most cap.  Reruns agree: ranks follow size and a
     hash of the id.  The four columns replace any of the same name.
@@ -116,7 +116,11 @@ def source_offset(seed: str, source: Column) -> Column:
 
 
 def emit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
-    """The mix itself: each row of df as often as the mix takes it."""
+    """The mix itself: each row of df as often as the mix takes it.
+
+    Rows of null text have no words, so their copies change no target; repeated rows are documents
+    of their own; columns of any name stay as they are; an empty table gives an empty one.
+    """
     mixed = _mix(df.select(F.struct(*df.columns).alias("_row"), *_inputs(id_col, text_col, source_col)), weights, cap, seed)
     again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
     return mixed.where("_copies > 0").select("_row", again).select("_row.*")
@@ -129,7 +133,7 @@ WITH rows_ AS (
   FROM documents),
 classed AS (
   SELECT *, length(bin(size)) * 8 + (size >> CAST(greatest(0, length(bin(size)) - 3) AS BIGINT)) AS class,
-         CAST('0x' || substr(digest, 1, 2) AS BIGINT) % 32 AS salt FROM rows_),
+         CAST('0x' || substr(digest, 1, 2) AS BIGINT) AS salt FROM rows_),
 per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM classed GROUP BY source),
 weighed AS (
   SELECT *, source_size * 3 AS cap, i, CASE (i - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w

@@ -30,7 +30,7 @@ from .common import save, tidy
 from .tokens import encoder
 
 CAPACITY = 4096
-SALTS = 64
+SALTS = 1024
 BLOCK_BITS = 9
 TEXTS_AT_ONCE = 1024
 
@@ -101,12 +101,13 @@ def assign(df: DataFrame, *, order: list[str], length_col: str = "length", capac
 
     Lengths are from 1 to capacity; rows whose length is null, 0 or less lie in no
     sequence (null), longer ones raise.  ``order`` ranks equal lengths; rows that agree in it are
-    interchangeable.  df should be a stored table: it is read twice.
+    interchangeable.  Other columns, of any name, stay as they are.  df should be a stored table: it is read twice.
     """
     spark = df.sparkSession
     keep = [c for c in df.columns if c not in ("sequence_id", "offset")]
-    salted = df.select(*keep).withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    salted = salted.withColumn("_length", F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("int"))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row")
+    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int").alias("_salt")
+    salted = df.select(row, salt, F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("int").alias("_length"))
     groups = salted.groupBy("_length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     found = {r["_length"]: r["n"] for r in groups.groupBy("_length").agg(F.sum("_n").alias("n")).toLocalIterator()}
     if max(found, default=0) > capacity:
@@ -118,9 +119,9 @@ def assign(df: DataFrame, *, order: list[str], length_col: str = "length", capac
     runs_df = spark.createDataFrame(table).withColumn("_block", F.explode(blocks))
     before = Window.partitionBy("_length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("_length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_length", "_salt").orderBy(*order)
+    inside = Window.partitionBy("_length", "_salt").orderBy(*(F.col(f"_row.`{c}`") for c in order))
     ranked = salted.withColumn("_r", F.row_number().over(inside)).join(starts, ["_length", "_salt"]).withColumn("_rank", F.col("_start") + F.col("_r") - 1)
-    docs = ranked.select("_length", F.shiftright("_rank", BLOCK_BITS).alias("_block"), F.col("_rank"), F.lit(1).alias("_kind"), F.struct(*keep).alias("_row"), F.lit(None).cast("struct<f:bigint,s:bigint,o:bigint>").alias("_run"))
+    docs = ranked.select("_length", F.shiftright("_rank", BLOCK_BITS).alias("_block"), F.col("_rank"), F.lit(1).alias("_kind"), "_row", F.lit(None).cast("struct<f:bigint,s:bigint,o:bigint>").alias("_run"))
     marks = runs_df.select("_length", "_block", F.col("_from").alias("_rank"), F.lit(0).alias("_kind"), F.lit(None).cast(docs.schema["_row"].dataType).alias("_row"), F.struct(F.col("_from").alias("f"), F.col("_sequence").alias("s"), F.col("_offset").alias("o")).alias("_run"))
     at = Window.partitionBy("_length", "_block").orderBy("_rank", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = docs.unionByName(marks).withColumn("_run", F.last("_run", ignorenulls=True).over(at)).where("_kind = 1")
@@ -152,7 +153,9 @@ def pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
 def pack(df: DataFrame, **options) -> DataFrame:
     """Every document's pieces with sequence_id and offset.
 
-    Null texts are packed as their end id alone; repeated rows are packed each; an empty
-    table gives an empty one; columns beside id and text are not read.
+    Null texts are packed as their end id alone; a very long text is read whole and cut into
+    pieces of the capacity; repeated rows are packed each; of pieces of equal length
+    id, piece and checksum settle the order; an empty table gives an empty one; columns beside id
+    and text are not read.
     """
     return assign(save(pieces(df, **options), "pieces"), order=["doc_id", "piece", "ids_crc32"], capacity=options.get("capacity", CAPACITY))

@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_vectors": lattice.SQL, "op7_top_k": pivots.SQL, "op8_mix_sources": mixing.SQL}
+    return {"op2_near_vectors": lattice.SQL, "op7_top_k": pivots.SQL, "op8_mix_sources": mixing.SQL, "op9_shard": sharding.SQL}

@@ -134,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(df: DataFrame, model: Model, *, text_col: str = "text", names: tuple[str, str, str] = ("_grade", "_severity", "_p_toxic")) -> DataFrame:
     """df with the grade, the expected grade and the chance of a grade above the lowest, named ``names``; these replace columns of the same name.
 
-    Null texts and texts without a word get the lowest grade and 0; a model without
+    Null texts and texts without a word get the lowest grade and 0; texts are read whole, however
+    long; of grades that tie the lower wins; repeated rows get the same answer; a model without
     labels gives 0 throughout; an empty table gives an empty one.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
@@ -173,6 +174,10 @@ def score_digest(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFr
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
-    """docs without the rows whose chance of a grade above the lowest is cut or more."""
+    """docs without the rows whose chance of a grade above the lowest is cut or more.
+
+    Rows of null or blank text stay, repeated rows share their fate, columns of any name stay as
+    they are; an empty table gives an empty one.
+    """
     names = tuple(fresh(docs, "_grade", "_severity", "_p_toxic"))
     return score(docs, train(docs, labels), names=names).where(F.col(names[2]) < cut).select(*docs.columns)

@@ -2,8 +2,9 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
-from celestile.llm import mixing, sharding
+from celestile.llm import mixing, queries, sharding
 
 
 def targets(sizes, weights=(5, 2, 1), cap=3):
@@ -61,6 +62,24 @@ def test_shards(docs, odd_docs, no_docs):
         assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_shards_match_their_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = sorted(map(tuple, con.execute(queries.oracle_sql()["op9_shard"]).fetchall()))
+    assert sorted(map(tuple, queries.op9_shard(spark, "/root/testdata/sf0.01").collect())) == want
+
+
+def test_written_shards_hold_every_row_as_it_was(spark, odd_docs, tmp_path):
+    df = odd_docs.drop("shard").withColumnRenamed("length", "_key")
+    sharding.write_shards(df, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    place = {r.doc_id: r.shard for r in sharding.shard(df).collect()}
+    assert all(r.shard == place[r.doc_id] for r in back.collect())
+    with pytest.raises(ValueError):
+        sharding.write_shards(odd_docs, str(tmp_path / "other"))
+
+
 def test_weights_confine_movement(spark):
     ids = spark.range(4000).withColumnRenamed("id", "doc_id")
     even = sharding.Topology.even()

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from celestile.llm import components, langid, minhash, toxicity
 
 
@@ -145,16 +146,31 @@ def test_kernel_predictions_equal_their_definition():
     model, grams = langid.fit(texts, langs, landmarks=10), langid.Presence()
     own = [set(grams(t).tolist()) for t in texts]
     k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
-    marks = own[:20]
-    kernel = np.array([[k(a, b) for b in marks] for a in own])
-    values, vectors = np.linalg.eigh(kernel[:20])
+    order = sorted(range(40), key=lambda i: xxhash.xxh3_64_intdigest(texts[i].encode()))
+    marks = [i for c in "xy" for i in [j for j in order if langs[j] == c][:10]]
+    kernel = np.array([[k(a, own[b]) for b in marks] for a in own])
+    values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > 1e-8 * values.max()
     features = np.hstack([kernel @ (vectors[:, keep] / np.sqrt(values[keep])), np.ones((40, 1))])
     penalty = langid.RIDGE * 40 * np.eye(features.shape[1])
     penalty[-1, -1] = 1e-6
     y = np.array([[1.0 if lang == c else -1.0 for c in "xy"] for lang in langs])
     f = features @ np.linalg.solve(features.T @ features + penalty, features.T @ y)
-    assert [model.predict(t, grams)[0] for t in texts] == ["xy"[i] for i in f.argmax(1)]
+    lang, score = model.predict(texts, grams)
+    p = np.exp(langid.SHARPNESS * f)
+    assert lang == ["xy"[i] for i in f.argmax(1)] and score == pytest.approx(p.max(1) / p.sum(1), abs=1e-5)
+    lang, score = model.predict([None, "", "1 2", *texts[:3]], grams)
+    assert lang[:3] == ["und"] * 3 and list(score[:3]) == [0, 0, 0] and lang[3:] == ["xy"[i] for i in f[:3].argmax(1)]
+
+
+def test_a_text_of_many_parts_equals_its_grams():
+    """A text longer than what is hashed at once has the n-grams of all its places."""
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=2 * langid.CHUNK + 77))
+    cut = langid.CHUNK
+    parts = [text[:cut], text[cut - 4 : cut + 4], text[cut : 2 * cut], text[2 * cut - 4 : 2 * cut + 4], text[2 * cut :]]
+    grams = langid.Presence()
+    assert set(grams(text).tolist()) == set(np.concatenate([grams(p) for p in parts]).tolist())
 
 
 def test_ordinal_regression_orders_grades(spark, odd_docs, no_docs):
@@ -180,6 +196,16 @@ def test_toxicity_on_documents(spark, odd_docs, no_docs):
     assert len(got) == docs.count()
     assert np.mean([got[d].toxic for d, t in toxic.items() if t == 1]) > 0.9
     assert np.mean([got[d].toxic for d, t in toxic.items() if t == 0]) < 0.05
+    # by the definition: weights of words and their 5-grams over the root of the number of words
+    model = toxicity.train(docs, labels)
+    for r in docs.limit(60).collect():
+        words = (r.text or "").lower().split()
+        x = sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features_of(w)) / max(1, len(words)) ** 0.5
+        upto = [1 / (1 + np.exp(x - t)) for t in model.thresholds] + [1.0]
+        p = [b - a for a, b in zip([0.0, *upto], upto)]
+        want = (int(np.argmax(p)), sum(g * q for g, q in enumerate(p)), 1 - upto[0]) if words else (0, 0.0, 0.0)
+        own = got[r.doc_id]
+        assert (own.grade, own.severity, own.p_toxic) == pytest.approx(want, abs=1e-9) and own.toxic == (own.p_toxic >= 0.5)
     for some in (labels, labels.limit(0)):
         odd = toxicity.score_digest(odd_docs, some).collect()
         assert len(odd) == 9 and not any(r.toxic for r in odd if r.doc_id in (2, 3, 4))
