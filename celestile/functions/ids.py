@@ -35,6 +35,11 @@ def to_signed(x: Value) -> Column:
     return F.when(d > (1 << 63) - 1, F.when(d < wide, (d - wide).cast("long"))).when(d >= -(1 << 63), d.cast("long"))
 
 
+def stripped(c: Column) -> Column:
+    """A text without white space at its ends, of any kind; ``trim`` takes blanks only."""
+    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+
+
 def normalize(x: Value, kind: T.DataType | None = None) -> Column:
     """The id of a text: whole numbers by value, other texts by their hash; blank texts and null give null.
 
@@ -45,14 +50,14 @@ def normalize(x: Value, kind: T.DataType | None = None) -> Column:
         return F.when((F.abs(c) <= EXACT_FLOAT) & (c == F.floor(c)), c.cast("long"))
     if isinstance(kind, T.NumericType):
         return to_signed(c)
-    t = F.trim(c.cast("string"))
+    t = stripped(c)
     digits = F.ltrim(F.regexp_replace(t, r"^\+", ""))
     return F.when(t.rlike(INTEGER), to_signed(digits.try_cast("decimal(38,0)"))).when(t != "", stable_hash(t))
 
 
 def composite_label(parts: Sequence[Value], require_all: bool = False) -> Column:
     """The parts joined by a bar; blank parts are dropped, or, if all are required, make the label null."""
-    texts = [F.nullif(F.trim(col(p).cast("string")), F.lit("")) for p in parts]
+    texts = [F.nullif(stripped(col(p)), F.lit("")) for p in parts]
     label = F.nullif(F.concat_ws("|", *texts), F.lit(""))
     if not require_all:
         return label
@@ -73,7 +78,7 @@ def triplet_id(plate: Value, mjd: Value, fiber: Value) -> Column:
 
 def run2d_code(run2d: Value) -> Column:
     """'26' -> 26, 'vN_M_P' -> (N - 5) * 10000 + M * 100 + P; null for other forms."""
-    t = F.trim(col(run2d).cast("string"))
+    t = stripped(col(run2d))
     part = lambda k: F.regexp_extract(t, r"^v(\d+)_(\d+)_(\d+)$", k).try_cast("long")
     return F.when(t.rlike(r"^\d+$"), t.try_cast("long")).when(t.rlike(r"^v\d+_\d+_\d+$"), (part(1) - 5) * 10000 + part(2) * 100 + part(3))
 

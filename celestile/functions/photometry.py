@@ -13,6 +13,8 @@ from .columns import Value, col
 SENTINELS = (9999.0, -9999.0, 999.0, -999.0)
 #: 2.5 / ln 10
 MAG_PER_RELATIVE_FLUX = 1.0857362047461345
+#: What a step can't do without.
+NEEDED = {"scale": "factor", "mag_offset": "delta", "flux_to_ab": "zero_point"}
 STEPS = ("mag_offset", "scale", "identity", "null_if_sentinel", "flux_to_ab", "inverse")
 
 
@@ -27,12 +29,12 @@ class Step:
     def check(self) -> list[str]:
         if self.kind not in STEPS:
             return [f"unknown step {self.kind!r}"]
-        return ["null_if_sentinel needs values"] if self.kind == "null_if_sentinel" and not self.values else []
+        return []
 
 
 @dataclass(frozen=True)
 class Rule:
-    """target = steps applied to source; error: the source's uncertainty column, if any."""
+    """target = steps applied to source; error: the source's uncertainty column, if any; error_steps: what is done to it, if not the default."""
 
     source: str
     target: str
@@ -40,6 +42,7 @@ class Rule:
     error: str | None = None
     error_target: str | None = None
     sentinels: tuple[float, ...] = field(default=())
+    error_steps: tuple[Step, ...] = ()
 
 
 def clean(x: Value, extra: Sequence[float] = ()) -> Column:
@@ -78,41 +81,49 @@ def value_sql_form(rule: Rule) -> Column:
 
 
 def uncertainty(rule: Rule) -> Column:
-    """The uncertainty that goes with value(rule): null where the value is.
+    """The uncertainty that goes with value(rule).
 
-    A single scale step scales it whatever the value; a flux becomes a relative error in
-    magnitudes; an inverse keeps the relative error.
+    By default it follows the values: a scale multiplies it, sign included, and a flux
+    becomes a relative error in magnitudes; offsets, sentinels and inverses leave it.  It is null
+    where the value is, but for a single scale.  A rule's own ``error_steps`` take the place of
+    all this, see ``explicit_uncertainty``.
     """
-    c = clean(rule.source, rule.sentinels + tuple(v for s in rule.steps[:1] for v in s.values))
+    if rule.error_steps:
+        return explicit_uncertainty(rule)
+    flux = clean(rule.source, rule.sentinels + tuple(v for s in rule.steps[:1] for v in s.values))
     err = clean(rule.error)
     if len(rule.steps) == 1 and rule.steps[0].kind == "scale":
-        return err * F.lit(abs(float(rule.steps[0].factor)))
+        return err * F.lit(float(rule.steps[0].factor))
     for step in rule.steps:
         if step.kind == "scale":
-            err = err * F.lit(abs(float(step.factor)))
+            err = err * F.lit(float(step.factor))
         elif step.kind == "flux_to_ab":
-            err = F.when(c > 0, F.lit(MAG_PER_RELATIVE_FLUX) * err / c)
-        elif step.kind == "inverse":
-            err = F.when(c != 0, err / (c * c))
-        c = apply_step(c, step)
-    return F.when(c.isNotNull(), err)
-
-
-def error_step(kind: str, err: Value, value: Value | None = None, flux: Value | None = None, factor: float = 1.0, delta: float = 0.0) -> Column:
-    """An uncertainty given explicitly: scale, add, identity (null with the value), relative_flux, inverse_error."""
-    e = clean(err)
-    if kind == "scale":
-        return e * F.lit(float(factor))
-    if kind == "add":
-        return e + F.lit(float(delta))
-    if kind == "identity":
-        return F.when(col(value).isNotNull(), e)
-    if kind == "relative_flux":
-        f = clean(flux)
-        return F.when(f > 0, F.lit(MAG_PER_RELATIVE_FLUX) * e / f)
-    if kind == "inverse_error":
-        return F.when(e != 0, F.lit(1.0) / e)
-    raise ValueError(f"unknown uncertainty step {kind!r}")
+            err = F.when(flux > 0, F.lit(MAG_PER_RELATIVE_FLUX) * err / flux)
+        flux = apply_step(flux, step)
+    return F.when(flux.isNotNull(), err)
+
+
+def explicit_uncertainty(rule: Rule) -> Column:
+    """The rule's error_steps applied to its uncertainty: scale and mag_offset change it, identity and
+    null_if_sentinel null it with the value, flux_to_ab relates it to the flux as far as the values' and
+    its own scales bring it, inverse takes its reciprocal."""
+    err, flux = clean(rule.error), clean(rule.source, rule.sentinels)
+    flux = F.when(flux > 0, flux)
+    for step in rule.steps:
+        if step.kind == "flux_to_ab":
+            break
+        if step.kind == "scale":
+            flux = apply_step(flux, step)
+    for step in rule.error_steps:
+        if step.kind == "flux_to_ab":
+            err = F.lit(MAG_PER_RELATIVE_FLUX) * err / flux
+        elif step.kind in ("identity", "null_if_sentinel"):
+            err = F.when(value(rule).isNotNull(), err)
+        else:
+            err = apply_step(err, step)
+        if step.kind == "scale":
+            flux = apply_step(flux, step)
+    return err
 
 
 def vega_flux(mag: Value, zero_flux: float) -> Column:

@@ -14,19 +14,25 @@ from .predicates import checked
 
 @dataclass(frozen=True)
 class GatherPartner:
-    """A partner catalog, its association with the base, and the columns to take."""
+    """A partner catalog, its association with the base, and the columns to take.
+
+    pixel: the partner's tile column.  Partner rows are then looked up by tile and id, as the
+    association names them (healpix_npix_b), so that tiles without a match are never read.
+    """
 
     name: str
     catalog: DataFrame
     association: DataFrame
     columns: Sequence[str]
     id: str = "_source_id"
+    pixel: str | None = None
 
 
 def nearest_only(association: DataFrame) -> DataFrame:
     """The nearest partner of each row; of equal separations the smaller partner id."""
-    best = association.groupBy("source_id_a").agg(F.min(F.struct("sep_arcsec", "source_id_b")).alias("best"))
-    return best.select("source_id_a", "best.source_id_b", "best.sep_arcsec")
+    more = [c for c in ("_p",) if c in association.columns]
+    best = association.groupBy("source_id_a").agg(F.min(F.struct("sep_arcsec", "source_id_b", *more)).alias("best"))
+    return best.select("source_id_a", "best.source_id_b", "best.sep_arcsec", *(f"best.{c}" for c in more))
 
 
 def prefixed(partner: str, column: str) -> str:
@@ -45,12 +51,18 @@ def gather(base: DataFrame, partners: Sequence[GatherPartner], *, id_col: str =
     out = base.select(*columns) if columns else base
     added: list[str] = []
     for p in partners:
-        link = nearest_only(p.association) if multiplicity == "nearest" else p.association.select("source_id_a", "source_id_b", "sep_arcsec")
+        # links of other sources go before anything is grouped
+        tile = [p.pixel] if p.pixel else []
+        own = p.association.select("source_id_a", "source_id_b", "sep_arcsec", *(F.col("healpix_npix_b").alias("_p") for _ in tile))
+        own = own.join(base.select(F.col(id_col).alias("source_id_a")), "source_id_a", "left_semi")
+        link = nearest_only(own) if multiplicity == "nearest" else own
         names = {c: prefixed(p.name, c) for c in p.columns if c != p.id}
-        rows = p.catalog.select(F.col(p.id).alias("_b"), *(F.col(c).alias(n) for c, n in names.items()))
+        rows = p.catalog.select(F.col(p.id).alias("_b"), *(F.col(c).cast("long").alias("_p") for c in tile), *(F.col(c).alias(n) for c, n in names.items()))
         sep = prefixed(p.name, "sep_arcsec")
-        link = link.select(F.col("source_id_a").alias("_a"), F.col("source_id_b").alias("_b"), F.col("sep_arcsec").alias(sep))
-        met = link.join(rows, "_b", "left").drop("_b")
+        link = link.select(F.col("source_id_a").alias("_a"), F.col("source_id_b").alias("_b"), F.col("sep_arcsec").alias(sep), *("_p" for _ in tile))
+        if tile:
+            rows = rows.join(link.select("_p").distinct(), "_p", "left_semi")
+        met = link.join(rows, ["_b", *("_p" for _ in tile)], "left").drop("_b", "_p")
         out = out.join(met, out[id_col] == met["_a"], "left").drop("_a")
         added += [sep, *names.values()]
         if not include_sep:

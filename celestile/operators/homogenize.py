@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,19 +24,29 @@ class Recipe:
 
     @classmethod
     def load(cls, text: str) -> Recipe:
+        """A recipe of JSON: rules of source, target, steps (one or a list), error, error_steps, error_target, sentinels."""
         doc = json.loads(text)
-        rules = []
-        for r in doc["rules"]:
-            steps = tuple(P.Step(kind=s["type"], **{k: tuple(v) if isinstance(v, list) else v for k, v in s.items() if k != "type"}) for s in r["steps"])
-            rules.append(P.Rule(r["source"], r["target"], steps, r.get("error"), r.get("error_target"), tuple(r.get("sentinels", ()))))
-        recipe = cls(doc["survey"], doc.get("name", ""), tuple(rules))
-        if wrong := recipe.problems():
+        wrong: list[str] = []
+
+        def steps(r: dict, key: str) -> tuple[P.Step, ...]:
+            raw = r.get(key) or []
+            out = []
+            for s in [raw] if isinstance(raw, dict) else raw:
+                if P.NEEDED.get(s.get("type"), "type") not in s:
+                    wrong.append(f"{r['target']}: {s.get('type')} needs {P.NEEDED[s['type']] if 'type' in s else 'a type'}")
+                out.append(P.Step(kind=s.get("type", ""), **{k: tuple(v) if isinstance(v, list) else v for k, v in s.items() if k != "type"}))
+            return tuple(out)
+
+        rules = tuple(P.Rule(r["source"], r["target"], steps(r, "steps"), r.get("error"), r.get("error_target"), tuple(r.get("sentinels", ())), steps(r, "error_steps")) for r in doc["rules"])
+        recipe = cls(doc["survey"], doc.get("name", ""), rules)
+        if wrong := wrong + recipe.problems():
             raise ValueError("; ".join(wrong))
         return recipe
 
     def problems(self) -> list[str]:
-        out = [f"{r.target}: {p}" for r in self.rules for s in r.steps for p in s.check()]
+        out = [f"{r.target}: {p}" for r in self.rules for s in (*r.steps, *r.error_steps) for p in s.check()]
         out += [f"{r.target}: no steps" for r in self.rules if not r.steps]
+        out += [f"{r.target}: error_steps without an error column" for r in self.rules if r.error_steps and not r.error]
         targets = [r.target for r in self.rules]
         return out + [f"{t}: two rules" for t in sorted({t for t in targets if targets.count(t) > 1})]
 
@@ -106,12 +116,20 @@ def homogenize_cutouts(df: DataFrame, factors: Sequence[float], pixels_a_band: i
 def sed_points(df: DataFrame, bandpasses: DataFrame, id_col: str = "_source_id", prefix: str = "phot_ab_") -> DataFrame:
     """id, band, lambda_eff, mag, err: a row for each magnitude that is a number and whose band is known.
 
-    bandpasses: band, lambda_eff; a small registry.
+    bandpasses: band, lambda_eff.  Only the bands that df has columns of are read from it.  The
+    points of a source stand together in the order of their wavelengths.
     """
-    bands = [c for c in df.columns if c.startswith(prefix) and not c.endswith("_err")]
-    points = F.array(*(F.struct(F.lit(c[len(prefix) :]).alias("band"), F.col(c).cast("double").alias("mag"), (F.col(f"{c}_err") if f"{c}_err" in df.columns else F.lit(None)).cast("double").alias("err")) for c in bands))
-    rows = df.select(id_col, F.explode(points).alias("p")).select(id_col, "p.*").where(F.col("mag").isNotNull() & ~F.isnan("mag"))
-    return rows.join(bandpasses.select("band", "lambda_eff"), "band").select(id_col, "band", "lambda_eff", "mag", "err")
+    bands = [c[len(prefix) :] for c in df.columns if c.startswith(prefix) and not c.endswith("_err")]
+    known = bandpasses.where(F.col("band").isin(bands) & F.col("lambda_eff").isNotNull()).select("band", F.col("lambda_eff").cast("double"))
+    at = dict(map(tuple, known.dropDuplicates(["band"]).collect()))
+
+    def point(band: str) -> Column:
+        mag, err = f"{prefix}{band}", f"{prefix}{band}_err"
+        own = (F.col(err) if err in df.columns else F.lit(None)).cast("double")
+        return F.struct(F.lit(band).alias("band"), F.lit(at[band]).alias("lambda_eff"), F.col(mag).cast("double").alias("mag"), own.alias("err"))
+
+    points = F.array(*map(point, sorted(at, key=lambda b: (at[b], b)))) if at else F.array().cast("array<struct<band:string,lambda_eff:double,mag:double,err:double>>")
+    return df.select(id_col, F.explode(points).alias("p")).select(id_col, "p.*").where(F.col("mag").isNotNull() & ~F.isnan("mag"))
 
 
 def golden_failures(df: DataFrame, pairs: Sequence[tuple[P.Rule, float, float, float]]) -> list[str]:

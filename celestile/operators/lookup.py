@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .predicates import resolve
 
+# The redshift columns that catalogs are known by, in the order in which they are tried.
 REDSHIFTS = ("Z", "ZCOSMO", "Z_HP", "Z_PHOT", "REDSHIFT", "Z_QSO", "Z_RED")
 
 
@@ -60,6 +61,16 @@ def tile_of(df: DataFrame, ids: DataFrame, *, index: str, pixels: Sequence[str],
     return asked.join(known, id_col, "left").select(id_col, F.coalesce("at.npix", missing).alias("npix"), F.coalesce("at.idx", missing).alias("idx"))
 
 
+def tile_of_with_scan(catalog: DataFrame, ids: DataFrame, places: DataFrame, *, index: str, pixels: Sequence[str], id_col: str = "_source_id", pixel: str = "npix", row: str = "idx") -> DataFrame:
+    """tile_of, and for ids that the catalog doesn't place the modality's own tiles: places (id, npix, idx); of several the first."""
+    found = tile_of(catalog, ids, index=index, pixels=pixels, id_col=id_col)
+    missed = found.where("npix < 0").select(id_col).distinct()
+    own = by_ids(places, missed, id_col).groupBy(id_col).agg(F.min(F.struct(F.col(pixel).cast("long").alias("npix"), F.col(row).cast("long").alias("idx"))).alias("at"))
+    met = found.join(own, id_col, "left")
+    lost = F.col("npix") < 0
+    return met.select(id_col, F.when(lost, F.coalesce("at.npix", "npix")).otherwise(F.col("npix")).alias("npix"), F.when(lost, F.coalesce("at.idx", "idx")).otherwise(F.col("idx")).alias("idx"))
+
+
 def batch(df: DataFrame, ids: DataFrame, position: str, id_col: str = "_source_id", missing: str = "error") -> DataFrame:
     """The rows of a list of ids in its order; repeats are repeated.
 
@@ -73,9 +84,19 @@ def batch(df: DataFrame, ids: DataFrame, position: str, id_col: str = "_source_i
     return met.drop("_there").orderBy(position)
 
 
-def subset(df: DataFrame, ids: DataFrame, catalog: DataFrame | None = None, id_col: str = "_source_id", z: str = "z") -> DataFrame:
-    """Rows of distinct ids; redshifts from the catalog where it has one, else the rows' own."""
-    found = by_ids(df, ids.distinct(), id_col)
+def subset(df: DataFrame, ids: DataFrame, catalog: DataFrame | None = None, id_col: str = "_source_id", z: str = "z", missing: str = "skip") -> DataFrame:
+    """Rows of distinct ids; redshifts from the catalog where it has one, else the rows' own.
+
+    ``missing``: skip, or error, raised if an asked id has no row.
+    """
+    asked = ids.select(F.col(ids.columns[0]).alias(id_col)).distinct()
+    found = by_ids(df, asked, id_col)
+    if missing == "error":
+        lost = asked.where(F.col(id_col).isNotNull()).join(df.select(id_col), id_col, "left_anti").orderBy(id_col).limit(5).collect()
+        if lost:
+            raise KeyError(f"no row of ids {', '.join(str(r[0]) for r in lost)}")
+    elif missing != "skip":
+        raise ValueError(f"unknown policy {missing!r}")
     if catalog is None:
         return found
     known = redshifts(catalog, ids, id_col=id_col).groupBy(id_col).agg(F.min("z").alias("_z"))
@@ -111,10 +132,21 @@ def fiber_map(catalog: DataFrame, plate: int, mjd: int, id_col: str, *, plate_co
     return ranked.where("_n = 1").select(F.col(fiber_col).alias("fiber"), F.col(id_col), "repeats")
 
 
-def islands(rows: DataFrame, row: str) -> DataFrame:
-    """Contiguous runs of row numbers: first, last, count."""
-    own = rows.select(row).distinct().withColumn("_run", F.col(row) - F.row_number().over(Window.orderBy(row)))
-    return own.groupBy("_run").agg(F.min(row).alias("first"), F.max(row).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+def islands(rows: DataFrame, row: str, block_bits: int = 20) -> DataFrame:
+    """Contiguous runs of row numbers: first, last, count.
+
+    Runs are found in blocks of 2^block_bits numbers; only those that touch a block's edge, two a
+    block at most, are then put together.
+    """
+    own = rows.where(F.col(row).isNotNull()).select(F.col(row).cast("long").alias("r")).distinct().withColumn("_block", F.shiftright("r", block_bits))
+    own = own.withColumn("_run", F.col("r") - F.row_number().over(Window.partitionBy("_block").orderBy("r")))
+    runs = own.groupBy("_block", "_run").agg(F.min("r").alias("first"), F.max("r").alias("last"), F.count(F.lit(1)).alias("n"))
+    start = F.shiftleft("_block", block_bits)
+    edge = (F.col("first") == start) | (F.col("last") == start + ((1 << block_bits) - 1))
+    order = Window.orderBy("first")
+    met = runs.where(edge).withColumn("_new", F.coalesce((F.col("first") != F.lag("last").over(order) + 1).cast("int"), F.lit(1)))
+    joined = met.withColumn("_run", F.sum("_new").over(order)).groupBy("_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return runs.where(~edge).select("first", "last", "n").unionByName(joined.drop("_run"))
 
 
 def tile_sequential(ids: DataFrame, pixel: str, position: str, seed: int | None = None) -> DataFrame:

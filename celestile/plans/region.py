@@ -72,19 +72,38 @@ class Region:
 def select_region(df: DataFrame, region: Region, pixel: str, order: int, ra: str = "ra", dec: str = "dec", exact: bool = False) -> DataFrame:
     """Rows of the tiles that the region may touch; with ``exact`` only rows inside.
 
-    The pixel list prunes tiles when ``pixel`` is a partition column, row groups otherwise.
+    Ranges of pixels prune tiles when ``pixel`` is a partition column, row groups otherwise.
     """
-    out = df.where(F.col(pixel).isin(region.at(order)))
+    out = in_pixels(df, pixel, region.at(order))
     return out.where(region.exact(ra, dec)) if exact else out
 
 
 def cone_search(df: DataFrame, ra0: float, dec0: float, radius: float, *, ra: str = "ra", dec: str = "dec", pixel: str | None = None, order: int | None = None) -> DataFrame:
     """Rows within the radius, inclusive, and their separation."""
     if pixel is not None and order is not None:
-        df = df.where(F.col(pixel).isin(healpix.cover_cone(ra0, dec0, radius, order)))
+        df = in_pixels(df, pixel, healpix.cover_cone(ra0, dec0, radius, order))
     return df.withColumn("sep_deg", separation_acos(ra, dec, ra0, dec0)).where(F.col("sep_deg") <= radius)
 
 
+MOST_RANGES = 1000
+
+
+def in_pixels(df: DataFrame, pixel: str, pixels: list[int]) -> DataFrame:
+    """Rows of pixels: by ranges of neighbouring numbers, which prune tiles and row groups; by a semi join beyond MOST_RANGES of them."""
+    ends: list[list[int]] = []
+    for p in sorted(set(pixels)):
+        if ends and p == ends[-1][1] + 1:
+            ends[-1][1] = p
+        else:
+            ends.append([p, p])
+    if len(ends) > MOST_RANGES:
+        return df.join(df.sparkSession.createDataFrame([(p,) for p in sorted(set(pixels))], f"`{pixel}` long"), pixel, "left_semi")
+    own = F.lit(False)
+    for a, b in ends:
+        own = own | F.col(pixel).between(a, b)
+    return df.where(own)
+
+
 @dataclass
 class Selection:
     """Which base rows an operation works on: tiles, ids, or both; nothing is collected."""

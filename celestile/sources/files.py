@@ -39,6 +39,31 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     fs.rename(part, p)
 
 
+def read_start(spark: SparkSession, path: str, at: int, size: int, packed: bool = False) -> bytes:
+    """Up to ``size`` bytes from ``at`` on; of a gzip file, of what it unpacks to."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        if packed:
+            stream = spark._jvm.java.util.zip.GZIPInputStream(stream)
+            stream.skipNBytes(at)
+        else:
+            stream.seek(min(at, fs.getFileStatus(p).getLen()))
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+def matching(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path names: itself, those of a folder, or of a pattern."""
+    fs, p = _fs(spark, path)
+    out = []
+    for s in fs.globStatus(p) or []:
+        own = fs.listStatus(s.getPath()) if s.isDirectory() else [s]
+        out += [x.getPath().toString() for x in own if not x.isDirectory() and not x.getPath().getName().startswith(("_", "."))]
+    return sorted(out)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     write_bytes(spark, path, text.encode())
 

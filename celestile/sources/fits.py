@@ -1,14 +1,17 @@
 """FITS binary tables, by the public standard: 2880-byte blocks, big-endian columns.
 
-Files are read whole by Spark's binary source, so they may lie in any store; the schema is
-that of the first file.
+Tables are read whole by Spark's binary source, so they may lie in any store, plain or packed
+by gzip.  The schema is that of the first file; it and the counts of rows come from
+headers alone, of which the driver reads a few blocks a file.
 """
 
 from __future__ import annotations
 
+import gzip
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import matching, read_start
+
 BLOCK = 2880
+ROWS_AT_ONCE = 1 << 16
 # Fixed values of the standard: type and Spark type by TFORM letter.
 LETTERS = {"L": ("S1", "boolean"), "B": ("u1", "smallint"), "I": (">i2", "smallint"), "J": (">i4", "int"), "K": (">i8", "bigint"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string")}
 
@@ -84,28 +90,44 @@ def _value(text: str) -> str | int | float | bool:
     return text
 
 
-def units(raw: bytes) -> list[Unit]:
-    """Headers of all units; a file that ends early gives those that are whole."""
-    out, at = [], 0
-    while at + BLOCK <= len(raw):
+def units_of(read: Callable[[int, int], bytes]) -> Iterator[Unit]:
+    """Headers of all units, read(place, size) at a time; a file that ends early gives those that are whole."""
+    at = number = 0
+    while True:
         cards: dict = {}
         ended = False
-        while not ended and at + BLOCK <= len(raw):
-            for i in range(at, at + BLOCK, 80):
-                card = raw[i : i + 80].decode("ascii", "replace")
+        while not ended:
+            block = read(at, BLOCK)
+            if len(block) < BLOCK:
+                return
+            for i in range(0, BLOCK, 80):
+                card = block[i : i + 80].decode("ascii", "replace")
                 if card[:8].rstrip() == "END":
                     ended = True
                     break
                 if card[8:10] == "= ":
                     cards[card[:8].rstrip()] = _value(card[10:])
             at += BLOCK
-        if not ended:
-            break
         axes = [int(cards.get(f"NAXIS{k}", 0)) for k in range(1, int(cards.get("NAXIS", 0)) + 1)]
         size = abs(int(cards.get("BITPIX", 8))) // 8 * (math.prod(axes) + int(cards.get("PCOUNT", 0))) * int(cards.get("GCOUNT", 1)) if axes else 0
-        out.append(Unit(cards, at, size, len(out)))
+        yield Unit(cards, at, size, number)
+        number += 1
         at += -(-size // BLOCK) * BLOCK
-    return out
+
+
+def units(raw: bytes) -> list[Unit]:
+    return list(units_of(lambda at, size: raw[at : at + size]))
+
+
+def plain(raw: bytes) -> bytes:
+    """The content of a file, unpacked if it is packed by gzip."""
+    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+
+
+def header_units(spark: SparkSession, path: str) -> list[Unit]:
+    """The units of one file; reads its headers, not its data."""
+    packed = read_start(spark, path, 0, 2) == b"\x1f\x8b"
+    return list(units_of(lambda at, size: read_start(spark, path, at, size, packed)))
 
 
 def fields(unit: Unit) -> list[Field]:
@@ -145,46 +167,47 @@ def spark_schema(own: list[Field]) -> T.StructType:
     return out
 
 
-def decode(raw: bytes, unit: Unit) -> dict[str, list]:
-    """Columns of a table as Python values: masked values are null, texts are stripped."""
+def _lists(flat: pa.Array, rows: int, count: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * count + 1, count), pa.int32()), flat)
+
+
+def decode(raw: bytes, unit: Unit) -> dict[str, pa.Array]:
+    """Columns of a table as Arrow arrays: masked values are null, texts are stripped."""
     own = fields(unit)
+    if unit.cards.get("ZTABLE") is True:
+        raise ValueError("tables packed by tiles (ZTABLE) aren't supported")
     table = np.frombuffer(raw, np.dtype([f.dtype for f in own]), unit.rows, unit.start)
-    out: dict[str, list] = {}
+    out: dict[str, pa.Array] = {}
     for f in own:
         v = table[f.name]
         if f.letter == "A":
-            out[f.name] = [x.decode("utf-8", "replace").rstrip("\0 ") for x in v.tolist()]
+            out[f.name] = pa.array([x.decode("utf-8", "replace").rstrip("\0 ") for x in v.tolist()], pa.string())
             continue
+        flat = v.reshape(-1)
+        gone = flat == f.null if f.null is not None and f.letter in "BIJK" else None
         if f.letter == "L":
-            flat = np.where(v == b"T", True, False).astype(object)
-            flat[v == b"\0"] = None
-            out[f.name] = flat.tolist()
-            continue
-        gone = v == f.null if f.null is not None and f.letter in "BIJK" else None
-        if f.scale != 1 or (f.zero and f.letter not in "BIJK"):
-            x = v.astype(float) * f.scale + f.zero
-        elif f.zero:
+            made = pa.array(flat == b"T", mask=flat == b"\0")
+        elif f.scale != 1 or (f.zero and f.letter not in "BIJK"):
+            made = pa.array(flat.astype(float) * f.scale + f.zero, mask=gone)
+        elif f.zero and f.letter == "K":
             from decimal import Decimal
 
-            x = v.astype(object) + int(f.zero)
-            x = np.vectorize(Decimal, otypes=[object])(x) if f.letter == "K" and v.size else x
+            whole = (int(x) + int(f.zero) for x in flat.tolist())
+            made = pa.array([None if gone is not None and gone[i] else Decimal(x) for i, x in enumerate(whole)], pa.decimal128(20, 0))
+        elif f.zero:
+            made = pa.array(flat.astype(np.int64) + int(f.zero), mask=gone)
         else:
-            x = v.astype(v.dtype.newbyteorder("="))
-        if gone is not None and gone.any():
-            x = x.astype(object)
-            x[gone] = None
-        out[f.name] = x.tolist()
+            made = pa.array(np.ascontiguousarray(flat.astype(flat.dtype.newbyteorder("="))), mask=gone)
+        out[f.name] = made if f.count == 1 else _lists(made, unit.rows, f.count)
     return out
 
 
 def read_fits(spark: SparkSession, path: str, hdu: str = "1", with_path: bool = False) -> DataFrame:
-    """Tables of FITS files; several units are stacked and must have the same columns."""
-    files = spark.read.format("binaryFile").load(path)
-    first = files.select("content").limit(1).collect()
-    if not first:
+    """Tables of FITS files; several units are stacked: their columns must have the same names, types may be narrower than the first's."""
+    found = matching(spark, path)
+    if not found:
         raise FileNotFoundError(path)
-    head = bytes(first[0][0])
-    schema = spark_schema(fields(choose_units(units(head), hdu)[0]))
+    schema = spark_schema(fields(choose_units(header_units(spark, found[0]), hdu)[0]))
     out = T.StructType([*schema.fields, *([T.StructField("input_path", T.StringType())] if with_path else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,22 +215,24 @@ def read_fits(spark: SparkSession, path: str, hdu: str = "1", with_path: bool =
 
         arrow = to_arrow_schema(out)
         for batch in batches:
-            for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                name, raw = batch.column(0)[i].as_py(), plain(batch.column(1)[i].as_py())
                 for unit in choose_units(units(raw), hdu):
                     columns = decode(raw, unit)
                     if list(columns) != schema.names:
                         raise ValueError(f"{name}, unit {unit.number}: columns differ from the first table's")
                     if with_path:
-                        columns["input_path"] = [name] * unit.rows
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+                        columns["input_path"] = pa.array([name] * unit.rows, pa.string())
+                    table = pa.table([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+                    yield from table.to_batches(max_chunksize=ROWS_AT_ONCE)
 
-    return files.select("path", "content").mapInArrow(run, out)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, out)
 
 
 def row_count(spark: SparkSession, path: str, hdu: str = "1") -> int:
-    """Rows by the headers; no data is decoded."""
-    count = F.udf(lambda raw: sum(u.rows for u in choose_units(units(bytes(raw)), hdu)), "long")
-    return spark.read.format("binaryFile").load(path).select(F.sum(count("content"))).first()[0] or 0
+    """Rows by the headers; no data is read."""
+    with ThreadPoolExecutor(16) as pool:
+        return sum(pool.map(lambda p: sum(u.rows for u in choose_units(header_units(spark, p), hdu)), matching(spark, path)))
 
 
 def unpacked(df: DataFrame) -> DataFrame:
@@ -226,16 +251,20 @@ def _header(cards: list[bytes]) -> bytes:
     return raw.ljust(-(-len(raw) // BLOCK) * BLOCK)
 
 
-def encode(table: pa.Table, name: str = "CATALOG") -> bytes:
-    """A FITS file with one binary table.  Null texts become empty, null numbers NaN or the smallest number (TNULL)."""
+def encode(table: pa.Table, name: str = "CATALOG", widths: dict[str, int] | None = None) -> bytes:
+    """A FITS file with one binary table.  Null texts become empty, null numbers NaN or the smallest number (TNULL).
+
+    widths: bytes of a text column, elements of an array column; by default those of the table.
+    """
+    widths = widths or {}
     kinds, cards, columns = [], [], []
     for k, f in enumerate(table.schema, 1):
         x = table.column(k - 1).to_pandas()
         inner = f.type.value_type if pa.types.is_list(f.type) else f.type
-        count = max((len(v) for v in x if v is not None), default=1) if pa.types.is_list(f.type) else 1
+        count = widths.get(f.name) or max((len(v) for v in x if v is not None), default=1) if pa.types.is_list(f.type) else 1
         if pa.types.is_string(inner) or pa.types.is_large_string(inner):
             raw = [b"" if v is None else v.encode() for v in x]
-            width = max(1, max(map(len, raw), default=1))
+            width = widths.get(f.name) or max(1, max(map(len, raw), default=1))
             v, form, dtype = np.array(raw, f"S{width}"), f"{width}A", f"S{width}"
         elif pa.types.is_boolean(inner):
             v, form, dtype = np.array([b"\0" if b is None else b"T" if b else b"F" for b in x]), "L", "S1"

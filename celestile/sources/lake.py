@@ -6,22 +6,25 @@ A tile is a directory Norder=o/Dir=d/Npix=p, so that Spark prunes partitions by
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import healpix
 from ..functions.ids import LinkMode
-from ..operators.dedup import deduplicated
+from ..functions.sphere import valid_sky
+from ..operators.dedup import DuplicateIds, deduplicated
 from ..operators.predicates import is_reserved, with_constants
-from ..operators.quality import require_valid_sky
 from . import files
 from .readers import canonical
 
 LAYERS = ("catalogs", "products", "crossmatch", "areas", "shared", "cutouts", "spectra")
 INDEXES = ("_cutout_index", "_spectrum_index")
+# What marks a column as photometry, as catalogs name them.
 PHOTOMETRY_MARKS = ("MAG", "FLUX", "MPRO", "MMOD", "AB", "VEGA")
 
 
@@ -38,7 +41,7 @@ def role_of(name: str) -> str:
         return "sky"
     if low in ("z", "zerr", "z_err", "redshift", "zwarn") or low.startswith("z_"):
         return "redshift"
-    if low.endswith(("class", "type")):
+    if low.endswith(("class", "type")) or low.startswith("class"):
         return "classification"
     return "photometry" if any(m in up for m in PHOTOMETRY_MARKS) else "science"
 
@@ -59,6 +62,22 @@ def manifest(df: DataFrame, overlay: dict[str, dict] | None = None) -> dict:
     return {"columns": own, "groups": column_groups(df.columns)}
 
 
+PLACE = ("_file", "_row")
+INVALID = "invalid position"
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """df with where each row stood: its file and its number there, as far as the source tells; else its number alone."""
+    for more in ({"_file": "_metadata.file_path", "_row": "_metadata.row_index"}, {"_file": "_metadata.file_path"}, {}):
+        try:
+            out = df.withColumns({k: F.col(v) for k, v in more.items()})
+            out.schema  # noqa: B018
+        except AnalysisException:
+            continue
+        return out if "_row" in more else out.withColumn("_row", F.monotonically_increasing_id())
+    raise AssertionError
+
+
 @dataclass
 class Lake:
     spark: SparkSession
@@ -94,29 +113,71 @@ class Lake:
         return self.catalog(survey, layer).select("Npix").distinct()
 
     def ingest(self, df: DataFrame, survey: str, *, ra: str, dec: str, link: str, order: int = 5, constants: Sequence[str] = (), on_duplicate: str | None = None, mode: str = "error", require_all_parts: bool = False, layer: str = "catalogs") -> dict:
-        """Types, ids, pixels, duplicates, tiles, descriptor.  One shuffle, on the tile."""
-        df = with_constants(canonical(df), constants)
-        require_valid_sky(df, ra, dec)
+        """Types, ids, pixels, duplicates, tiles, descriptor.  One pass over the source, which ends at the first invalid position.
+
+        Of rows of one id the first or last in the order of files and their rows stays, by
+        ``on_duplicate`` (skip, last, error); with ``mode`` append it also holds against
+        what the tiles have.
+        """
+        placed = with_place(df) if on_duplicate in ("skip", "last") else df
+        df = with_constants(canonical(placed), constants)
+        df = df.withColumn(ra, F.when(valid_sky(ra, dec), F.col(ra)).otherwise(F.raise_error(F.concat_ws(" ", F.lit(INVALID), F.col(ra).cast("string"), F.col(dec).cast("string")))))
         made = df.withColumn("_source_id", LinkMode.parse(link).id(df.schema, require_all_parts))
         made = healpix.with_pixel(made, ra, dec, order, f"_healpix_order{order}")
         made = made.withColumns({c: F.lit(-1).cast("long") for c in INDEXES if c not in df.columns})
-        if on_duplicate:
-            made = deduplicated(made, "_source_id", [c for c in df.columns if c not in ("_source_id",)][:3], on_duplicate)
-        return self.write_tiles(made, survey, order=order, layer=layer, mode=mode, about={"ra_column": ra, "dec_column": dec, "link_id_mode": link})
-
-    def write_tiles(self, df: DataFrame, survey: str, *, order: int, layer: str = "catalogs", mode: str = "error", about: dict | None = None, finalize: bool = True) -> dict:
-        """mode: error, overwrite (the whole tree), skip (tiles that are there stay), append."""
+        try:
+            if on_duplicate:
+                made = deduplicated(made, "_source_id", [c for c in PLACE if c in made.columns], on_duplicate).drop(*PLACE)
+            return self.write_tiles(made, survey, order=order, layer=layer, mode=mode, on_duplicate=on_duplicate or "append", about={"ra_column": ra, "dec_column": dec, "link_id_mode": link})
+        except Exception as e:
+            if INVALID in str(e):
+                raise ValueError(str(e)[str(e).index(INVALID) :].split("\n")[0]) from e
+            raise
+
+    def write_tiles(self, df: DataFrame, survey: str, *, order: int, layer: str = "catalogs", mode: str = "error", on_duplicate: str = "append", about: dict | None = None, finalize: bool = True) -> dict:
+        """mode: error, overwrite (the tiles that df has rows of), skip (tiles that are there stay), append.
+
+        Appending, ``on_duplicate`` says what becomes of ids that a tile has already: append keeps
+        both, skip the old row, last the new one, error raises.  Other tiles are never touched.
+        """
         pixel, top = f"_healpix_order{order}", self.path(layer, survey)
         there = files.exists(self.spark, f"{top}/Norder={order}")
         if there and mode == "error":
             raise FileExistsError(f"{top} holds a catalog")
         if there and mode == "skip":
             df = df.join(self.catalog(survey, layer, order).select(F.col("Npix").cast("long").alias(pixel)).distinct(), pixel, "left_anti")
+        staged = None
+        if there and mode == "append" and on_duplicate != "append":
+            df, staged = self._merged(df, survey, order, layer, on_duplicate)
         placed = df.withColumns({"Dir": healpix.dir_bucket(pixel), "Npix": F.col(pixel)})
         out = placed.repartition("Dir", "Npix").sortWithinPartitions("Npix", "_source_id").write.option("compression", "zstd")
-        out.mode("overwrite" if mode == "overwrite" else "append").partitionBy("Dir", "Npix").parquet(f"{top}/Norder={order}")
+        if mode == "overwrite" or staged:
+            out = out.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        else:
+            out = out.mode("append")
+        out.partitionBy("Dir", "Npix").parquet(f"{top}/Norder={order}")
+        if staged:
+            files.delete(self.spark, staged)
         return self.finalize(survey, order, layer, about or {}) if finalize else {}
 
+    def _merged(self, df: DataFrame, survey: str, order: int, layer: str, policy: str) -> tuple[DataFrame, str | None]:
+        """The rows to append; or, with a folder they are staged in, the whole of the tiles that change."""
+        pixel = f"_healpix_order{order}"
+        touched = df.select(F.col(pixel).alias("_p")).distinct()
+        old = self.catalog(survey, layer, order)
+        old = old.join(touched, old["Npix"].cast("long") == F.col("_p"), "left_semi").drop("Dir", "Npix")
+        if policy in ("skip", "error"):
+            known = old.select(F.col("_source_id").alias("_known"), F.col(pixel).alias("_p"))
+            same = (F.col("_source_id") == F.col("_known")) & (F.col(pixel) == F.col("_p"))
+            if policy == "error" and (clash := df.join(known, same, "left_semi").select("_source_id").limit(5).collect()):
+                raise DuplicateIds("ids are there already: " + ", ".join(str(r[0]) for r in clash))
+            return df.join(known, same, "left_anti"), None
+        changed = df.where("_source_id is not null").select("_source_id", pixel).distinct()
+        rest = old.join(changed, ["_source_id", pixel], "left_anti").select(old.columns)
+        staged = f"{self.path(layer, survey)}/.staged-{uuid.uuid4().hex}"
+        rest.unionByName(df, allowMissingColumns=True).write.parquet(staged)
+        return self.spark.read.parquet(staged), staged
+
     def finalize(self, survey: str, order: int, layer: str = "catalogs", about: dict | None = None) -> dict:
         """Descriptor and manifest from what is stored."""
         df, top = self.catalog(survey, layer, order), self.path(layer, survey)

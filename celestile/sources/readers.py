@@ -60,7 +60,7 @@ def read_table(spark: SparkSession, path: str, *, kind: str = "auto", hdu: str =
     if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind == "fits":
-        df = fits.read_fits(spark, path, hdu)
+        df = fits.read_fits(spark, path, hdu)  # plain or .gz; .fz holds tables packed by tiles, which raise
     elif kind == "votable":
         df = read_votable(spark, path)
     elif kind == "list":

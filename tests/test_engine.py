@@ -4,7 +4,7 @@ import json
 import numpy as np
 import pytest
 from celestile.functions import healpix, ids, photometry, spectra, sphere, text
-from celestile.operators import counting, crossmatch, dedup, gather, homogenize, lookup, master, predicates, quality
+from celestile.operators import arrays, counting, crossmatch, dedup, gather, homogenize, lookup, master, predicates, quality
 from celestile.plans.area import Area, Layer, cost, ingest_advice, parse_partner, run_area, suggest_match
 from celestile.plans.region import Region, select_region
 from celestile.sources import fits, readers, writers
@@ -222,12 +222,13 @@ def test_lake_ingest_append_and_area(spark, tmp_path):
         lake.ingest(raw, "A", ra="RA", dec="DEC", link="column:objid", order=3)
     with pytest.raises(ValueError):
         lake.ingest(raw.withColumn("DEC", F.lit(95.0)), "X", ra="RA", dec="DEC", link="column:objid")
-    more = healpix.with_pixel(raw.limit(20).withColumn("_source_id", F.col("objid").cast("long") + 190), "RA", "DEC", 3, "_healpix_order3")
+    again, new, bare = raw.where("objid >= 190"), raw.where("objid < 10").withColumn("objid", F.col("objid") + 200), raw.where("objid < 3").withColumn("objid", F.lit(None).cast("int"))
+    more = healpix.with_pixel(again.union(new).union(bare).withColumn("_source_id", F.col("objid").cast("long")), "RA", "DEC", 3, "_healpix_order3")
     more.select("_source_id", "RA", "DEC", "MAG_G", "_healpix_order3").write.parquet(f"{tmp_path}/incoming")
     for _ in range(2):  # a second run adds nothing
         stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/incoming").schema).parquet(f"{tmp_path}/incoming")
         live.append_live(stream, lake, "A", 3, f"{tmp_path}/cp{_}").awaitTermination()
-    assert live.finish(lake, "A", 3)["total_rows"] == 210
+    assert live.finish(lake, "A", 3)["total_rows"] == 213
     sky_of = crossmatch.Sky("_source_id", "RA", "DEC", "_healpix_order3")
     area = Area.load(json.dumps({"name": "My Area", "region": {"cone": [0, 0, 5]}, "crossmatch_plan": {"base": "A", "partners": ["B:3.0"]}, "gather": {"columns": {"B": ["MAG_G"]}}}))
     out = run_area(area, {"A": Layer(own, sky_of, 3), "B": Layer(own, sky_of, 3)})
@@ -243,6 +244,103 @@ def test_lake_ingest_append_and_area(spark, tmp_path):
     assert (tmp_path / "m.txt").read_text() == "1/0\n"
 
 
+def test_tile_modes_touch_their_tiles_only(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame([(i, p, v) for i, p, v in x], "_source_id long, _healpix_order3 long, v int")
+    held = lambda: sorted((r._source_id, r._healpix_order3, r.v) for r in lake.catalog("A", order=3).collect())
+    lake.write_tiles(rows((1, 5, 1), (2, 5, 1), (3, 9, 1)), "A", order=3)
+    lake.write_tiles(rows((4, 5, 2)), "A", order=3, mode="overwrite")
+    assert held() == [(3, 9, 1), (4, 5, 2)]
+    lake.write_tiles(rows((3, 9, 3), (7, 9, 3)), "A", order=3, mode="append", on_duplicate="skip")
+    assert held() == [(3, 9, 1), (4, 5, 2), (7, 9, 3)]
+    lake.write_tiles(rows((3, 9, 4), (8, 11, 4)), "A", order=3, mode="append", on_duplicate="last")
+    assert held() == [(3, 9, 4), (4, 5, 2), (7, 9, 3), (8, 11, 4)]
+    with pytest.raises(dedup.DuplicateIds):
+        lake.write_tiles(rows((8, 11, 5)), "A", order=3, mode="append", on_duplicate="error")
+    lake.write_tiles(rows((9, 11, 6), (9, 12, 6)), "A", order=3, mode="skip")
+    assert held() == [(3, 9, 4), (4, 5, 2), (7, 9, 3), (8, 11, 4), (9, 12, 6)]
+
+
+@pytest.mark.parametrize(("policy", "kept"), [("skip", 0), ("last", 5)])
+def test_duplicates_at_ingest_go_by_file_order(spark, tmp_path, policy, kept):
+    for k in range(3):
+        spark.createDataFrame([(1, 10.0 - k, 5.0, 2 * k), (1, 10.0 - k, 5.0, 2 * k + 1)], "objid int, ra double, dec double, v int").coalesce(1).write.parquet(f"{tmp_path}/in/{k}.parquet")
+    lake = Lake(spark, str(tmp_path))
+    lake.ingest(spark.read.parquet(f"{tmp_path}/in/*"), "A", ra="ra", dec="dec", link="column:objid", order=1, on_duplicate=policy)
+    assert [r.v for r in lake.catalog("A").collect()] == [kept]
+
+
+def test_gather_by_tile_reads_the_same(spark):
+    base = spark.createDataFrame([(1, 10), (2, 11)], "_source_id long, x int")
+    partner = spark.createDataFrame([(7, 3, "a"), (7, 4, "other tile"), (8, 5, "b")], "_source_id long, Npix int, t string")
+    links = spark.createDataFrame([(1, 7, 0.5, 3), (1, 8, 0.7, 5), (9, 8, 0.1, 5)], "source_id_a long, source_id_b long, sep_arcsec float, healpix_npix_b long")
+    got = gather.gather(base, [gather.GatherPartner("P", partner, links, ["t"], pixel="Npix")]).orderBy("_source_id").collect()
+    assert [(r._source_id, r.P_t) for r in got] == [(1, "a"), (2, None)]
+    every = gather.gather(base, [gather.GatherPartner("P", partner, links, ["t"], pixel="Npix")], multiplicity="all").collect()
+    assert sorted((r._source_id, str(r.P_t)) for r in every) == [(1, "a"), (1, "b"), (2, "None")]
+
+
+def test_islands_across_blocks(spark):
+    rng = np.random.default_rng(3)
+    own = sorted(set(rng.integers(0, 200, 150).tolist()))
+    want = {}
+    for v in own:
+        first = want.pop(v - 1, (v, 0))
+        want[v] = (first[0], first[1] + 1)
+    df = spark.createDataFrame([(v,) for v in own * 2] + [(None,)], "r long")
+    for bits in (1, 3, 20):
+        assert sorted((r["first"], r["last"], r["n"]) for r in lookup.islands(df, "r", bits).collect()) == sorted((a, v, n) for v, (a, n) in want.items())
+
+
+def test_packed_records_and_widths(spark):
+    one = spark.createDataFrame([(0.5, "DESI", 10.0, "a.fits"), (None, None, None, None)], "z double, instr string, ra double, source_file string")
+    back = one.select(arrays.unpacked_record(arrays.packed_record({c: c for c in one.columns})).alias("m"), F.length(arrays.packed_record({})).alias("n")).collect()
+    assert [(r.m.z, r.m.instr, r.m.ra, r.m.source_file, r.m.R, r.n) for r in back] == [(0.5, "DESI", 10.0, "a.fits", 0.0, 236), (0.0, "", 0.0, "", 0.0, 236)]
+    assert spark.range(1).select(arrays.unpacked_record(F.lit(b"short")).alias("m")).first().m is None
+    wcs = {"crval1": 10.0, "crval2": 20.0, "crpix1": 5.0, "crpix2": 5.0, "cd1_1": -0.01, "cd1_2": 0.0, "cd2_1": 0.0, "cd2_2": 0.01, "naxis1": 9, "naxis2": 9}
+    own = spark.range(1).select(arrays.unpacked_record(arrays.packed_record({k: F.lit(v) for k, v in wcs.items()}, arrays.WCS), arrays.WCS).alias("w"))
+    r = own.select(arrays.pixel_to_sky("w", 5, 5).alias("mid"), arrays.pixel_to_sky("w", 5, 6).alias("up"), arrays.wcs_cards("w").alias("c")).first()
+    assert (r.mid.ra, r.mid.dec, r.up.ra) == pytest.approx((10, 20, 10)) and r.up.dec == pytest.approx(20.01, abs=1e-6) and r.c["CTYPE1"] == "RA---TAN" and r.c["NAXIS1"] == "9"
+    df = spark.createDataFrame([([1.0], [1.0], [0]), ([1.0, 2.0, 3.0], [1.0, 1.0, 1.0], [0, 0, 0]), (None, None, None)], "flux array<double>, ivar array<double>, mask array<int>")
+    wide = arrays.widened(df).collect()
+    assert [len(r.flux) for r in wide[:2]] == [3, 3] and wide[0].mask == [0, 1, 1] and wide[0].ivar == [1.0, 0.0, 0.0] and wide[2].flux is None
+    assert [len(r.flux) for r in arrays.widened(df, 2, policy="truncate").collect()[:2]] == [2, 2]
+    for width, policy in ((2, "pad"), (3, "error")):
+        with pytest.raises(Exception, match="elements"):
+            arrays.widened(df, width, policy=policy).collect()
+    sky_rows = frame(spark, 500, 4)
+    assert 30 < arrays.sky_sample(sky_rows, "ra", "dec", 60).count() < 100 and arrays.sky_sample(sky_rows, "ra", "dec").count() == 500
+
+
+def test_explicit_uncertainties_and_recipe_checks(spark):
+    recipe = homogenize.Recipe.load(json.dumps({"survey": "S", "rules": [
+        {"source": "f", "target": "m", "error": "e", "steps": [{"type": "scale", "factor": 2}, {"type": "flux_to_ab", "zero_point": 22.5}], "error_steps": [{"type": "scale", "factor": -2}, {"type": "flux_to_ab", "zero_point": 0}, {"type": "mag_offset", "delta": 0.1}]},
+        {"source": "f", "target": "i", "error": "e", "steps": {"type": "inverse"}, "error_steps": {"type": "inverse"}},
+        {"source": "f", "target": "j", "error": "e", "steps": {"type": "inverse"}},
+        {"source": "f", "target": "s", "error": "e", "steps": {"type": "scale", "factor": -3}},
+    ]}))
+    r = homogenize.homogenize_product(spark.createDataFrame([(4.0, 0.5)], "f double, e double"), [recipe]).first()
+    k = photometry.MAG_PER_RELATIVE_FLUX
+    assert (r.m_err, r.i_err, r.j_err, r.s_err) == pytest.approx((k * -1.0 / -16 + 0.1, 2.0, 0.5, -1.5))
+    for wrong in ({"type": "scale"}, {"type": "flux_to_ab"}, {"type": "mag_offset"}, {}):
+        with pytest.raises(ValueError):
+            homogenize.Recipe.load(json.dumps({"survey": "S", "rules": [{"source": "x", "target": "y", "steps": [wrong]}]}))
+
+
+def test_packed_fits_and_header_reads(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(i, i / 2, f"t{i}") for i in range(5)], "id long, x double, t string")
+    writers.write_extract(df, f"{tmp_path}/a.fits", "fits")
+    raw = open(f"{tmp_path}/a.fits", "rb").read()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.fits.gz").write_bytes(gzip.compress(raw))
+    (tmp_path / "in" / "c.fits").write_bytes(raw)
+    assert fits.row_count(spark, f"{tmp_path}/in") == 10 and readers.read_table(spark, f"{tmp_path}/in/b.fits.gz").count() == 5
+    got = fits.read_fits(spark, f"{tmp_path}/in", with_path=True)
+    assert sorted((r.id, r.x, r.t) for r in got.collect()) == sorted([(i, i / 2, f"t{i}") for i in range(5)] * 2) and got.select("input_path").distinct().count() == 2
+
+
 def test_planning_helpers(spark):
     assert crossmatch.parse_tree_name(crossmatch.tree_name("A", "B", 1)) == {"a": "A", "b": "B", "mode": "sky", "radius_arcsec": 1.0}
     assert crossmatch.parse_tree_name(crossmatch.tree_name("A", "B", columns=("x", "y")))["columns"] == ("x", "y")
