@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_BYTES = 320 << 20
+CACHE_BYTES = 192 << 20
 PIECE_BYTES = 200  # of a piece: its text, its place in a dict, its ids
 ROW = 400  # pieces in a text that the tokenizer gets
 SEPARATOR = "<|endoftext|>"
