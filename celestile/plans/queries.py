@@ -137,10 +137,10 @@ def gather_where_joined(spark, sf_dir):
     return gathered(spark, sf_dir, where_joined="WHERE L_l_quantity > 30 AND o_totalprice > 1000")
 
 
-@query("SELECT o_custkey AS want_id, o_orderkey AS master_o_orderkey, c_name AS cust_c_name, n_name AS nation_n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = o_orderkey % 25 WHERE o_custkey % 7 = 3")
+@query("SELECT o_custkey AS want_id, o_orderkey AS master_o_orderkey, c_name AS cust_c_name, n_name AS nation_n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = o_orderkey % 25")
 def want_master_catalogs(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.expr("CAST(o_orderkey % 25 AS INT)").alias("nation_id"))
-    want = table(spark, sf_dir, "orders").select("o_custkey").where("o_custkey % 7 = 3").distinct()
+    want = table(spark, sf_dir, "orders").select("o_custkey").distinct()
     catalogs = {"Cust": (table(spark, sf_dir, "customer"), "c_custkey"), "Nation": (table(spark, sf_dir, "nation"), "n_nationkey")}
     return master.want_master_catalogs(spark, want, orders, "Cust", {"Cust": "o_custkey", "Nation": "nation_id"}, catalogs, {"Cust": ["c_name"], "Nation": ["n_name"]}, ["o_orderkey"])
 
@@ -236,11 +236,11 @@ def id_lookup_in_tiles(spark, sf_dir):
     return lookup.by_ids_in_tiles(orders, wanted, [3, 5], "pix", "o_orderkey").select("o_orderkey")
 
 
-@query("WITH links AS (SELECT l_orderkey, l_partkey % 48 AS npix, l_linenumber - 3 AS idx FROM lineitem) SELECT a.o_orderkey, coalesce(m.npix, -1) AS npix, coalesce(m.idx, -1) AS idx FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey + 100000000 FROM orders WHERE o_orderkey % 50 = 0) a LEFT JOIN (SELECT l_orderkey, npix, CAST(idx AS BIGINT) AS idx FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY npix, idx) AS r FROM links WHERE idx >= 0) WHERE r = 1) m ON m.l_orderkey = a.o_orderkey")
+@query("WITH links AS (SELECT l_orderkey, l_partkey % 48 AS npix, l_linenumber - 3 AS idx FROM lineitem) SELECT a.o_orderkey, coalesce(m.npix, -1) AS npix, coalesce(m.idx, -1) AS idx FROM (SELECT o_orderkey FROM orders UNION ALL SELECT -o_orderkey FROM orders) a LEFT JOIN (SELECT l_orderkey, npix, CAST(idx AS BIGINT) AS idx FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY npix, idx) AS r FROM links WHERE idx >= 0) WHERE r = 1) m ON m.l_orderkey = a.o_orderkey")
 def tile_locate(spark, sf_dir):
     links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.expr("l_partkey % 48").alias("npix"), F.expr("l_linenumber - 3").alias("idx"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    asked = orders.where("o_orderkey % 3 = 0").unionByName(orders.where("o_orderkey % 50 = 0").select((F.col("o_orderkey") + 100000000).alias("o_orderkey")))
+    asked = orders.unionByName(orders.select((-F.col("o_orderkey")).alias("o_orderkey")))
     return lookup.tile_of(links, asked, index="idx", pixels=["npix"], id_col="o_orderkey")
 
 
@@ -393,12 +393,12 @@ def repeated_ids(spark, sf_dir):
     return dedup.repeated(table(spark, sf_dir, "events"), "user_id")
 
 
-HALVES = "old AS (SELECT event_id, user_id, value FROM events WHERE event_id % 4 = 0), new AS (SELECT event_id, user_id, value FROM events WHERE event_id % 4 = 1)"
+HALVES = "old AS (SELECT event_id, user_id, value FROM events WHERE event_id % 2 = 0), new AS (SELECT event_id, user_id, value FROM events WHERE event_id % 2 <> 0 OR event_id IS NULL)"
 
 
 def halves(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    return events.where("event_id % 4 = 0"), events.where("event_id % 4 = 1")
+    return events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0 OR event_id IS NULL")
 
 
 @query(f"WITH {HALVES} SELECT * FROM old UNION ALL SELECT * FROM new WHERE user_id IS NULL OR user_id NOT IN (SELECT user_id FROM old WHERE user_id IS NOT NULL)")
@@ -534,17 +534,17 @@ def spectra_clip_limits(spark, sf_dir):
     return own.select("vec_id", F.round("l.low", 6).alias("low"), F.round("l.high", 6).alias("high"))
 
 
-@query("SELECT vec_id, list_transform(embedding[1:64], lambda x, i: round(CAST(x AS DOUBLE) * CASE (i - 1) // 16 WHEN 0 THEN 2.0 WHEN 1 THEN 0.5 ELSE 3.0 END, 6)) AS image FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x, i: round(CAST(x AS DOUBLE) * CASE (i - 1) // 16 WHEN 0 THEN 2.0 WHEN 1 THEN 0.5 ELSE 3.0 END, 6)) AS image FROM embeddings")
 def cutout_band_scale(spark, sf_dir):
-    own = spectrum_rows(spark, sf_dir).select("vec_id", F.slice("flux", 1, 64).alias("image"))
+    own = spectrum_rows(spark, sf_dir).select("vec_id", F.col("flux").alias("image"))
     out = homogenize.homogenize_cutouts(own, [2.0, 0.5], 16, default=3.0)
     return out.select("vec_id", F.transform("image", lambda x: F.round(x, 6)).alias("image"))
 
 
-@query("WITH a AS (SELECT DISTINCT o_custkey % 450 AS vec_id, 10000 - o_custkey % 450 AS pos FROM orders UNION ALL SELECT 7, 1 UNION ALL SELECT 7, 2) SELECT a.pos, a.vec_id, e.label FROM a JOIN embeddings e ON e.vec_id = a.vec_id ORDER BY a.pos")
+@query("WITH a AS (SELECT vec_id, -vec_id AS pos FROM embeddings UNION ALL SELECT vec_id, vec_id + 1000000000 FROM embeddings) SELECT a.pos, a.vec_id, e.label FROM a JOIN embeddings e ON e.vec_id = a.vec_id ORDER BY a.pos")
 def batch_lookup_order(spark, sf_dir):
-    asked = table(spark, sf_dir, "orders").select(F.expr("o_custkey % 450").alias("vec_id")).distinct().withColumn("pos", 10000 - F.col("vec_id"))
-    asked = asked.unionByName(spark.createDataFrame([(7, 1), (7, 2)], "vec_id long, pos long"))
+    own = table(spark, sf_dir, "embeddings").select("vec_id")
+    asked = own.withColumn("pos", -F.col("vec_id")).unionByName(own.withColumn("pos", F.col("vec_id") + 1000000000))
     return lookup.batch(table(spark, sf_dir, "embeddings").select("vec_id", "label"), asked, "pos", "vec_id").select("pos", "vec_id", "label")
 
 
@@ -581,15 +581,16 @@ def fiber_lookup(spark, sf_dir):
 
 
 @query("""
-WITH cat AS (SELECT CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE o_orderkey % 100 END AS i, o_orderkey % 12 AS p FROM orders),
-spec AS (SELECT l_orderkey + CASE WHEN l_orderkey % 31 = 0 THEN 1000000000 ELSE 0 END AS id, l_orderkey % 12 AS p, l_orderkey % 100 AS i FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 <> 0 AND l_orderkey < 600),
+WITH cat AS (SELECT CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE o_orderkey // 12 + CASE WHEN o_orderkey % 9 = 1 THEN 1 ELSE 0 END END AS i, o_orderkey % 12 AS p FROM orders),
+spec AS (SELECT l_orderkey + CASE WHEN l_orderkey % 31 = 0 THEN 1000000000 ELSE 0 END AS id, l_orderkey % 12 AS p, l_orderkey // 12 AS i FROM lineitem GROUP BY l_orderkey HAVING min(l_quantity) > 5),
 fwd AS (SELECT CASE WHEN c.id IS NULL THEN 'null_id' WHEN s.i IS NULL THEN 'stale' WHEN s.id <> c.id THEN 'wrong_id' ELSE 'ok' END AS state FROM cat c LEFT JOIN spec s ON s.p = c.p AND s.i = c.i WHERE c.i >= 0),
 un AS (SELECT CASE WHEN c.id IN (SELECT id FROM spec) THEN 'unpatched' ELSE 'unlinked' END AS state FROM cat c WHERE c.i < 0),
 orphan AS (SELECT 'orphan' AS state FROM spec WHERE id NOT IN (SELECT id FROM cat WHERE id IS NOT NULL))
 SELECT state, count(*) AS n FROM (SELECT * FROM fwd UNION ALL SELECT * FROM un UNION ALL SELECT * FROM orphan) GROUP BY state""")
 def link_validation(spark, sf_dir):
-    catalog = table(spark, sf_dir, "orders").select(F.expr("CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderkey END").alias("_source_id"), F.expr("CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE o_orderkey % 100 END").alias("_spectrum_index"), F.expr("o_orderkey % 12").alias("npix"))
-    spec = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_orderkey % 5 <> 0 AND l_orderkey < 600").select(F.expr("l_orderkey + CASE WHEN l_orderkey % 31 = 0 THEN 1000000000 ELSE 0 END").alias("_source_id"), F.expr("l_orderkey % 12").alias("npix"), F.expr("l_orderkey % 100").alias("idx"))
+    catalog = table(spark, sf_dir, "orders").select(F.expr("CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderkey END").alias("_source_id"), F.expr("CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE o_orderkey div 12 + IF(o_orderkey % 9 = 1, 1, 0) END").alias("_spectrum_index"), F.expr("o_orderkey % 12").alias("npix"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").alias("least")).where("least > 5")
+    spec = lines.select(F.expr("l_orderkey + CASE WHEN l_orderkey % 31 = 0 THEN 1000000000 ELSE 0 END").alias("_source_id"), F.expr("l_orderkey % 12").alias("npix"), F.expr("l_orderkey div 12").alias("idx"))
     return quality.link_counters(quality.link_states(catalog, spec))
 
 

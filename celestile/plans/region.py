@@ -85,11 +85,15 @@ def cone_search(df: DataFrame, ra0: float, dec0: float, radius: float, *, ra: st
     return df.withColumn("sep_deg", separation_acos(ra, dec, ra0, dec0)).where(F.col("sep_deg") <= radius)
 
 
-MOST_RANGES = 1000
+MOST_LISTED = 4096
+MOST_RANGES = 16
 
 
 def in_pixels(df: DataFrame, pixel: str, pixels: list[int]) -> DataFrame:
-    """Rows of pixels: by ranges of neighbouring numbers, which prune tiles and row groups; by a semi join beyond MOST_RANGES of them."""
+    """Rows of pixels: by a list of MOST_LISTED at most, else by ranges of neighbouring numbers, which both prune tiles and
+    row groups; beyond MOST_RANGES of them by a semi join, so that no plan grows with the region."""
+    if len(pixels) <= MOST_LISTED:
+        return df.where(F.col(pixel).isin(list(pixels)))
     ends: list[list[int]] = []
     for p in sorted(set(pixels)):
         if ends and p == ends[-1][1] + 1:

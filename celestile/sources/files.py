@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 
@@ -25,13 +30,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
-    """Written under another name and then renamed, so that no reader sees half of it."""
+@contextmanager
+def writing(spark: SparkSession, path: str) -> Iterator[Callable[[bytes], None]]:
+    """Gives a function that appends to a new file.  It is written under another name and then renamed, so that no reader sees half of it."""
     fs, p = _fs(spark, path)
     part = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     out = fs.create(part, True)
     try:
-        out.write(bytearray(content))
+        yield lambda content: out.write(bytearray(content))
     finally:
         out.close()
     if fs.exists(p):
@@ -39,6 +45,25 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     fs.rename(part, p)
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    with writing(spark, path) as out:
+        out(content)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; a local session without it gets a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="celestile-")
+    path = f"{top}/celestile-tables/{uuid.uuid4().hex}"
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def read_start(spark: SparkSession, path: str, at: int, size: int, packed: bool = False) -> bytes:
     """Up to ``size`` bytes from ``at`` on; of a gzip file, of what it unpacks to."""
     fs, p = _fs(spark, path)

@@ -6,9 +6,11 @@ import hashlib
 import io
 import json
 import tarfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,3 +145,121 @@ def verify_tile(spark: SparkSession, archive: str) -> list[str]:
 def write_parts(df: DataFrame, path: str, rows_a_file: int) -> None:
     """Spectra or cutouts as files of bounded size."""
     df.write.option("maxRecordsPerFile", rows_a_file).option("compression", "zstd").parquet(path)
+
+
+def _layout(df: DataFrame) -> dict[str, int]:
+    """Bytes of each text column and elements of each array column, one pass: what a FITS table must know before its first row."""
+    wide = {f.name: F.max(F.octet_length(f.name)) for f in df.schema if isinstance(f.dataType, T.StringType)}
+    wide |= {f.name: F.max(F.size(f.name)) for f in df.schema if isinstance(f.dataType, T.ArrayType)}
+    if not wide:
+        return {}
+    found = df.agg(*(c.alias(n) for n, c in wide.items())).first()
+    return {n: max(1, found[n] or 0) for n in wide}
+
+
+def write_fits_parts(df: DataFrame, folder: str, order: list[str], rows_a_part: int = 50_000, resume: bool = False) -> dict:
+    """df as FITS files of up to rows_a_part rows each, in ``order``, and a manifest.
+
+    Executors encode parts, the driver writes them one at a time, so no task holds more than a part.
+    With ``resume`` parts that are there stay.  All parts have one layout, so they can be merged.
+    ``order`` should tell all rows apart: a part is then the same in every run.
+    """
+    spark, widths, schema = df.sparkSession, _layout(df), df.schema
+    n = df.count()
+    parts = max(1, -(-n // rows_a_part))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def close(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nonlocal number
+            table = pa.Table.from_batches(rows)
+            name = f"part-{part:06d}-{number:04d}.fits"
+            number += 1
+            raw = fits.encode(table, widths=widths)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([table.num_rows], pa.int64()), pa.array([raw], pa.binary())], names=["name", "rows", "content"])
+
+        for batch in batches:
+            while batch.num_rows:
+                take = min(batch.num_rows, rows_a_part - size)
+                held.append(batch.slice(0, take))
+                batch, size = batch.slice(take), size + take
+                if size == rows_a_part:
+                    yield close(held)
+                    held, size = [], 0
+        if held:
+            yield close(held)
+
+    listed = []
+    for r in placed.mapInArrow(run, "name string, rows long, content binary").toLocalIterator():
+        path = f"{folder}/{r['name']}"
+        if not (resume and files.exists(spark, path)):
+            files.write_bytes(spark, path, bytes(r["content"]))
+        listed.append({"name": r["name"], "rows": r["rows"], "sha256": hashlib.sha256(bytes(r["content"])).hexdigest()})
+    if not listed:
+        raw = fits.encode(schema_table(schema), widths=widths)
+        files.write_bytes(spark, f"{folder}/part-000000-0000.fits", raw)
+        listed.append({"name": "part-000000-0000.fits", "rows": 0, "sha256": hashlib.sha256(raw).hexdigest()})
+    manifest = {"rows": n, "rows_a_part": rows_a_part, "parts": listed}
+    files.write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, indent=1))
+    return manifest
+
+
+def schema_table(schema: T.StructType) -> pa.Table:
+    """An empty table of a schema."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema).empty_table()
+
+
+def merge_fits_parts(spark: SparkSession, folder: str, path: str) -> int:
+    """The parts of a folder as one FITS file, appended part by part; the number of rows."""
+    listed = json.loads(files.read_text(spark, f"{folder}/manifest.json"))["parts"]
+    total = sum(p["rows"] for p in listed)
+    with files.writing(spark, path) as out:
+        size = 0
+        for k, p in enumerate(listed):
+            raw = files.read_start(spark, f"{folder}/{p['name']}", 0, (1 << 31) - 1)
+            unit = fits.choose_units(fits.units(raw), "1")[0]
+            if k == 0:
+                head = raw[: unit.start]
+                card = next(i for i in range(fits.BLOCK, len(head), 80) if head[i : i + 8] == b"NAXIS2  ")
+                out(head[:card] + fits._card("NAXIS2", total) + head[card + 80 :])
+            data = raw[unit.start : unit.start + int(unit.cards["NAXIS1"]) * unit.rows]
+            out(data)
+            size += len(data)
+        out(b"\0" * (-size % fits.BLOCK))
+    return total
+
+
+def fits_differences(df: DataFrame, path: str) -> dict[str, int]:
+    """Rows of df that a FITS extract (file or folder of parts) lacks, and rows that it has besides: a round trip.
+
+    FITS has no null texts, and numbers of other widths: both sides are compared in the form that it gives.
+    """
+    back = fits.read_fits(df.sparkSession, path)
+    kinds = dict(back.dtypes)
+
+    def form(c: str, kind: str) -> Column:
+        own = F.col(c)
+        if kind == "string":
+            return F.coalesce(F.rtrim(own), F.lit(""))
+        if kind in ("float", "double"):
+            return F.coalesce(own.cast(kind), F.lit(float("nan")).cast(kind))
+        return own.cast(kind)
+
+    one, other = (x.select(*(form(c, kinds[c]).alias(c) for c in back.columns)) for x in (df, back))
+    return {"missing": one.exceptAll(other).count(), "besides": other.exceptAll(one).count()}
+
+
+def write_registry(reg: DataFrame, tiles: dict[str, DataFrame], folder: str) -> None:
+    """The registry of surveys, and the tiles of each with their rows, as Parquet; rewritten whole."""
+    reg.write.mode("overwrite").parquet(f"{folder}/surveys.parquet")
+    for name, df in tiles.items():
+        df.write.mode("overwrite").parquet(f"{folder}/tiles/{name}.parquet")
+
+
+def write_bridge(bridge: DataFrame, path: str) -> None:
+    """The sidecar of a target list: its identity columns with the ids they lead to, sorted by id."""
+    bridge.repartitionByRange("_source_id").sortWithinPartitions("_source_id").write.option("compression", "zstd").parquet(path)

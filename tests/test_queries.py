@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from celestile.plans import queries
+from celestile.plans import queries, queries_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
