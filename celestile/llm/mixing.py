@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import save
+
 WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 256
 
@@ -162,5 +164,8 @@ FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
 
 def mix_digest(df: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes) of each document."""
-    mixed = mix(df, keep=["doc_id"], **options)
+    id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    # texts are read and counted once; what follows works on sizes
+    slim = save(df.select(F.struct(F.col(id_col).alias("doc_id")).alias("_row"), *_inputs(id_col, text_col, source_col)), "sizes")
+    mixed = _mix(slim, options.get("weights", (5, 2, 1)), options.get("cap", 3), options.get("seed", "mix")).select("_row.*", "_size", "_source_size", "_target", "_copies")
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
