@@ -58,6 +58,12 @@ def tree_stats(df: DataFrame, pixel: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(pixel).alias("tiles"))
 
 
+def crossmatch_count(association: DataFrame, pixels: DataFrame | None = None) -> DataFrame:
+    """rows and tiles of an association, within a set of the base's pixels if given."""
+    own = association if pixels is None else in_region(association, "healpix_npix_a", pixels)
+    return own.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("healpix_npix_a").alias("tiles"))
+
+
 def registry(rows: Sequence[DataFrame]) -> DataFrame:
     """One table of survey rows with whatever keys they have."""
     out = rows[0]

@@ -214,6 +214,21 @@ def run_plan(catalogs: dict[str, DataFrame], base: str, partners: Sequence[Partn
     return found, errors
 
 
+def build(a: DataFrame, b: DataFrame, radius_deg: float, sky_a: Sky, sky_b: Sky, orders: tuple[int, int], *, built: DataFrame | None = None, restrict: DataFrame | None = None, nearest: bool = True) -> DataFrame:
+    """The association of a tiled catalog with another: of its tiles that may touch the partner's, that are asked for
+    (restrict: a frame of pixels) and that aren't ``built`` yet, which is how a stopped run goes on."""
+    tiles = a.select(F.col(sky_a.pixel).alias("_t")).where("_t is not null").distinct()
+    if restrict is not None:
+        tiles = tiles.join(restrict.select(F.col(restrict.columns[0]).alias("_t")), "_t", "left_semi")
+    if built is not None:
+        tiles = tiles.join(built.select(F.col("healpix_npix_a").alias("_t")).distinct(), "_t", "left_anti")
+    met = tiles_that_may_touch(tiles, "_t", *orders, radius_deg, "_b")
+    own = met.join(b.select(F.col(sky_b.pixel).alias("_b")).distinct(), "_b", "left_semi").select("_t", "_b")
+    left = a.join(own.select(F.col("_t").alias(sky_a.pixel)).distinct(), sky_a.pixel, "left_semi")
+    right = b.join(own.select(F.col("_b").alias(sky_b.pixel)).distinct(), sky_b.pixel, "left_semi")
+    return (match_nearest if nearest else match_all)(left, right, radius_deg, sky_a, sky_b)
+
+
 def missing_tiles(wanted: DataFrame, association: DataFrame, pixel: str) -> DataFrame:
     """Tiles that have no association row yet."""
     return wanted.select(pixel).distinct().join(association.select(col("healpix_npix_a").alias(pixel)), pixel, "left_anti")

@@ -570,3 +570,67 @@ def master_query_by_sql(spark, sf_dir):
     plan = master.build_select("master_orders", "wanted_orders", "Orders", {"Orders": "o_orderkey", "Cust": "o_custkey"}, {"Cust": ("cust_view", "c_custkey")}, {"Cust": ["c_name"]})
     return spark.sql(plan.select)
 
+
+
+# --- builds, counts and regions in parts
+
+
+def two_skies(spark, sf_dir):
+    a = healpix.with_pixel(customer_sky(spark, sf_dir), "ra", "dec", 2, "pa")
+    b = healpix.with_pixel(supplier_sky(spark, sf_dir), "ra", "dec", 3, "pb")
+    return a, b, crossmatch.Sky("c_custkey", pixel="pa"), crossmatch.Sky("s_suppkey", pixel="pb")
+
+
+MATCHED = f"WITH {CUSTOMER}, {SUPPLIER}, {pixel_sql(2, 'c')}, a AS (SELECT *, pix AS p FROM placed), m AS (SELECT c_custkey AS source_id_a, s_suppkey AS source_id_b, p FROM a JOIN s ON {sep_sql('a', 's')} <= 5)"
+
+
+@query(f"{MATCHED} SELECT source_id_a, source_id_b, p >= 96 AS resumed FROM m")
+def crossmatch_build_resumed(spark, sf_dir):
+    """A build in two runs: first of some tiles, then of those that aren't built."""
+    a, b, sa, sb = two_skies(spark, sf_dir)
+    lake = Lake(spark, files.scratch(spark))
+    lake.write_association(crossmatch.build(a, b, 5.0, sa, sb, (2, 3), restrict=spark.range(96), nearest=False), "t", 2)
+    built = lake.association("t", 2)
+    rest = crossmatch.build(a, b, 5.0, sa, sb, (2, 3), built=built, restrict=spark.range(96, 192), nearest=False)
+    return built.select("source_id_a", "source_id_b", F.lit(False).alias("resumed")).unionByName(rest.select("source_id_a", "source_id_b", F.lit(True).alias("resumed")))
+
+
+@query(f"{MATCHED} SELECT count(*) AS rows, count(DISTINCT p) AS tiles FROM m WHERE p < 150")
+def crossmatch_counts(spark, sf_dir):
+    a, b, sa, sb = two_skies(spark, sf_dir)
+    return counting.crossmatch_count(crossmatch.match_all(a, b, 5.0, sa, sb), spark.range(150))
+
+
+@query(f"{PLACED} SELECT c_custkey FROM placed WHERE ra >= 20 AND pix < 1500 ORDER BY c_custkey LIMIT 40")
+def region_rows(spark, sf_dir):
+    """What a region file of sources shows: valid rows of tiles by a predicate, the first by id."""
+    own = healpix.with_pixel(customer_sky(spark, sf_dir), "ra", "dec", 4, "pix")
+    return writers.sky_rows(own, where="ra >= 20", pixel="pix", pixels=list(range(1500)), limit=40, order=["c_custkey"]).select("c_custkey")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, 'nation' AS origin FROM nation UNION ALL SELECT r_regionkey, NULL, 'region' FROM region")
+def files_one_under_another(spark, sf_dir):
+    folder = files.scratch(spark)
+    table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")).write.parquet(f"{folder}/nation.parquet")
+    table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id")).write.parquet(f"{folder}/region.parquet")
+    out = readers.read_many(spark, [f"{folder}/nation.parquet", f"{folder}/region.parquet"], with_path=True)
+    return out.select("id", "name", F.regexp_extract("input_path", r"(\w+)\.parquet$", 1).alias("origin"))
+
+
+@query(f"{PLACED} SELECT count(*) AS rows, count(DISTINCT pix) AS tiles, '_source_id,objid,ra,dec,bal' AS names FROM placed")
+def lake_statistics(spark, sf_dir):
+    """Rows and tiles of a tree, and its columns by the descriptor alone."""
+    lake = stored(spark, sf_dir)
+    own, names = lake.stats("cust"), lake.schema("cust").names
+    return listed(spark, [(own["rows"], own["tiles"], ",".join(n for n in ("_source_id", "objid", "ra", "dec", "bal") if n in names))], "rows long, tiles long, names string")
+
+
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) IS NOT NULL AS whole, CAST(len(embedding) AS INTEGER) AS n FROM embeddings")
+def spectrum_store(spark, sf_dir):
+    """Spectra stored with their packed records, and read by id with both."""
+    folder = files.scratch(spark)
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("flux"), arrays.packed_record({"z": F.col("label").cast("float")}).alias("meta"))
+    writers.write_parts(own, f"{folder}/spectra", 300)
+    back = spark.read.parquet(f"{folder}/spectra").withColumn("m", arrays.unpacked_record("meta"))
+    got = lookup.subset(back, table(spark, sf_dir, "embeddings").select("vec_id"), id_col="vec_id", missing="error")
+    return got.select("vec_id", (F.col("m.z") >= 0).alias("whole"), F.size("flux").alias("n"))

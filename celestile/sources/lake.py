@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import healpix
 from ..functions.ids import LinkMode
@@ -188,6 +189,23 @@ class Lake:
         files.write_text(self.spark, f"{top}/schema.json", json.dumps(manifest(df.select(own)), indent=1))
         return info
 
+    def stats(self, survey: str, layer: str = "catalogs", order: int | None = None) -> dict:
+        """Rows and tiles; rows are None where a file's footer can't be read."""
+        order = self.info(survey, layer)["healpix_order"] if order is None else order
+        top = f"{self.path(layer, survey)}/Norder={order}"
+        tiles = sum(len(files.children(self.spark, f"{top}/{d}")) for d in files.children(self.spark, top) if d.startswith("Dir="))
+        try:
+            return {"rows": self.catalog(survey, layer, order).count(), "tiles": tiles}
+        except Exception as e:
+            if not any(k in str(e) for k in ("FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "footer")):
+                raise
+            return {"rows": None, "tiles": tiles}
+
+    def schema(self, survey: str, layer: str = "catalogs") -> T.StructType:
+        """The catalog's columns by its descriptor; no data file is opened."""
+        own = json.loads(files.read_text(self.spark, f"{self.path(layer, survey)}/schema.json"))["columns"]
+        return T.StructType([T.StructField(c["name"], T._parse_datatype_string(c["type"]), c["nullable"]) for c in own])
+
     def repair(self, survey: str, order: int, layer: str = "catalogs") -> dict:
         """The descriptor again, keeping what it said of columns and links."""
         try:

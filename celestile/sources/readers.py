@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,13 @@ def read_table(spark: SparkSession, path: str, *, kind: str = "auto", hdu: str =
     return stripped_names(df)
 
 
+def read_many(spark: SparkSession, paths: Sequence[str], *, kind: str = "auto", with_path: bool = False) -> DataFrame:
+    """Tables of any formats one under another, missing columns as nulls; with ``input_path`` where each row is from."""
+    own = [read_table(spark, p, kind=kind) for p in paths]
+    own = [df.withColumn("input_path", F.lit(p)) for df, p in zip(own, paths, strict=True)] if with_path else own
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own)
+
+
 def stripped_names(df: DataFrame) -> DataFrame:
     names = [c.strip() for c in df.columns]
     if len(set(names)) < len(names):

@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 from ..functions import healpix, text
 from ..functions.columns import Value, col
+from ..functions.sphere import valid_sky
+from ..operators.predicates import checked
+from ..plans.region import in_pixels
 from . import files, fits
 
 #: Extracts in one file (FITS, VOTable) pass through the driver, up to so many rows.
@@ -96,6 +99,14 @@ def ds9_polygon(pix: int, order: int) -> str:
     return "polygon(" + ",".join(f"{v:.8f}" for corner in healpix.corners(pix, order) for v in corner) + ")"
 
 
+def sky_rows(df: DataFrame, ra: str = "ra", dec: str = "dec", *, where: str | None = None, pixel: str | None = None, pixels: list[int] | None = None, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """The rows that a region file shows: valid positions, a predicate, tiles, and then a limit (in ``order``)."""
+    own = df.where(valid_sky(ra, dec))
+    own = in_pixels(own, pixel, pixels) if pixel and pixels is not None else own
+    own = own.where(F.expr(checked(where))) if where else own
+    return own if limit is None else (own.orderBy(*order) if order else own).limit(limit)
+
+
 def write_source_regions(df: DataFrame, path: str, ra: str = "ra", dec: str = "dec", radius_arcsec: float = 1.0) -> None:
     """One circle a source, as text files."""
     df.select(ds9_circle(ra, dec, radius_arcsec).alias("value")).write.text(path)

@@ -341,6 +341,63 @@ def test_packed_fits_and_header_reads(spark, tmp_path):
     assert sorted((r.id, r.x, r.t) for r in got.collect()) == sorted([(i, i / 2, f"t{i}") for i in range(5)] * 2) and got.select("input_path").distinct().count() == 2
 
 
+def image_unit(array, first=False, **cards):
+    """A FITS image unit."""
+    x = np.asarray(array, ">f8")
+    head = [fits._card("SIMPLE", True) if first else fits._card("XTENSION", "IMAGE"), fits._card("BITPIX", -64), fits._card("NAXIS", x.ndim)]
+    head += [fits._card(f"NAXIS{k + 1}", n) for k, n in enumerate(reversed(x.shape))] + [fits._card(k.replace("_", "-") if k == "DC_FLAG" else k, v) for k, v in cards.items()]
+    data = x.tobytes()
+    return fits._header(head) + data.ljust(-(-len(data) // fits.BLOCK) * fits.BLOCK, b"\0")
+
+
+def test_spectra_files_by_layout(spark, tmp_path):
+    import pyarrow as pa
+    from celestile.sources import spectra_files
+
+    empty = fits._header([fits._card("SIMPLE", True), fits._card("BITPIX", 8), fits._card("NAXIS", 0), fits._card("OBJECT", "star")])
+    (tmp_path / "line.fits").write_bytes(image_unit([1.0, np.nan, 3.0], True, OBJECT="o", CRVAL1=4000.0, CDELT1=2.0) + image_unit([0.5, 0.5, 0.0], EXTNAME="ERR"))
+    coadd = fits.encode(pa.table({"loglam": [3.5, 3.6], "flux": [1.0, 2.0], "ivar": [4.0, 5.0], "and_mask": [0, 1]}))
+    (tmp_path / "coadd.fits").write_bytes(empty + coadd[fits.BLOCK :])
+    plate = image_unit([[1.0, 2.0], [3.0, 4.0]], True, COEFF0=3.0, COEFF1=1.0) + image_unit([[1.0, 1.0], [0.0, 1.0]]) + image_unit([[0.0, 0.0], [1.0, 0.0]])
+    (tmp_path / "plate.fits").write_bytes(plate)
+    arms = b"".join(image_unit(w, EXTNAME=f"{a}_WAVELENGTH") + image_unit([f], EXTNAME=f"{a}_FLUX") + image_unit([[1.0, 1.0]], EXTNAME=f"{a}_IVAR") for a, w, f in (("R", [5.0, 7.0], [1.0, 3.0]), ("B", [4.0, 6.0], [0.0, 2.0])))
+    (tmp_path / "arms.fits").write_bytes(empty + arms)
+    got = {}
+    for r in spectra_files.read_spectra(spark, f"{tmp_path}/*.fits").collect():
+        got.setdefault(r.source_file.partition(".")[0], []).append(r)
+    line, coadd, arms = got["line"][0], got["coadd"][0], got["arms"][0]
+    assert (line.object, line.wavelength, line.flux, line.ivar, line.mask) == ("o", [4000.0, 4002.0, 4004.0], [1.0, 0.0, 3.0], [4.0, 4.0, 0.0], [0, 1, 0])
+    assert coadd.object == "star" and coadd.wavelength == pytest.approx([10**3.5, 10**3.6]) and coadd.mask == [0, 1]
+    assert [r.flux for r in got["plate"]] == [[1.0, 2.0], [3.0, 4.0]] and got["plate"][0].wavelength == [1e3, 1e4] and got["plate"][1].mask == [1, 0]
+    assert arms.wavelength == [4.0, 5.0, 6.0, 7.0] and arms.flux == [0.0, 1.0, 2.0, 3.0]
+    own = spectra_files.read_spectra(spark, f"{tmp_path}/line.fits", lambda found, raw: iter([("mine", *(np.ones(1),) * 4)]))
+    assert [r.object for r in own.collect()] == ["mine"]
+
+
+def test_fits_parts_go_on_where_they_stopped(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}", [float(i)] * (1 + i % 3)) for i in range(25)], "id long, t string, v array<double>")
+    made = writers.write_fits_parts(df, f"{tmp_path}/p", ["id"], 10)
+    assert made["rows"] == sum(p["rows"] for p in made["parts"]) == 25 and max(p["rows"] for p in made["parts"]) <= 10
+    kept = (tmp_path / "p" / made["parts"][0]["name"]).stat().st_mtime_ns
+    (tmp_path / "p" / made["parts"][1]["name"]).unlink()
+    assert writers.write_fits_parts(df, f"{tmp_path}/p", ["id"], 10, resume=True) == made
+    assert (tmp_path / "p" / made["parts"][0]["name"]).stat().st_mtime_ns == kept
+    assert writers.merge_fits_parts(spark, f"{tmp_path}/p", f"{tmp_path}/all.fits") == 25
+    assert fits.row_count(spark, f"{tmp_path}/all.fits") == 25
+    assert writers.write_fits_parts(df.limit(0), f"{tmp_path}/none", ["id"])["rows"] == 0 and fits.read_fits(spark, f"{tmp_path}/none/*.fits").columns == ["id", "t", "v"]
+
+
+def test_bandpass_curves(spark, tmp_path):
+    from celestile.sources.bandpasses import Bandpasses
+
+    (tmp_path / "bandpasses").mkdir()
+    (tmp_path / "bandpasses" / "w.ecsv").write_text("# %ECSV 1.0\nwavelength throughput\n1.0 0.5\n2.0 0.25\n")
+    (tmp_path / "b.json").write_text(json.dumps({"bands": {"w": {"lambda_eff_um": 3.4, "curve": "w.ecsv"}, "x": {"lambda_eff_um": 1, "curve": "none.ecsv"}}}))
+    own = Bandpasses.load(spark, f"{tmp_path}/b.json", f"{tmp_path}/lake")
+    assert [tuple(r) for r in own.curve("w").orderBy("wavelength").collect()] == [(1.0, 0.5), (2.0, 0.25)] and own.curve("x") is None and own.curve("no") is None
+    assert own.frame().where("band = 'w'").first().lambda_eff == pytest.approx(34000)
+
+
 def test_planning_helpers(spark):
     assert crossmatch.parse_tree_name(crossmatch.tree_name("A", "B", 1)) == {"a": "A", "b": "B", "mode": "sky", "radius_arcsec": 1.0}
     assert crossmatch.parse_tree_name(crossmatch.tree_name("A", "B", columns=("x", "y")))["columns"] == ("x", "y")
