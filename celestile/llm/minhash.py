@@ -3,10 +3,10 @@
 A document is the set of its shingles of five words (of all its words, if fewer).  For
 each shingle a Poisson process with its weight as rate sends arrivals to registers; a
 register keeps its first arrival, and a shingle stops once it is later than every
-register.  The share of equal registers estimates the probability Jaccard similarity; all
-weights are 1 here, where it is the Jaccard similarity of the sets, as counts of
-repetitions would part texts of equal sets.  Bands of registers give candidates, which the
-exact Jaccard similarity of the shingle sets confirms at 0.8 or more.
+register.  The share of equal registers estimates the probability Jaccard similarity.  Shingles weigh 1
+each (``weights`` "set"), where it is the Jaccard similarity of the sets, or 1 + ln of their count
+("counts"), which parts texts that repeat a passage a different number of times.  Bands of
+registers give candidates, which the exact similarity of the same weights confirms at 0.8 or more.
 
 Equal texts are one class from the start.  A bucket of a band doesn't yield all its pairs:
 its members are compared with one of them, the one that shares most buckets with others.
@@ -77,10 +77,10 @@ class Shingler:
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS * ROWS) -> np.ndarray:
-    """One row of 16-bit registers for each (distinct shingles, counts); zeros for none."""
+    """One row of 16-bit registers for each (distinct shingles, weights); zeros for none."""
     size = [len(s) for s, _ in sets]
     element = np.concatenate([s for s, _ in sets]) if sets else np.zeros(0, _U)
-    rate = 1 + np.log(np.concatenate([c for _, c in sets])) if sets else np.zeros(0)
+    rate = np.concatenate([w for _, w in sets]) if sets else np.zeros(0)
     doc = np.repeat(np.arange(len(sets)), size)
     first = np.full(len(sets) * registers, np.inf)
     winner = np.zeros(len(sets) * registers, np.uint16)
@@ -102,26 +102,66 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS
     return winner.reshape(len(sets), registers)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def weighted(shingles: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """The distinct shingles, ascending, and their weights; None where all weigh 1."""
+    if weights == "set":
+        return np.unique(shingles), None
+    if weights != "counts":
+        raise ValueError(f"unknown weights {weights!r}")
+    own, counts = np.unique(shingles, return_counts=True)
+    return own, 1 + np.log(counts)
+
+
+def similar(a: tuple[np.ndarray, np.ndarray | None], b: tuple[np.ndarray, np.ndarray | None], threshold: float) -> bool:
+    """Whether the exact similarity of two weighted sets is threshold or more."""
+    (x, u), (y, v) = a, b
+    if not len(x) or not len(y) or (u is None and min(len(x), len(y)) < threshold * max(len(x), len(y))):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    hit = x[at] == y
+    if u is None:
+        both = int(hit.sum())
+        return both >= threshold * (len(x) + len(y) - both) - 1e-9
+    return probability_jaccard(u, v, at[hit], np.flatnonzero(hit)) >= threshold - 1e-9
+
+
+def probability_jaccard(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> float:
+    """sum over shared d of 1 / sum over all e of max(u_e / u_d, v_e / v_d); elements i of u and j of v are the same.
+
+    By the ratio v / u of an element the first term of the maximum holds below d's ratio, the
+    second above it, so sums along the order of ratios give all of them.
+    """
+    if not len(i):
+        return 0.0
+    ratio = v[j] / u[i]
+    order = np.argsort(ratio, kind="stable")
+    ratio, a, b = ratio[order], u[i][order], v[j][order]
+    last = np.searchsorted(ratio, ratio, "right")
+    below = u.sum() - a.sum() + np.concatenate([[0.0], np.cumsum(a)])[last]
+    above = v.sum() - np.concatenate([[0.0], np.cumsum(b)])[last]
+    return float((1 / (below / a + above / b)).sum())
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], weights: str = "set") -> Iterator[pa.RecordBatch]:
     shingle = Shingler()
     for batch in batches:
         for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
             part = batch.slice(i, TEXTS_AT_ONCE)
-            sets = [np.unique(shingle(t)) for t in part.column(2).to_pylist()]
-            own = signatures([(s, np.ones(len(s))) for s in sets])
+            sets = [weighted(shingle(t), weights) for t in part.column(2).to_pylist()]
+            own = signatures([(s, np.ones(len(s)) if w is None else w) for s, w in sets])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([r.tobytes() for r in own], pa.binary())],
+                [part.column(0), part.column(1), pa.array([len(s) for s, _ in sets], pa.int32()), pa.array([r.tobytes() for r in own], pa.binary())],
                 names=["doc_id", "text_key", "shingles", "registers"],
             )
 
 
-def sketches(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", weights: str = "set") -> DataFrame:
     """doc_id, text_key (md5), number of shingles, registers of each row."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidy(_sketch), "doc_id long, text_key string, shingles int, registers binary")
+    return rows.mapInArrow(partial(tidy(_sketch), weights=weights), "doc_id long, text_key string, shingles int, registers binary")
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float, weights: str) -> Iterator[pa.RecordBatch]:
     shingle, leader, own, done = Shingler(), None, None, set()
     for batch in batches:
         a_s, b_s = [], []
@@ -129,21 +169,16 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             if (a, salt) != leader:
                 leader, own, done = (a, salt), None, set()
             if b is None:
-                own = np.unique(shingle(text)) if own is None else own
+                own = weighted(shingle(text), weights) if own is None else own
             elif b not in done and own is not None:
                 done.add(b)
-                other = np.unique(shingle(text))
-                if min(len(own), len(other)) < threshold * max(len(own), len(other)):
-                    continue
-                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                both = int((own[at] == other).sum())
-                if both >= threshold * (len(own) + len(other) - both) - 1e-9:
+                if similar(own, weighted(shingle(text), weights), threshold):
                     a_s.append(a)
                     b_s.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(a_s, pa.int64()), pa.array(b_s, pa.int64())], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
     """The pairs (a, b) whose texts (doc_id, text) have the exact similarity threshold or more.
 
     The text of a travels once for each of up to SALTS parts of its partners.
@@ -153,21 +188,22 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
         salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
     )
     dealt = need.join(texts, "doc_id").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(partial(tidy(_verify), threshold=threshold), "a long, b long")
+    return dealt.mapInArrow(partial(tidy(_verify), threshold=threshold, weights=weights), "a long, b long")
 
 
-def _compare(band: int, group: pa.Table, threshold: float) -> pa.Table:
+def _compare(band: int, group: pa.Table, threshold: float, weights: str = "set") -> pa.Table:
     """Links between different components of a block, as far as they join something new."""
     doc = group.column("doc").to_numpy()
     left, right = (group.column(c).to_numpy() for c in ("left", "right"))
     shingle = Shingler()
-    own = [np.unique(shingle(t)) for t in group.column("text").to_pylist()]
-    size = np.array([len(x) for x in own])
+    own = [weighted(shingle(t), weights) for t in group.column("text").to_pylist()]
+    size = np.array([len(x) for x, _ in own])
     regs = np.stack([np.frombuffer(x, np.uint16) for x in group.column("registers").to_pylist()])
     names, comp = np.unique(group.column("component").to_numpy(), return_inverse=True)
     a_s, b_s = [], []
     for i in np.flatnonzero(left).tolist():
-        js = np.flatnonzero(right & (comp != comp[i]) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])))
+        able = np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) if weights == "set" else size > 0
+        js = np.flatnonzero(right & (comp != comp[i]) & able)
         equal = regs[js] == regs[i]
         share = equal.mean(axis=1)
         # a pair that meets in several bands is compared in the first
@@ -176,16 +212,14 @@ def _compare(band: int, group: pa.Table, threshold: float) -> pa.Table:
         for j in js[np.argsort(-share)].tolist():
             if comp[i] == comp[j]:
                 continue
-            at = np.minimum(np.searchsorted(own[i], own[j]), size[i] - 1)
-            both = int((own[i][at] == own[j]).sum())
-            if both >= threshold * (size[i] + size[j] - both) - 1e-9:
+            if similar(own[i], own[j], threshold):
                 a_s.append(int(doc[i]))
                 b_s.append(int(doc[j]))
                 comp[comp == comp[j]] = comp[i]
     return pa.table({"a": pa.array(a_s, pa.int64()), "b": pa.array(b_s, pa.int64())})
 
 
-def _rest(members: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _rest(members: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float, weights: str) -> DataFrame:
     """Links between different components within a bucket, by blocks of its members."""
     comp = members.join(found.withColumnRenamed("v", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     comp = save(comp, "members")
@@ -197,11 +231,11 @@ def _rest(members: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFram
         (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"),
     )
     rows = spread.join(reps.select(F.col("doc_id").alias("doc"), "registers"), "doc").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
-    return save(rows.groupBy("key", "band", "i", "j").applyInArrow(lambda k, t: _compare(k[1].as_py(), t, threshold), "a long, b long"), "links")
+    return save(rows.groupBy("key", "band", "i", "j").applyInArrow(lambda k, t: _compare(k[1].as_py(), t, threshold, weights), "a long, b long"), "links")
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, class_id, kept of each row.
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
+    """doc_id, text_key, class_id, kept of each row; texts link at the similarity ``threshold`` or more by their ``weights``.
 
     class_id is the smallest id of the document's class, kept says that it is the
     document's own.  Null texts, texts without a word and rows of null id link with
@@ -210,7 +244,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     an empty one.  Other columns are not read.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = save(sketches(texts), "sketches")
+    rows = save(sketches(texts, weights=weights), "sketches")
     able = rows.where("shingles > 0 and doc_id is not null")
     reps = save(able.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("n")), "texts")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
@@ -223,9 +257,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # the texts that are compared at all are set apart once
     compared = members.select(F.col("doc").alias("doc_id")).distinct().join(reps.select("doc_id", "text_key"), "doc_id")
     texts = save(texts.withColumn("text_key", F.md5("text")).join(compared, ["doc_id", "text_key"]).select("doc_id", "text"), "compared")
-    links = save(verify(pairs, texts, threshold), "links")
+    links = save(verify(pairs, texts, threshold, weights), "links")
     found = components(links)
-    more = _rest(members.select("key", "band", "doc"), found, reps, texts, threshold)
+    more = _rest(members.select("key", "band", "doc"), found, reps, texts, threshold, weights)
     if not more.isEmpty():
         found = components(links.unionByName(more))
     classes = reps.select("text_key", F.col("doc_id").alias("v")).join(found, "v", "left").select("text_key", F.coalesce("component", "v").alias("class_id"))

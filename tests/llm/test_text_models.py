@@ -86,6 +86,41 @@ def test_register_share_estimates_probability_jaccard():
     assert (regs[2] == 0).all()
 
 
+def test_weighted_shingles_match_their_definition(spark):
+    """Registers and the exact similarity of weights of counts, against the sum over all elements; classes against all pairs."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = []
+    for low in (0, 40):
+        own, counts = np.unique(rng.choice(pool[low : low + 250], 2000, p=rng.dirichlet(np.ones(250))), return_counts=True)
+        sets.append((own, 1 + np.log(counts)))
+    exact = lambda x, y: sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in x.keys() | y.keys()) for d in x.keys() & y.keys())
+    a, b = (dict(zip(s.tolist(), w.tolist())) for s, w in sets)
+    regs = minhash.signatures(sets, 4000)
+    want = exact(a, b)
+    assert abs((regs[0] == regs[1]).mean() - want) < 0.04
+    assert minhash.similar(*sets, want - 1e-6) and not minhash.similar(*sets, want + 1e-6) and minhash.similar(sets[0], sets[0], 1.0)
+    rng, rows = random.Random(5), []
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    for k in range(10):
+        body, passage = [word() for _ in range(100)], [word() for _ in range(60)]
+        rows += [(3 * k, " ".join(body + passage)), (3 * k + 1, " ".join(body + passage * 60)), (3 * k + 2, " ".join([*body[:-1], word(), *passage]))]
+
+    def bag(text):
+        w = text.split()
+        n = {}
+        for i in range(len(w) - 4):
+            n[tuple(w[i : i + 5])] = n.get(tuple(w[i : i + 5]), 0) + 1
+        return {s: 1 + np.log(c) for s, c in n.items()}
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, weights="counts").collect()}
+    for k in range(10):
+        x, y, z = (bag(rows[3 * k + i][1]) for i in range(3))
+        assert exact(x, y) < 0.8 < exact(x, z) and exact(y, z) < 0.8
+        assert [got[3 * k + i] for i in range(3)] == [3 * k, 3 * k + 1, 3 * k]
+
+
 def test_a_passage_repeated_more_often_parts_no_copies(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
