@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept, which
 are written as Parquet and read again in between.  All stages but the last return the
-columns of ``documents``.
+columns of ``documents``, whatever they are called; other columns of any name stay as they are.
+
+Nulls in any column, empty and very long texts, ties, repeated rows and empty tables have a
+defined result in every stage, as its docstring says; texts are always read whole.
 """
 
 from __future__ import annotations
@@ -14,27 +17,43 @@ from celestile.llm.common import save, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without a letter and undecided ones go."""
+    """Documents whose language can be told; null texts, texts without a letter and undecided ones go.
+
+    Repeated rows share their fate; without any labelled text all documents go.
+    """
     return langid.keep_identified(docs)
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal regression doesn't find toxic; it learns from ``labels``."""
+    """Documents that the ordinal regression doesn't find toxic; it learns from ``labels``.
+
+    Null and blank texts stay; repeated rows share their fate; without labels all stay.
+    """
     return toxicity.keep_civil(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, the one with the smallest id.
+
+    Of rows of one id and text one stays; rows without a word or an id all stay.
+    """
     return minhash.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, three times at most.
+
+    Null sources are one source; repeated rows are documents of their own; ties in size go by the
+    md5 of the id, so reruns agree.
+    """
     return mixing.emit(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with the sequences they lie in."""
+    """Pieces of the documents with the sequences they lie in.
+
+    A null text is its end id alone; a document that the mix takes several times is packed as often.
+    """
     return packing.pack(docs)
 
 
