@@ -57,7 +57,7 @@ def apply_step(c: Column, step: Step) -> Column:
     if step.kind == "scale":
         return c * F.lit(float(step.factor))
     if step.kind == "null_if_sentinel":
-        return F.when(~c.isin(*map(float, step.values)), c)
+        return F.when(~c.isin(*map(float, step.values)), c) if step.values else c
     if step.kind == "flux_to_ab":
         return F.when((c > 0) & ~F.isnan(c), F.lit(-2.5) * F.log10(c) + F.lit(float(step.zero_point)))
     if step.kind == "inverse":
@@ -80,6 +80,28 @@ def value_sql_form(rule: Rule) -> Column:
     return value(rule)
 
 
+def value_text(rule: Rule) -> str:
+    """value_sql_form as SQL text: for views that are defined by text."""
+    number = lambda x: f"{float(x)!r}D"
+    c = f"CAST(`{rule.source}` AS DOUBLE)"
+    if len(rule.steps) == 1 and rule.steps[0].kind == "mag_offset":
+        return f"{c} + {number(rule.steps[0].delta)}"
+    gone = ", ".join(map(number, (*SENTINELS, *rule.sentinels, *(v for s in rule.steps[:1] for v in s.values))))
+    c = f"CASE WHEN NOT isnan({c}) AND {c} NOT IN ({gone}) THEN {c} END"
+    for step in rule.steps:
+        if step.kind == "mag_offset":
+            c = f"({c}) + {number(step.delta)}"
+        elif step.kind == "scale":
+            c = f"({c}) * {number(step.factor)}"
+        elif step.kind == "null_if_sentinel" and step.values:
+            c = f"CASE WHEN ({c}) NOT IN ({', '.join(map(number, step.values))}) THEN {c} END"
+        elif step.kind == "flux_to_ab":
+            c = f"CASE WHEN ({c}) > 0 THEN -2.5D * log10({c}) + {number(step.zero_point)} END"
+        elif step.kind == "inverse":
+            c = f"CASE WHEN ({c}) <> 0 THEN 1.0D / ({c}) END"
+    return c
+
+
 def uncertainty(rule: Rule) -> Column:
     """The uncertainty that goes with value(rule).
 

@@ -144,15 +144,18 @@ def footprint_of_rows(df: DataFrame, ra: str, dec: str, order: int) -> DataFrame
 
 
 def merged_cells(pixels: DataFrame, order: int) -> DataFrame:
-    """(order, npix) of a coverage map: complete siblings become their parent, order by order."""
-    out, level = None, pixels.select(F.col(pixels.columns[0]).cast("long").alias("npix")).distinct()
-    for o in range(order, 0, -1):
-        parents = level.groupBy(F.shiftright("npix", 2).alias("parent")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("npix").alias("own"))
-        rest = parents.where("n < 4").select(F.lit(o).alias("order"), F.explode("own").alias("npix"))
-        out = rest if out is None else out.unionByName(rest)
-        level = parents.where("n = 4").select(F.col("parent").alias("npix"))
-    last = level.select(F.lit(0).alias("order"), "npix")
-    return last if out is None else out.unionByName(last)
+    """(order, npix) of a coverage map: complete siblings become their parent, order by order.
+
+    A cell is whole if all its pixels are there; one count over all orders tells, and the map
+    holds the whole cells whose parent isn't.
+    """
+    own = pixels.select(F.col(pixels.columns[0]).cast("long").alias("p")).where("p is not null").distinct()
+    every = F.explode(F.array(*(F.struct(F.lit(o).alias("order"), F.shiftright("p", 2 * (order - o)).alias("npix")) for o in range(order + 1)))).alias("c")
+    counts = own.select(every).groupBy("c.order", "c.npix").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.where(F.col("n") == F.pow(F.lit(4.0), F.lit(order) - F.col("order"))).select("order", "npix")
+    parents = whole.select((F.col("order") + 1).alias("order"), F.col("npix").alias("_parent"))
+    within = (whole["order"] == parents["order"]) & (F.shiftright(whole["npix"], 2) == parents["_parent"])
+    return whole.join(parents, within, "left_anti")
 
 
 def tile_costs(a_tiles: DataFrame, cover: DataFrame, b_tiles: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ The positional join is an equi-join on cells of the sky (the zones algorithm, Gr
 2006): declination is cut into zones, and each zone into cells of right ascension about
 as wide as the zone is high.  A row of the left side lies in one cell; a row of the right
 side is entered in every cell that its disc of the match radius touches, which is one or
-two for cells much larger than the radius.  Only built-in joins and aggregates are used,
-so adaptive execution splits dense cells.
+two for cells much larger than the radius.  Only built-in joins and aggregates are used, so
+adaptive execution splits dense cells of ``match_all``; see ``match_nearest`` for its own.
 """
 
 from __future__ import annotations
@@ -89,8 +89,10 @@ def match_nearest(a: DataFrame, b: DataFrame, radius_deg: float, sky_a: Sky = Sk
     """The association table with each row's nearest partner; ties go to the smaller partner id.
 
     Rows of ``a`` that agree in id and position are one row.  The nearest partner is a
-    minimum within the join's own partitions: no further shuffle.  ``brute`` compares all
-    with all and is for small tables.
+    minimum within the join's own partitions: no further shuffle.  As that minimum needs a
+    cell's rows together, Spark splits a dense cell only where
+    spark.sql.adaptive.forceOptimizeSkewedJoin is true, at the price of one shuffle of the minima.
+    ``brute`` compares all with all and is for small tables.
     """
     if strategy == "brute":
         met = pairs(a, b, radius_deg, sky_a, sky_b, height=180.0)

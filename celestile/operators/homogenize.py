@@ -98,6 +98,11 @@ def homogenize_product(df: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
     return df
 
 
+def view_expressions(rules: Sequence[P.Rule]) -> dict[str, str]:
+    """target -> SQL text, for view_sql."""
+    return {r.target: P.value_text(r) for r in rules}
+
+
 def view_sql(view: str, expressions: dict[str, str]) -> str:
     """SELECT * and the targets over a view: nothing is copied."""
     return f"SELECT *, {', '.join(f'{e} AS `{t}`' for t, e in expressions.items())} FROM {view}"

@@ -42,6 +42,11 @@ def catalog_view(name: str, path: str) -> str:
     return f"CREATE OR REPLACE TEMPORARY VIEW {name} USING parquet OPTIONS (path '{path}')"
 
 
+def master_view(name: str, plan: MasterPlan) -> str:
+    """A view of the whole master query, for further SQL."""
+    return f"CREATE OR REPLACE TEMPORARY VIEW {name} AS {plan.select}"
+
+
 def build_select(master: str, want: str, primary: str, links: dict[str, str], catalogs: dict[str, tuple[str, str]], columns: dict[str, list[str]], master_columns: Sequence[str] = ()) -> MasterPlan:
     """An inner-join chain of views.
 

@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def link_states(catalog: DataFrame, spectra: DataFrame, id_col: str = "_source_id", index: str = "_spectrum_index", pixel: str = "npix", row: str = "idx") -> DataFrame:
+def link_states(catalog: DataFrame, spectra: DataFrame, id_col: str = "_source_id", index: str = "_spectrum_index", pixel: str = "npix", row: str = "idx", own_pixel: str | None = None) -> DataFrame:
     """Every catalog row and every spectrum, with the state of its link.
 
-    Forward, a linked row is ok, or null_id, stale (no such place) or wrong_id; an unlinked
+    Forward, a linked row is ok, or null_id, stale (no such place), wrong_id, or, where own_pixel
+    names the tile that a row's position lies in, wrong_healpix if it is linked into another; an unlinked
     row is unlinked, or unpatched if a spectrum of its id exists.  Backward, a spectrum that
     no catalog row has the id of is an orphan, and one of a null id null_spectrum_id.
     """
     places = spectra.select(F.col(pixel).alias("_p"), F.col(row).cast("long").alias("_i"), F.col(id_col).alias("_there"))
     linked = catalog.where(F.col(index) >= 0)
     at = linked.join(places, (linked[pixel] == F.col("_p")) & (linked[index].cast("long") == F.col("_i")), "left")
-    state = F.when(F.col(id_col).isNull(), "null_id").when(F.col("_i").isNull(), "stale").when(~F.col("_there").eqNullSafe(F.col(id_col)), "wrong_id").otherwise("ok")
+    state = F.when(F.col(id_col).isNull(), "null_id").when(F.col("_i").isNull(), "stale").when(~F.col("_there").eqNullSafe(F.col(id_col)), "wrong_id")
+    state = (state if own_pixel is None else state.when(F.col(own_pixel) != F.col("_p"), "wrong_healpix")).otherwise("ok")
     forward = at.select(F.col(id_col).alias("id"), state.alias("state"))
     known = spectra.select(F.col(id_col).alias("_known")).distinct().withColumn("_has", F.lit(True))
     free = catalog.where(F.coalesce(F.col(index), F.lit(-1)) < 0)

@@ -478,6 +478,18 @@ def homogenize_inverse_error(spark, sf_dir):
     return out.select("id", *(F.round(c, 6).alias(c) for c in ("i", "i_err", "s", "s_err", "c", "c_err")))
 
 
+@query(f"WITH {ERRORS} SELECT id, round(CASE WHEN f > 0 THEN -2.5 * log10(f * 2) + 22.5 END, 6) AS m, round(f + 0.25, 6) AS o, round(1 / f, 6) AS i FROM p")
+def homogenize_view_text(spark, sf_dir):
+    """Targets as the text of a SQL view over a view: nothing is copied."""
+    measured(spark, sf_dir).createOrReplaceTempView("measured_lines")
+    own = recipe_of(
+        {"source": "f", "target": "m", "steps": [{"type": "scale", "factor": 2}, {"type": "flux_to_ab", "zero_point": 22.5}]},
+        {"source": "f", "target": "o", "steps": {"type": "mag_offset", "delta": 0.25}}, {"source": "f", "target": "i", "steps": [{"type": "null_if_sentinel", "values": [-1]}, {"type": "inverse"}]},
+    )
+    out = spark.sql(homogenize.view_sql("measured_lines", homogenize.view_expressions(own.rules)))
+    return out.select("id", *(F.round(c, 6).alias(c) for c in ("m", "o", "i")))
+
+
 @query(f"WITH {ERRORS} SELECT id, round(1.0857362047461345 * (e * 3) / (f * 2 * 3) + 0.1, 6) AS m_err, round(1 / e, 6) AS i_err FROM p")
 def homogenize_explicit_error(spark, sf_dir):
     own = recipe_of(
@@ -568,7 +580,8 @@ def master_query_by_sql(spark, sf_dir):
     table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("want_id")).createOrReplaceTempView("wanted_orders")
     table(spark, sf_dir, "customer").createOrReplaceTempView("cust_view")
     plan = master.build_select("master_orders", "wanted_orders", "Orders", {"Orders": "o_orderkey", "Cust": "o_custkey"}, {"Cust": ("cust_view", "c_custkey")}, {"Cust": ["c_name"]})
-    return spark.sql(plan.select)
+    spark.sql(master.master_view("master_names", plan))
+    return spark.table("master_names")
 
 
 

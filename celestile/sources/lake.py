@@ -189,6 +189,12 @@ class Lake:
         files.write_text(self.spark, f"{top}/schema.json", json.dumps(manifest(df.select(own)), indent=1))
         return info
 
+    def open_live(self, survey: str, order: int, layer: str = "catalogs") -> None:
+        """The descriptor of a catalog that still grows; ``finalize`` writes the full one."""
+        path = f"{self.path(layer, survey)}/catalog_info.json"
+        if not files.exists(self.spark, path):
+            files.write_text(self.spark, path, json.dumps({"survey": survey, "healpix_order": order, "lifecycle": "live", "finalized": False}, indent=1))
+
     def stats(self, survey: str, layer: str = "catalogs", order: int | None = None) -> dict:
         """Rows and tiles; rows are None where a file's footer can't be read."""
         order = self.info(survey, layer)["healpix_order"] if order is None else order

@@ -25,6 +25,8 @@ def append_live(stream: DataFrame, lake: Lake, survey: str, order: int, checkpoi
     descriptor is written by ``finish``.
     """
 
+    lake.open_live(survey, order)
+
     def batch(df: DataFrame, number: int) -> None:
         own = first_of_each(df, id_col, sort or (id_col,))
         try:
