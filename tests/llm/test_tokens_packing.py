@@ -19,6 +19,39 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     assert tokens.encoder().encode(texts) == [x[:-1].tobytes() for x in reference_ids(texts, 0)]
 
 
+def test_held_words_are_not_encoded_again(monkeypatch):
+    """16,000 words come round again, bare and with a mark, within 4 MB of pieces."""
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 4 << 20)
+    codec, learned = tokens.Encoder(tokens.default_vocabulary()), []
+    learn = codec._learn
+    codec._learn = lambda pieces, *more: (learned.append(len(pieces)), learn(pieces, *more))
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) + "ation" for i in range(16_000)]
+    texts = [[" ".join(w + mark for w in words[i : i + 2000])] for mark in ("", "", ",") for i in range(0, len(words), 2000)]
+    got = [codec.encode(text)[0] for text in texts]
+    assert sum(learned) == len(words)
+    assert got[::5] == [reference_ids(text, 0)[0][:-1].tobytes() for text in texts[::5]]
+
+
+_piece = st.one_of(
+    st.text("aé.,\0", max_size=18),
+    st.integers(12, 18).map(lambda n: "abcdefghijklmnopqrstuvwxyz"[:n]),
+    st.sampled_from(["été", "ÉTÉ.", "ǅ", "ß,", "ſ", "aʼs", "it's", "a\tb", "..", "x.,", "<|endoftext|>", "ª", "µ.", "ŉ"]),
+)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(_piece, max_size=12).map(" ".join), min_size=1, max_size=8), st.sampled_from([0, 2000, 1 << 20]))
+def test_ids_stay_right_as_pieces_come_and_go(texts, room):
+    codec, before = tokens.encoder(), tokens.CACHE_BYTES
+    codec.now, codec.older = tokens._Generation(), tokens._Generation()
+    tokens.CACHE_BYTES = room
+    try:
+        got = [codec.encode([text])[0] for text in texts + texts] + codec.encode(texts)
+    finally:
+        tokens.CACHE_BYTES = before
+    assert got == [ids[:-1].tobytes() for ids in reference_ids(texts, 0)] * 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=400), st.integers(0, 300), st.integers(1, 60))
 def test_grammar_round_trip_and_random_access(ids, start, length):
