@@ -4,8 +4,11 @@ The positional join is an equi-join on cells of the sky (the zones algorithm, Gr
 2006): declination is cut into zones, and each zone into cells of right ascension about
 as wide as the zone is high.  A row of the left side lies in one cell; a row of the right
 side is entered in every cell that its disc of the match radius touches, which is one or
-two for cells much larger than the radius.  Only built-in joins and aggregates are used, so
-adaptive execution splits dense cells of ``match_all``; see ``match_nearest`` for its own.
+two for cells much larger than the radius.  Above half a degree cells are half a radius
+high, so that about half of the rows that meet are pairs.  Rows that meet are held against
+the radius by their cosine; only those near its edge by their angle.  Only built-in joins and
+aggregates are used, so adaptive execution splits dense cells of ``match_all``; see
+``match_nearest`` for its own.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from ..functions.ids import radius_token
 from ..functions.sphere import separation, valid_sky, wrap_ra
 
 LEAST_ZONE_DEG = 1 / 120
+#: Zones as high as this are cut finer than eight radii, and nearest partners are sought in smaller discs first.
+WIDE_DEG = 0.5
 ASSOCIATION = "source_id_a long, source_id_b long, sep_arcsec float"
 
 
@@ -47,33 +52,59 @@ def _cells_in(zone: Column, height: float) -> Column:
 
 
 def zone_height(radius_deg: float) -> float:
-    return min(180.0, max(8 * radius_deg, LEAST_ZONE_DEG))
+    return min(180.0, max(LEAST_ZONE_DEG, min(8 * radius_deg, WIDE_DEG), radius_deg / 2))
 
 
-def pairs(a: DataFrame, b: DataFrame, radius_deg: float, sky_a: Sky = Sky(), sky_b: Sky = Sky(), height: float | None = None) -> DataFrame:
-    """Every pair within the radius (inclusive): a_id, a_ra, a_dec, b_id, sep_deg, with pixels where named.
+def _rows(df: DataFrame, sky: Sky, side: str) -> DataFrame:
+    """Usable rows with their unit vectors, all columns named by side."""
+    pixel = F.col(sky.pixel) if sky.pixel else F.lit(None).cast("long")
+    own = df.where(valid_sky(sky.ra, sky.dec) & F.col(sky.id).isNotNull()).select(F.col(sky.id).alias(f"{side}_id"), F.col(sky.ra).cast("double").alias(f"{side}_ra"), F.col(sky.dec).cast("double").alias(f"{side}_dec"), pixel.alias(f"{side}_pixel"))
+    a, d = F.radians(f"{side}_ra"), F.radians(f"{side}_dec")
+    return own.withColumns({f"{side}_x": F.cos(d) * F.cos(a), f"{side}_y": F.cos(d) * F.sin(a), f"{side}_z": F.sin(d)})
 
-    Rows without a valid position or id match nothing.  Works across RA 0 and at the poles.
-    """
-    h = height or zone_height(radius_deg)
-    pixel = lambda s: F.col(s.pixel) if s.pixel else F.lit(None).cast("long")
-    usable = lambda s: valid_sky(s.ra, s.dec) & F.col(s.id).isNotNull()
-    left = a.where(usable(sky_a)).select(F.col(sky_a.id).alias("a_id"), F.col(sky_a.ra).cast("double").alias("a_ra"), F.col(sky_a.dec).cast("double").alias("a_dec"), pixel(sky_a).alias("a_pixel"))
-    left = left.withColumn("zone", _zone(F.col("a_dec"), h))
-    left = left.withColumn("cell", F.least(_cells_in(F.col("zone"), h) - 1, F.floor(wrap_ra("a_ra") / 360.0 * _cells_in(F.col("zone"), h))).cast("int"))
-    right = b.where(usable(sky_b)).select(F.col(sky_b.id).alias("b_id"), F.col(sky_b.ra).cast("double").alias("b_ra"), F.col(sky_b.dec).cast("double").alias("b_dec"), pixel(sky_b).alias("b_pixel"))
+
+def _in_cell(left: DataFrame, height: float) -> DataFrame:
+    """Rows of the left side with the one cell that they lie in."""
+    left = left.withColumn("zone", _zone(F.col("a_dec"), height))
+    n = _cells_in(F.col("zone"), height)
+    return left.withColumn("cell", F.least(n - 1, F.floor(wrap_ra("a_ra") / 360.0 * n)).cast("int"))
+
+
+def _in_cells(right: DataFrame, radius_deg: float, height: float) -> DataFrame:
+    """Rows of the right side in every cell that their discs touch."""
     r, slack = radius_deg, 1e-9
-    low, high = (_zone(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("b_dec") + d)), h) for d in (-r - slack, r + slack))
+    low, high = (_zone(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("b_dec") + d)), height) for d in (-r - slack, r + slack))
     right = right.withColumn("zone", F.explode(F.sequence(low, high)))
     polar = F.abs(F.col("b_dec")) + (r + slack) >= 90.0
     reach = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(90.0, r + slack)))) / F.cos(F.radians("b_dec"))))) + slack)
-    right = right.withColumns({"n": _cells_in(F.col("zone"), h), "reach": reach})
+    right = right.withColumns({"n": _cells_in(F.col("zone"), height), "reach": reach})
     first, last = (F.floor((wrap_ra("b_ra") + d) / 360.0 * F.col("n")).cast("int") for d in (-F.col("reach"), F.col("reach")))
     every = F.sequence(F.lit(0), F.col("n") - 1)
     cells = F.when(last - first + 1 >= F.col("n"), every).otherwise(F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.col("n"))))
-    right = right.withColumn("cell", F.explode(cells)).drop("n", "reach")
-    met = left.join(right, ["zone", "cell"]).withColumn("sep_deg", separation("a_ra", "a_dec", "b_ra", "b_dec"))
-    return met.where(F.col("sep_deg") <= radius_deg)
+    return right.withColumn("cell", F.explode(cells)).drop("n", "reach")
+
+
+def _separation() -> Column:
+    return separation("a_ra", "a_dec", "b_ra", "b_dec")
+
+
+def _within(radius_deg: float) -> Column:
+    """Whether the separation is within the radius: by the cosine, which is cheap, where that leaves no doubt."""
+    cosine = F.col("a_x") * F.col("b_x") + F.col("a_y") * F.col("b_y") + F.col("a_z") * F.col("b_z")
+    chord = (2 * math.sin(math.radians(min(180.0, radius_deg)) / 2)) ** 2
+    possible, sure = (1 - (chord * (1 + d * 1e-6) + d * 1e-13) / 2 for d in (1, -1))
+    return (cosine >= possible) & ((cosine >= sure) | (_separation() <= radius_deg))
+
+
+def pairs(a: DataFrame, b: DataFrame, radius_deg: float, sky_a: Sky = Sky(), sky_b: Sky = Sky(), height: float | None = None) -> DataFrame:
+    """Every pair within the radius (inclusive): a_id, a_ra, a_dec, b_id, sep_deg, with pixels where named.
+
+    Rows without a valid position or id match nothing.  Works across RA 0 and at the poles.
+    The optimizer doesn't see in how many cells a row is entered, so the join is told not to broadcast.
+    """
+    h = height or zone_height(radius_deg)
+    left, right = _in_cell(_rows(a, sky_a, "a"), h), _in_cells(_rows(b, sky_b, "b"), radius_deg, h)
+    return left.join(right.hint("merge"), ["zone", "cell"]).where(_within(radius_deg)).withColumn("sep_deg", _separation())
 
 
 def _association(met: DataFrame, *more: str) -> DataFrame:
@@ -85,6 +116,31 @@ def match_all(a: DataFrame, b: DataFrame, radius_deg: float, sky_a: Sky = Sky(),
     return _association(pairs(a, b, radius_deg, sky_a, sky_b))
 
 
+def _nearest(a: DataFrame, b: DataFrame, radius_deg: float, sky_a: Sky, sky_b: Sky) -> DataFrame:
+    """a_id, a_pixel, sep_deg, b_id, b_pixel of each row's nearest partner.
+
+    A wide radius is reached by steps of four: a row that has a partner within the smaller
+    radius has its nearest there, and meets no other cell.
+    """
+    radii = [radius_deg]
+    while radii[0] > WIDE_DEG:
+        radii.insert(0, radii[0] / 4)
+    own, right = _rows(a, sky_a, "a"), _rows(b, sky_b, "b")
+    kinds = dict(right.dtypes)
+    own = own.withColumn("best", F.lit(None).cast(f"struct<sep_deg:double,b_id:{kinds['b_id']},b_pixel:{kinds['b_pixel']}>"))
+    keys = ["zone", "cell", *(c for c in own.columns if c != "best")]
+    for r in radii:
+        h = zone_height(r)
+        left, found = _in_cell(own, h), F.col("best").isNotNull()
+        if r > radii[0]:  # rows that have theirs are spread over cells that hold no partner
+            left = left.withColumns({"zone": F.when(found, -1).otherwise(F.col("zone")), "cell": F.when(found, F.hash("a_id")).otherwise(F.col("cell"))})
+        cells = _in_cells(right, r, h).withColumnsRenamed({"zone": "b_zone", "cell": "b_cell"}).hint("merge")
+        met = left.join(cells, (F.col("zone") == F.col("b_zone")) & (F.col("cell") == F.col("b_cell")) & _within(r), "inner" if len(radii) == 1 else "left")
+        new = F.when(F.col("b_id").isNotNull(), F.struct(_separation().alias("sep_deg"), "b_id", "b_pixel"))
+        own = met.groupBy(*keys).agg(F.min(F.coalesce("best", new)).alias("best")).drop("zone", "cell")
+    return own.where("best is not null").select("a_id", "a_pixel", "best.*")
+
+
 def match_nearest(a: DataFrame, b: DataFrame, radius_deg: float, sky_a: Sky = Sky(), sky_b: Sky = Sky(), strategy: str = "bucketed") -> DataFrame:
     """The association table with each row's nearest partner; ties go to the smaller partner id.
 
@@ -96,18 +152,16 @@ def match_nearest(a: DataFrame, b: DataFrame, radius_deg: float, sky_a: Sky = Sk
     """
     if strategy == "brute":
         met = pairs(a, b, radius_deg, sky_a, sky_b, height=180.0)
-    elif strategy == "bucketed":
-        met = pairs(a, b, radius_deg, sky_a, sky_b)
-    else:
+        best = F.min(F.struct("sep_deg", "b_id", "b_pixel")).alias("best")
+        return _association(met.groupBy("a_id", "a_ra", "a_dec", "a_pixel").agg(best).select("a_id", "a_pixel", "best.*"))
+    if strategy != "bucketed":
         raise ValueError(f"unknown strategy {strategy!r}")
-    best = F.min(F.struct("sep_deg", "b_id", "b_pixel")).alias("best")
-    found = met.groupBy("zone", "cell", "a_id", "a_ra", "a_dec", "a_pixel").agg(best)
-    return _association(found.select("a_id", "a_pixel", "best.*"))
+    return _association(_nearest(a, b, radius_deg, sky_a, sky_b))
 
 
 def nearest_separation(a: DataFrame, b: DataFrame, radius_deg: float, sky_a: Sky = Sky(), sky_b: Sky = Sky()) -> DataFrame:
     """source_id_a and the least separation, in degrees, where it is within the radius."""
-    return pairs(a, b, radius_deg, sky_a, sky_b).groupBy(F.col("a_id").alias("source_id_a")).agg(F.min("sep_deg").alias("sep_deg"))
+    return _nearest(a, b, radius_deg, sky_a, sky_b).groupBy(F.col("a_id").alias("source_id_a")).agg(F.min("sep_deg").alias("sep_deg"))
 
 
 def tiles_that_may_touch(tiles: DataFrame, pixel: str, order: int, partner_order: int, radius_deg: float, out: str) -> DataFrame:
