@@ -48,8 +48,9 @@ def with_pixel(df: DataFrame, ra: str, dec: str, order: int, out: str) -> DataFr
     own = own.withColumns({t["f"]: face.cast("long"), t["x"]: x.cast("long"), t["y"]: y.cast("long")})
     # binary digits read in base 4 stand at every second bit
     spread = lambda k: F.conv(F.bin(c(k)), 4, 10).cast("long")
-    usable = ~F.isnan(c("z")) & ~F.isnan(c("t"))
-    return own.withColumn(out, F.when(usable, c("f") * (n * n) + spread("x") + 2 * spread("y"))).drop(*t.values())
+    usable = c("z").isNotNull() & c("t").isNotNull() & ~F.isnan(c("z")) & ~F.isnan(c("t"))
+    # a pixel that can't be null elsewhere: the optimizer's "is not null" below a join then needs no pixel
+    return own.withColumn(out, F.when(usable, F.coalesce(c("f") * (n * n) + spread("x") + 2 * spread("y"), F.lit(-1)))).drop(*t.values())
 
 
 def ang2pix(ra, dec, order: int) -> np.ndarray:
