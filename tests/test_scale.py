@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from celestile.functions import healpix
 from celestile.operators import crossmatch
+from celestile.sources.lake import Lake
 
 
 def positions(spark, n, seed, first=0):
@@ -49,3 +50,16 @@ def test_a_join_by_pixel_computes_no_pixel_to_tell_whether_it_is_null(spark):
     kept = placed.where("pix is not null")
     filters = [x for x in optimized(kept).split("\n") if "Filter" in x]
     assert kept.count() == 10 and max(map(len, filters)) < 600
+
+
+def test_a_tile_of_many_pairs_is_written_by_many_tasks(spark, tmp_path):
+    own = spark.range(400_000).selectExpr("id AS source_id_a", "id * 7919 % 400000 AS source_id_b", "CAST(id % 1000 AS FLOAT) AS sep_arcsec", "IF(id < 390000, 5L, id % 3) AS healpix_npix_a", "id AS healpix_npix_b")
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "200KB")
+    try:
+        lake = Lake(spark, str(tmp_path))
+        assert lake.write_association(own, "x", 2)["rows"] == 400_000
+    finally:
+        spark.conf.unset(key)
+    assert len(list(tmp_path.glob("crossmatch/x/Norder=2/Npix=5/*.parquet"))) > 3
+    assert lake.association("x", 2).select(own.columns).exceptAll(own).count() == 0
