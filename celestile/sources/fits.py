@@ -1,14 +1,16 @@
 """FITS binary tables, by the public standard: 2880-byte blocks, big-endian columns.
 
-Tables are read whole by Spark's binary source, so they may lie in any store, plain or packed
-by gzip.  The schema is that of the first file; it and the counts of rows come from
-headers alone, of which the driver reads a few blocks a file.
+Tables may lie in any store, plain or packed by gzip.  On a mounted file system tasks read
+shares of them, a number of rows at a time; in other stores Spark's binary source reads them
+whole.  The schema is that of the first file; it and the counts of rows come from headers
+alone, of which the driver reads a few blocks a file.
 """
 
 from __future__ import annotations
 
 import gzip
 import math
+import os
 import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -21,10 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import matching, read_start
+from .files import local_path, matching, mounted, read_start
 
 BLOCK = 2880
 ROWS_AT_ONCE = 1 << 16
+#: Bytes of a file that a task reads at most, and files that it reads in turn.
+SHARE_BYTES = 1 << 25
+FILES_A_TASK = 500
 # Fixed values of the standard: type and Spark type by TFORM letter.
 LETTERS = {"L": ("S1", "boolean"), "B": ("u1", "smallint"), "I": (">i2", "smallint"), "J": (">i4", "int"), "K": (">i8", "bigint"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string")}
 
@@ -130,6 +135,28 @@ def header_units(spark: SparkSession, path: str) -> list[Unit]:
     return list(units_of(lambda at, size: read_start(spark, path, at, size, packed)))
 
 
+def _opened(path: str):
+    """(file, whether it is packed): a file of a mounted file system, unpacked as it is read."""
+    f = open(path, "rb")
+    packed = f.read(2) == b"\x1f\x8b"
+    f.seek(0)
+    return (gzip.open(f), True) if packed else (f, False)
+
+
+def _reads(f) -> Callable[[int, int], bytes]:
+    def read(at: int, size: int) -> bytes:
+        f.seek(at)
+        return f.read(size)
+
+    return read
+
+
+def local_units(path: str) -> list[Unit]:
+    f, _ = _opened(path)
+    with f:
+        return list(units_of(_reads(f)))
+
+
 def fields(unit: Unit) -> list[Field]:
     out = []
     for k in range(1, int(unit.cards.get("TFIELDS", 0)) + 1):
@@ -210,29 +237,59 @@ def read_fits(spark: SparkSession, path: str, hdu: str = "1", with_path: bool =
     schema = spark_schema(fields(choose_units(header_units(spark, found[0]), hdu)[0]))
     out = T.StructType([*schema.fields, *([T.StructField("input_path", T.StringType())] if with_path else [])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(name: str, raw: bytes, unit: Unit) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(out)
+        arrow, columns = to_arrow_schema(out), decode(raw, unit)
+        if list(columns) != schema.names:
+            raise ValueError(f"{name}, unit {unit.number}: columns differ from the first table's")
+        if with_path:
+            columns["input_path"] = pa.array([name] * unit.rows, pa.string())
+        table = pa.table([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+        yield from table.to_batches(max_chunksize=ROWS_AT_ONCE)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, raw = batch.column(0)[i].as_py(), plain(batch.column(1)[i].as_py())
                 for unit in choose_units(units(raw), hdu):
-                    columns = decode(raw, unit)
-                    if list(columns) != schema.names:
-                        raise ValueError(f"{name}, unit {unit.number}: columns differ from the first table's")
-                    if with_path:
-                        columns["input_path"] = pa.array([name] * unit.rows, pa.string())
-                    table = pa.table([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
-                    yield from table.to_batches(max_chunksize=ROWS_AT_ONCE)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, out)
+                    yield from made(name, raw, unit)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, k in (tuple(r.values()) for batch in batches for r in batch.to_pylist()):
+            own = mounted(name)
+            f, packed = _opened(own)
+            with f:
+                if packed and k:
+                    continue
+                last = k == max(0, os.path.getsize(own) - 1) // SHARE_BYTES
+                for unit in choose_units(list(units_of(_reads(f))), hdu):
+                    width = int(unit.cards["NAXIS1"])
+                    # the rows that begin within this share of the file; the last has the rest, so that a file cut short is an error
+                    begin = lambda x, unit=unit, width=max(1, width): min(unit.rows, max(0, -((unit.start - x) // width)))
+                    low, high = 0 if packed or k == 0 else begin(k * SHARE_BYTES), unit.rows if packed or last else begin((k + 1) * SHARE_BYTES)
+                    for at in range(low, high, ROWS_AT_ONCE) or ([low] if k == 0 else []):
+                        n = min(ROWS_AT_ONCE, high - at)
+                        raw = _reads(f)(unit.start + at * width, n * width)
+                        yield from made(name, raw, Unit(unit.cards | {"NAXIS2": n}, 0, n * width, unit.number))
+
+    top, _, last = path.rpartition("/")
+    source = spark.read.format("binaryFile")
+    # the files of a pattern in one folder are listed once, and not each as a folder of its own
+    files = source.option("pathGlobFilter", last).load(top) if set("*?") & set(last) and not set("*?[]{}\\") & set(top) else source.load(path)
+    if local_path(spark, path) is None:
+        return files.select("path", "content").mapInArrow(whole, out)
+    parts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("length") - 1) / SHARE_BYTES)).cast("int"))).alias("k")
+    # by number of files, which are known here; adaptive execution would take their few bytes for one task's work
+    tasks = max(spark.sparkContext.defaultParallelism, -(-len(found) // FILES_A_TASK))
+    return files.select("path", parts).repartition(tasks).mapInArrow(shares, out)
 
 
 def row_count(spark: SparkSession, path: str, hdu: str = "1") -> int:
     """Rows by the headers; no data is read."""
+    read = (lambda p: local_units(mounted(p))) if local_path(spark, path) else (lambda p: header_units(spark, p))
     with ThreadPoolExecutor(16) as pool:
-        return sum(pool.map(lambda p: sum(u.rows for u in choose_units(header_units(spark, p), hdu)), matching(spark, path)))
+        return sum(pool.map(lambda p: sum(u.rows for u in choose_units(read(p), hdu)), matching(spark, path)))
 
 
 def unpacked(df: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import os
 import tarfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ from . import files, fits
 
 #: Extracts in one file (FITS, VOTable) pass through the driver, up to so many rows.
 ONE_FILE_ROWS = 2_000_000
+#: Rows that a task writes as FITS parts, if a part doesn't hold more.
+ROWS_A_TASK = 1 << 17
 
 
 def write_extract(df: DataFrame, path: str, kind: str = "parquet", pixel: str | None = None) -> None:
@@ -123,33 +126,48 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", F.col("length").alias("size"), text.checksum("content").alias("sha256"))
 
 
+class _Sink:
+    """A file object over a function that takes bytes."""
+
+    def __init__(self, write: Callable[[bytes], None]):
+        self.write = write
+
+
 def pack_tile(spark: SparkSession, folder: str, archive: str) -> dict:
-    """A tile's files as one tar with a manifest of their checksums; a tile is of bounded size."""
-    out, listed, top = io.BytesIO(), [], folder.rstrip("/").rsplit("/", 1)[1]
+    """A tile's files as one tar with a manifest of their checksums; they pass through the driver in chunks."""
+    listed, top = [], folder.rstrip("/").rsplit("/", 1)[1]
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).orderBy("path")
-    with tarfile.open(fileobj=out, mode="w") as tar:
-        for r in found.select("path", "content").toLocalIterator():
-            name, raw = r["path"].rpartition(f"/{top}/")[2], bytes(r["content"])
-            listed.append({"name": name, "size": len(raw), "sha256": hashlib.sha256(raw).hexdigest()})
-            entry = tarfile.TarInfo(name)
-            entry.size = len(raw)
-            tar.addfile(entry, io.BytesIO(raw))
+    with files.writing(spark, archive) as out, tarfile.open(fileobj=_Sink(out), mode="w|", bufsize=files.CHUNK) as tar:
+        for r in found.select("path", "length").toLocalIterator():
+            entry = tarfile.TarInfo(r["path"].rpartition(f"/{top}/")[2])
+            entry.size = r["length"]
+            with files.opened(spark, r["path"]) as source:
+                own = files.Hashed(source)
+                tar.addfile(entry, own)
+            listed.append({"name": entry.name, "size": entry.size, "sha256": own.sum.hexdigest()})
         raw = json.dumps({"files": listed}, indent=1).encode()
         entry = tarfile.TarInfo("manifest.json")
         entry.size = len(raw)
         tar.addfile(entry, io.BytesIO(raw))
-    files.write_bytes(spark, archive, out.getvalue())
     return {"files": listed}
 
 
 def verify_tile(spark: SparkSession, archive: str) -> list[str]:
-    """What is wrong with an archive."""
-    raw = bytes(spark.read.format("binaryFile").load(archive).select("content").first()[0])
-    with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
-        own = {m.name: tar.extractfile(m).read() for m in tar.getmembers()}
-    wanted = json.loads(own.pop("manifest.json"))["files"]
+    """What is wrong with an archive; it is read once, in chunks."""
+    own, manifest = {}, b""
+    with files.opened(spark, archive) as source, tarfile.open(fileobj=source, mode="r|", bufsize=files.CHUNK) as tar:
+        for m in tar:
+            content = tar.extractfile(m)
+            if m.name == "manifest.json":
+                manifest = content.read()
+                continue
+            part = files.Hashed(content)
+            while part.read(files.CHUNK):
+                pass
+            own[m.name] = part.sum.hexdigest()
+    wanted = json.loads(manifest)["files"]
     out = [f"{w['name']} is missing" for w in wanted if w["name"] not in own]
-    out += [f"{w['name']} has changed" for w in wanted if w["name"] in own and hashlib.sha256(own[w["name"]]).hexdigest() != w["sha256"]]
+    out += [f"{w['name']} has changed" for w in wanted if own.get(w["name"], w["sha256"]) != w["sha256"]]
     return out + [f"{n} isn't listed" for n in own if n not in {w["name"] for w in wanted}]
 
 
@@ -171,14 +189,15 @@ def _layout(df: DataFrame) -> dict[str, int]:
 def write_fits_parts(df: DataFrame, folder: str, order: list[str], rows_a_part: int = 50_000, resume: bool = False) -> dict:
     """df as FITS files of up to rows_a_part rows each, in ``order``, and a manifest.
 
-    Executors encode parts, the driver writes them one at a time, so no task holds more than a part.
+    Executors encode parts, a task many of them one after the other, and write them where the
+    folder is mounted; else the driver writes them one at a time.  No task holds more than a part.
     With ``resume`` parts that are there stay.  All parts have one layout, so they can be merged.
     ``order`` should tell all rows apart: a part is then the same in every run.
     """
     spark, widths, schema = df.sparkSession, _layout(df), df.schema
     n = df.count()
-    parts = max(1, -(-n // rows_a_part))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(max(1, -(-n // max(rows_a_part, ROWS_A_TASK))), *order).sortWithinPartitions(*order)
+    mounted = files.local_path(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -189,7 +208,10 @@ def write_fits_parts(df: DataFrame, folder: str, order: list[str], rows_a_part:
             name = f"part-{part:06d}-{number:04d}.fits"
             number += 1
             raw = fits.encode(table, widths=widths)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([table.num_rows], pa.int64()), pa.array([raw], pa.binary())], names=["name", "rows", "content"])
+            if mounted and not (resume and os.path.exists(f"{mounted}/{name}")):
+                files.put(f"{mounted}/{name}", raw)
+            own = {"name": [name], "rows": [table.num_rows], "sha256": [hashlib.sha256(raw).hexdigest()], "content": [None if mounted else raw]}
+            return pa.RecordBatch.from_pydict(own, pa.schema([("name", pa.string()), ("rows", pa.int64()), ("sha256", pa.string()), ("content", pa.binary())]))
 
         for batch in batches:
             while batch.num_rows:
@@ -202,12 +224,12 @@ def write_fits_parts(df: DataFrame, folder: str, order: list[str], rows_a_part:
         if held:
             yield close(held)
 
-    listed = []
-    for r in placed.mapInArrow(run, "name string, rows long, content binary").toLocalIterator():
+    made, listed = placed.mapInArrow(run, "name string, rows long, sha256 string, content binary"), []
+    for r in sorted(made.collect()) if mounted else made.toLocalIterator():
         path = f"{folder}/{r['name']}"
-        if not (resume and files.exists(spark, path)):
+        if not mounted and not (resume and files.exists(spark, path)):
             files.write_bytes(spark, path, bytes(r["content"]))
-        listed.append({"name": r["name"], "rows": r["rows"], "sha256": hashlib.sha256(bytes(r["content"])).hexdigest()})
+        listed.append({k: r[k] for k in ("name", "rows", "sha256")})
     if not listed:
         raw = fits.encode(schema_table(schema), widths=widths)
         files.write_bytes(spark, f"{folder}/part-000000-0000.fits", raw)
@@ -228,11 +250,20 @@ def merge_fits_parts(spark: SparkSession, folder: str, path: str) -> int:
     """The parts of a folder as one FITS file, appended part by part; the number of rows."""
     listed = json.loads(files.read_text(spark, f"{folder}/manifest.json"))["parts"]
     total = sum(p["rows"] for p in listed)
-    with files.writing(spark, path) as out:
-        size = 0
+    mounted = files.local_path(spark, folder)
+    with files.writing(spark, path) as write:
+        size, held = 0, bytearray()
+
+        def out(raw: bytes, least: int = files.CHUNK) -> None:
+            held.extend(raw)
+            if len(held) >= least:
+                write(bytes(held))
+                held.clear()
+
         for k, p in enumerate(listed):
-            raw = files.read_start(spark, f"{folder}/{p['name']}", 0, (1 << 31) - 1)
-            unit = fits.choose_units(fits.units(raw), "1")[0]
+            with open(f"{mounted}/{p['name']}", "rb") if mounted else files.opened(spark, f"{folder}/{p['name']}") as part:
+                raw = part.read()
+            unit = next(u for u in fits.units_of(lambda at, n, raw=raw: raw[at : at + n]) if u.is_table)
             if k == 0:
                 head = raw[: unit.start]
                 card = next(i for i in range(fits.BLOCK, len(head), 80) if head[i : i + 8] == b"NAXIS2  ")
@@ -240,7 +271,7 @@ def merge_fits_parts(spark: SparkSession, folder: str, path: str) -> int:
             data = raw[unit.start : unit.start + int(unit.cards["NAXIS1"]) * unit.rows]
             out(data)
             size += len(data)
-        out(b"\0" * (-size % fits.BLOCK))
+        out(b"\0" * (-size % fits.BLOCK), 0)
     return total
 
 
@@ -260,8 +291,10 @@ def fits_differences(df: DataFrame, path: str) -> dict[str, int]:
             return F.coalesce(own.cast(kind), F.lit(float("nan")).cast(kind))
         return own.cast(kind)
 
-    one, other = (x.select(*(form(c, kinds[c]).alias(c) for c in back.columns)) for x in (df, back))
-    return {"missing": one.exceptAll(other).count(), "besides": other.exceptAll(one).count()}
+    one, other = (x.select(*(form(c, kinds[c]).alias(c) for c in back.columns), F.lit(n).alias("_n")) for x, n in ((df, 1), (back, -1)))
+    each = one.unionByName(other).groupBy(*back.columns).agg(F.sum("_n").alias("_n"))
+    found = each.agg(*(F.coalesce(F.sum(F.greatest(F.lit(0), s * F.col("_n"))), F.lit(0)).alias(k) for k, s in (("missing", 1), ("besides", -1)))).first()
+    return found.asDict()
 
 
 def write_registry(reg: DataFrame, tiles: dict[str, DataFrame], folder: str) -> None:

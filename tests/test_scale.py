@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from celestile.functions import healpix
 from celestile.operators import crossmatch
+from celestile.sources import files, fits, writers
 from celestile.sources.lake import Lake
 
 
@@ -63,3 +64,52 @@ def test_a_tile_of_many_pairs_is_written_by_many_tasks(spark, tmp_path):
         spark.conf.unset(key)
     assert len(list(tmp_path.glob("crossmatch/x/Norder=2/Npix=5/*.parquet"))) > 3
     assert lake.association("x", 2).select(own.columns).exceptAll(own).count() == 0
+
+
+def parts_of(spark, folder, n=3000):
+    df = spark.range(n).selectExpr("id", "id / 2D AS x", "concat('t', id) AS t")
+    return df, writers.write_fits_parts(df, str(folder), ["id"], 10)
+
+
+def test_fits_parts_are_written_by_few_tasks_and_not_by_the_driver(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(files, "write_bytes", lambda *x: written.append(x[1]))
+    monkeypatch.setattr(writers.files, "write_text", lambda *x: None)
+    df, made = parts_of(spark, tmp_path / "p")
+    assert written == [] and made["rows"] == 3000 and len({p["name"].split("-")[1] for p in made["parts"]}) == 1
+    assert all(p["rows"] == 10 for p in made["parts"]) and len(list((tmp_path / "p").glob("part-*.fits"))) == 300
+    back = fits.read_fits(spark, f"{tmp_path}/p/*.fits")
+    assert back.exceptAll(df).count() == df.exceptAll(back).count() == 0 and fits.row_count(spark, f"{tmp_path}/p/*.fits") == 3000
+
+
+def test_one_large_fits_file_is_read_by_shares(spark, tmp_path, monkeypatch):
+    df, _ = parts_of(spark, tmp_path / "p", 5000)
+    assert writers.merge_fits_parts(spark, f"{tmp_path}/p", f"{tmp_path}/all.fits") == 5000
+    monkeypatch.setattr(fits, "SHARE_BYTES", 7000)
+    back = fits.read_fits(spark, f"{tmp_path}/all.fits")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert writers.fits_differences(df.where("id > 2").union(df.where("id < 2")), f"{tmp_path}/all.fits") == {"missing": 0, "besides": 1}
+    assert writers.fits_differences(df.union(df.where("id = 4")), f"{tmp_path}/all.fits") == {"missing": 1, "besides": 0}
+    raw = (tmp_path / "all.fits").read_bytes()
+    (tmp_path / "cut.fits").write_bytes(raw[:20000])
+    with pytest.raises(Exception, match="buffer"):
+        fits.read_fits(spark, f"{tmp_path}/cut.fits").count()
+
+
+def test_a_tile_is_packed_and_verified_in_chunks(spark, tmp_path, monkeypatch):
+    import tracemalloc
+
+    (tmp_path / "tile").mkdir()
+    (tmp_path / "tile" / "a.bin").write_bytes(np.random.default_rng(1).bytes(50_000_000))
+    tracemalloc.start()
+    made = writers.pack_tile(spark, f"{tmp_path}/tile", f"{tmp_path}/t.tar")["files"]
+    wrong = writers.verify_tile(spark, f"{tmp_path}/t.tar")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert wrong == [] and [(f["name"], f["size"]) for f in made] == [("a.bin", 50_000_000)] and peak < 40_000_000
+    raw = bytearray((tmp_path / "t.tar").read_bytes())
+    raw[1_000_000] ^= 1
+    (tmp_path / "u.tar").write_bytes(raw)
+    assert writers.verify_tile(spark, f"{tmp_path}/u.tar") == ["a.bin has changed"]
+    monkeypatch.setattr(files, "local_path", lambda *x: None)  # as in a store that isn't mounted
+    assert writers.verify_tile(spark, f"{tmp_path}/u.tar") == ["a.bin has changed"]
