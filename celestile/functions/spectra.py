@@ -129,13 +129,22 @@ def resample(df: DataFrame, wavelength: str, flux: str, ivar: str, mask: str, gr
     """
     at = np.asarray(grid, float)
 
+    def weighted(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Both neighbours by their weights: halfway it is exactly half of each, which a slope isn't."""
+        if len(w) < 2:
+            return np.full(len(at), v[0])
+        j = np.clip(np.searchsorted(w, at, "right") - 1, 0, len(w) - 2)
+        gap = w[j + 1] - w[j]
+        t = np.where(gap > 0, (at - w[j]) / np.where(gap > 0, gap, 1.0), 0.0)
+        return np.where(t == 0, v[j], np.where(t == 1, v[j + 1], (1 - t) * v[j] + t * v[j + 1]))
+
     def run(batches):
         for pdf in batches:
             rows = {flux: [], ivar: [], mask: []}
             for w, f, i, m in zip(pdf[wavelength], pdf[flux], pdf[ivar], pdf[mask], strict=True):
                 w = np.asarray(w, float)
                 out = (at < w[0]) | (at > w[-1]) if len(w) else np.ones(len(at), bool)
-                interp = lambda v, w=w, out=out: np.where(out, 0.0, np.interp(at, w, np.asarray(v, float))) if len(w) else np.zeros(len(at))
+                interp = lambda v, w=w, out=out: np.where(out, 0.0, weighted(w, np.asarray(v, float))) if len(w) else np.zeros(len(at))
                 rows[flux].append(interp(f))
                 rows[ivar].append(interp(i))
                 rows[mask].append(np.where(out, 1, interp(m) > 0).astype(np.int32))
