@@ -26,3 +26,12 @@ def finite(x: Value) -> Column:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once a row, also where ``use`` names it within a loop over an array."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def rounded(x: Value, digits: int) -> Column:
+    """x to so many decimals as SQL engines round doubles: the product by a power of ten, half away from zero, the sign kept at zero.
+
+    Spark's own round goes by the shortest decimal text, which differs at ties, and loses the sign of zero.
+    """
+    shift = F.lit(10.0**digits)
+    return let(col(x).cast("double") * shift, lambda p: F.when(F.abs(p) == F.lit(float("inf")), col(x)).otherwise(F.signum(p) * F.round(F.abs(p), 0) / shift))

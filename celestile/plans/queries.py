@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import healpix, ids, photometry, spectra, sphere, text
+from ..functions.columns import rounded
 from ..operators import counting, crossmatch, dedup, gather, homogenize, lookup, master, predicates, quality
 from ..streaming import live
 from .region import Region, cone_search, select_region, selection_of_ids, selection_of_where
@@ -59,7 +60,7 @@ SHOWN = "source_id_a, source_id_b, round(CAST(CAST(sep * 3600 AS REAL) AS DOUBLE
 
 
 def shown(association: DataFrame) -> DataFrame:
-    return association.select("source_id_a", "source_id_b", F.round(F.col("sep_arcsec").cast("double"), 1).alias("sep_arcsec"))
+    return association.select("source_id_a", "source_id_b", rounded(F.col("sep_arcsec").cast("double"), 1).alias("sep_arcsec"))
 
 
 def nearest(spark: SparkSession, sf_dir: str, radius: float = RADIUS_DEG) -> DataFrame:
@@ -79,7 +80,7 @@ def crossmatch_sky_all(spark, sf_dir):
 @query(f"{PAIRS} SELECT source_id_a, round(min(sep), 5) AS sep_deg FROM near GROUP BY source_id_a")
 def crossmatch_min_separation(spark, sf_dir):
     found = crossmatch.nearest_separation(customer_sky(spark, sf_dir), supplier_sky(spark, sf_dir), RADIUS_DEG, SKY_A, SKY_B)
-    return found.select("source_id_a", F.round("sep_deg", 5).alias("sep_deg"))
+    return found.select("source_id_a", rounded("sep_deg", 5).alias("sep_deg"))
 
 
 @query(f"{PAIRS} SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT source_id_a FROM near)")
@@ -195,7 +196,7 @@ ACOS = "degrees(acos(least(CAST(1 AS DOUBLE), sin(radians(dec)) * sin(radians(CA
 @query(f"WITH {CUSTOMER} SELECT c_custkey, round({ACOS}, 6) AS sep_deg FROM c WHERE {ACOS} <= 20.05")
 def cone_search_rows(spark, sf_dir):
     tiled = healpix.with_pixel(customer_sky(spark, sf_dir), "ra", "dec", 5, "pix")
-    return cone_search(tiled, 100.0, 12.5, 20.05, pixel="pix", order=5).select("c_custkey", F.round("sep_deg", 6).alias("sep_deg"))
+    return cone_search(tiled, 100.0, 12.5, 20.05, pixel="pix", order=5).select("c_custkey", rounded("sep_deg", 6).alias("sep_deg"))
 
 
 @query(f"WITH {CUSTOMER} SELECT c_custkey FROM c WHERE ra BETWEEN 10 AND 50.5 AND dec BETWEEN -20 AND 33.3")
@@ -220,7 +221,7 @@ def valid_sky_rows(spark, sf_dir):
 def separation_forms(spark, sf_dir):
     met = customer_sky(spark, sf_dir).alias("c").join(supplier_sky(spark, sf_dir).alias("s"), F.col("s_suppkey") == F.col("c_custkey"))
     at = [F.col(x) for x in ("c.ra", "c.dec", "s.ra", "s.dec")]
-    return met.select("c_custkey", F.round(sphere.separation(*at), 6).alias("haversine"), F.round(sphere.separation_acos(*at), 5).alias("by_acos"))
+    return met.select("c_custkey", rounded(sphere.separation(*at), 6).alias("haversine"), rounded(sphere.separation_acos(*at), 5).alias("by_acos"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")
@@ -443,26 +444,26 @@ def dirty(spark, sf_dir):
 def homogenize_steps(spark, sf_dir):
     rules = [rule("f", "shifted", {"kind": "mag_offset", "delta": 2.699}), rule("f", "scaled", {"kind": "scale", "factor": 0.001}, error="e"), rule("f", "inverse", {"kind": "inverse"}), rule("f", "no_three", {"kind": "null_if_sentinel", "values": (-3.0,)})]
     out, _ = homogenize.apply_rules(dirty(spark, sf_dir), rules)
-    return out.select("id", F.round("shifted", 6).alias("shifted"), F.round("scaled", 9).alias("scaled"), F.round("inverse", 6).alias("inverse"), "no_three", F.round("scaled_err", 9).alias("scaled_err"))
+    return out.select("id", rounded("shifted", 6).alias("shifted"), rounded("scaled", 9).alias("scaled"), rounded("inverse", 6).alias("inverse"), "no_three", rounded("scaled_err", 9).alias("scaled_err"))
 
 
 @query(f"WITH {DIRTY}, {CLEAN} SELECT id, round(CASE WHEN f > 0 THEN -2.5 * log10(f) + 22.5 END, 6) AS phot_ab_g, round(CASE WHEN f > 0 THEN 1.0857362047461345 * e / f END, 6) AS phot_ab_g_err FROM q")
 def homogenize_flux_to_ab(spark, sf_dir):
     out, _ = homogenize.apply_rules(dirty(spark, sf_dir), [rule("f", "phot_ab_g", {"kind": "flux_to_ab", "zero_point": 22.5}, error="e")])
-    return out.select("id", F.round("phot_ab_g", 6).alias("phot_ab_g"), F.round("phot_ab_g_err", 6).alias("phot_ab_g_err"))
+    return out.select("id", rounded("phot_ab_g", 6).alias("phot_ab_g"), rounded("phot_ab_g_err", 6).alias("phot_ab_g_err"))
 
 
 @query(f"WITH {DIRTY}, {CLEAN} SELECT id, round(CASE WHEN f > 0 THEN -2.5 * log10(f * 3.5) + 23.9 + 0.02 END, 6) AS m, round(CASE WHEN f > 0 THEN 1.0857362047461345 * (e * 3.5) / (f * 3.5) END, 6) AS m_err FROM q")
 def homogenize_chain(spark, sf_dir):
     steps = ({"kind": "scale", "factor": 3.5}, {"kind": "flux_to_ab", "zero_point": 23.9}, {"kind": "mag_offset", "delta": 0.02})
     out, _ = homogenize.apply_rules(dirty(spark, sf_dir), [rule("f", "m", *steps, error="e")])
-    return out.select("id", F.round("m", 6).alias("m"), F.round("m_err", 6).alias("m_err"))
+    return out.select("id", rounded("m", 6).alias("m"), rounded("m_err", 6).alias("m_err"))
 
 
 @query(f"WITH {DIRTY}, {CLEAN} SELECT id, round(raw + 0.5, 6) AS offset_view, round(3631 * pow(10, -0.4 * f), 4) AS vega FROM q")
 def homogenize_sql_view(spark, sf_dir):
     out, _ = homogenize.apply_rules(dirty(spark, sf_dir), [rule("f", "offset_view", {"kind": "mag_offset", "delta": 0.5})], sql_form=True)
-    return out.select("id", F.round("offset_view", 6).alias("offset_view"), F.round(photometry.vega_flux(photometry.clean("f"), 3631), 4).alias("vega"))
+    return out.select("id", rounded("offset_view", 6).alias("offset_view"), rounded(photometry.vega_flux(photometry.clean("f"), 3631), 4).alias("vega"))
 
 
 @query("WITH x AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_retailprice AS DOUBLE) / 100 END AS g, CAST(p_size AS DOUBLE) AS r, CAST(p_size AS DOUBLE) / 100 AS r_err FROM part) SELECT id, 'g' AS band, CAST(4770 AS DOUBLE) AS lambda_eff, round(g, 6) AS mag, CAST(NULL AS DOUBLE) AS err FROM x WHERE g IS NOT NULL UNION ALL SELECT id, 'r', 6231, round(r, 6), round(r_err, 6) FROM x")
@@ -470,7 +471,7 @@ def sed_unpivot(spark, sf_dir):
     own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_retailprice AS DOUBLE) / 100D END").alias("phot_ab_g"), F.expr("CAST(p_size AS DOUBLE)").alias("phot_ab_r"), F.expr("CAST(p_size AS DOUBLE) / 100D").alias("phot_ab_r_err"), F.lit(1.0).alias("phot_ab_unknown"))
     bands = spark.createDataFrame([("g", 4770.0), ("r", 6231.0), ("i", 7625.0)], "band string, lambda_eff double")
     points = homogenize.sed_points(own, bands, "id")
-    return points.select("id", "band", "lambda_eff", F.round("mag", 6).alias("mag"), F.round("err", 6).alias("err"))
+    return points.select("id", "band", "lambda_eff", rounded("mag", 6).alias("mag"), rounded("err", 6).alias("err"))
 
 
 def spectrum_rows(spark, sf_dir):
@@ -482,7 +483,7 @@ SPECTRA = "e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DO
 
 
 def total(c, digits=6):
-    return F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), digits)
+    return rounded(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), digits)
 
 
 @query(f"WITH {SPECTRA} SELECT vec_id, round(list_sum(list_transform(flux, lambda x: x * 2.5)), 6) AS flux_sum, round(list_sum(list_transform(ivar, lambda x: CASE WHEN x > 0 THEN x / 6.25 ELSE CAST(0 AS DOUBLE) END)), 6) AS ivar_sum FROM s")
@@ -503,13 +504,13 @@ def spectra_wavelengths(spark, sf_dir):
     own = spectrum_rows(spark, sf_dir)
     grid = spectra.linear_wavelengths(F.lit(5), F.lit(3600.0), F.lit(100.0))
     logs = spectra.linear_wavelengths(F.lit(4), F.lit(3.5), F.lit(0.001), log=True)
-    return own.select("vec_id", F.transform(spectra.rest_frame(grid, "z"), lambda x: F.round(x, 6)).alias("rest"), F.transform(logs, lambda x: F.round(x, 6)).alias("log_grid"))
+    return own.select("vec_id", F.transform(spectra.rest_frame(grid, "z"), lambda x: rounded(x, 6)).alias("rest"), F.transform(logs, lambda x: rounded(x, 6)).alias("log_grid"))
 
 
 @query(f"WITH {SPECTRA}, g AS (SELECT *, list_median(list_transform(list_filter(list_zip(flux, ivar, mask), lambda p: p[2] > 0 AND p[3] = 0), lambda p: p[1])) AS m FROM s) SELECT vec_id, round(CASE WHEN m <> 0 THEN m ELSE 1 END, 6) AS norm, round(list_sum(list_transform(flux, lambda x: x / (CASE WHEN m <> 0 THEN m ELSE 1 END))), 3) AS flux_sum, round(list_sum(list_transform(flux, lambda x: ln(1 + greatest(x, 0)))), 5) AS log_sum FROM g")
 def spectra_median_normalise(spark, sf_dir):
     own = spectrum_rows(spark, sf_dir).withColumn("norm", spectra.good_median("flux", "ivar", "mask"))
-    return own.select("vec_id", F.round("norm", 6).alias("norm"), total(spectra.normalised("flux", "ivar", "mask")["flux"], 3).alias("flux_sum"), total(spectra.log_flux("flux"), 5).alias("log_sum"))
+    return own.select("vec_id", rounded("norm", 6).alias("norm"), total(spectra.normalised("flux", "ivar", "mask")["flux"], 3).alias("flux_sum"), total(spectra.log_flux("flux"), 5).alias("log_sum"))
 
 
 @query(f"WITH {SPECTRA} SELECT vec_id, CAST(70 AS INTEGER) AS n, flux[1:3] AS head, round(list_sum(list_transform(list_zip(ivar, mask), lambda p: CASE WHEN p[2] = 0 THEN p[1] ELSE CAST(0 AS DOUBLE) END)), 6) AS ivar_sum, round(list_sum(list_transform(list_filter(list_zip(flux, mask), lambda p: p[2] = 0), lambda p: p[1])), 6) AS flux_sum FROM s")
@@ -525,20 +526,20 @@ def spectra_resolution(spark, sf_dir):
     n = F.size("flux")
     bands = F.array(*(F.array_repeat(F.lit(v), n) for v in (0.25, 0.5, 0.25)))
     out = own.withColumn("s", spectra.resolution_applied("flux", bands, [-1, 0, 1]))
-    return out.select("vec_id", F.transform(F.slice("s", 1, 8), lambda x: F.round(x, 6)).alias("smooth"), total("s", 5).alias("total"))
+    return out.select("vec_id", F.transform(F.slice("s", 1, 8), lambda x: rounded(x, 6)).alias("smooth"), total("s", 5).alias("total"))
 
 
 @query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings), m AS (SELECT *, list_median(f) AS med FROM e), d AS (SELECT *, 1.4826 * list_median(list_transform(f, lambda x: abs(x - med))) AS mad FROM m), k AS (SELECT *, list_filter(f, lambda x: abs(x - med) <= 1.5 * mad) AS kept FROM d) SELECT vec_id, round(list_min(kept) - 0.05 * (list_max(kept) - list_min(kept)), 6) AS low, round(list_max(kept) + 0.05 * (list_max(kept) - list_min(kept)), 6) AS high FROM k")
 def spectra_clip_limits(spark, sf_dir):
     own = spectrum_rows(spark, sf_dir).withColumn("l", spectra.mad_limits("flux", 1.5))
-    return own.select("vec_id", F.round("l.low", 6).alias("low"), F.round("l.high", 6).alias("high"))
+    return own.select("vec_id", rounded("l.low", 6).alias("low"), rounded("l.high", 6).alias("high"))
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x, i: round(CAST(x AS DOUBLE) * CASE (i - 1) // 16 WHEN 0 THEN 2.0 WHEN 1 THEN 0.5 ELSE 3.0 END, 6)) AS image FROM embeddings")
 def cutout_band_scale(spark, sf_dir):
     own = spectrum_rows(spark, sf_dir).select("vec_id", F.col("flux").alias("image"))
     out = homogenize.homogenize_cutouts(own, [2.0, 0.5], 16, default=3.0)
-    return out.select("vec_id", F.transform("image", lambda x: F.round(x, 6)).alias("image"))
+    return out.select("vec_id", F.transform("image", lambda x: rounded(x, 6)).alias("image"))
 
 
 @query("WITH a AS (SELECT vec_id, -vec_id AS pos FROM embeddings UNION ALL SELECT vec_id, vec_id + 1000000000 FROM embeddings) SELECT a.pos, a.vec_id, e.label FROM a JOIN embeddings e ON e.vec_id = a.vec_id ORDER BY a.pos")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import healpix, ids, spectra, sphere
 from ..functions import sql as sql_functions
+from ..functions.columns import rounded
 from ..operators import arrays, counting, crossmatch, dedup, gather, homogenize, lookup, master, predicates, quality
 from ..sources import files, fits, readers, writers
 from ..sources.bandpasses import Bandpasses
@@ -56,7 +57,7 @@ def read_delimited_sniffed(spark, sf_dir):
 def read_fits_extract(spark, sf_dir):
     path = f"{files.scratch(spark)}/c.fits"
     writers.write_extract(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long"), F.col("c_acctbal").cast("double").alias("bal"), "c_name"), path, "fits")
-    return readers.read_table(spark, path).select("c_custkey", F.round("bal", 2).alias("bal"), "c_name")
+    return readers.read_table(spark, path).select("c_custkey", rounded("bal", 2).alias("bal"), "c_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer")
@@ -74,7 +75,7 @@ def orders_in_parts(spark, sf_dir) -> str:
 
 @query("SELECT o_orderkey, round(CAST(o_totalprice AS DOUBLE), 2) AS price, o_orderstatus FROM orders")
 def fits_parts_stacked(spark, sf_dir):
-    return fits.read_fits(spark, f"{orders_in_parts(spark, sf_dir)}/*.fits").select("o_orderkey", F.round("price", 2).alias("price"), "o_orderstatus")
+    return fits.read_fits(spark, f"{orders_in_parts(spark, sf_dir)}/*.fits").select("o_orderkey", rounded("price", 2).alias("price"), "o_orderstatus")
 
 
 @query("SELECT count(*) AS header_rows, count(*) AS merged_rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS besides FROM orders")
@@ -228,7 +229,7 @@ def extract_csv(spark, sf_dir):
     path = f"{files.scratch(spark)}/x.csv"
     wanted = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey").distinct()
     writers.write_extract(lookup.by_ids(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price")), wanted, "o_orderkey"), path, "csv")
-    return readers.read_delimited(spark, path, ",").select(F.col("o_orderkey").cast("long"), F.round(F.col("price").cast("double"), 2).alias("price"))
+    return readers.read_delimited(spark, path, ",").select(F.col("o_orderkey").cast("long"), rounded(F.col("price").cast("double"), 2).alias("price"))
 
 
 @query(f"{PLACED} SELECT pix AS npix, count(*) AS n FROM placed GROUP BY 1")
@@ -406,13 +407,13 @@ UNIT = "acos(greatest(-1.0, least(1.0, cos(radians(c.dec)) * cos(radians(c.ra))
 def separation_of_unit_vectors(spark, sf_dir):
     met = customer_sky(spark, sf_dir).alias("c").join(supplier_sky(spark, sf_dir).alias("s"), F.col("s_suppkey") == F.col("c_custkey"))
     sep = sphere.separation_dot("c.ra", "c.dec", "s.ra", "s.dec")
-    return met.select("c_custkey", F.round(sep, 5).alias("by_dot"), F.round(sphere.arcsec(sep), 1).alias("arcsec"))
+    return met.select("c_custkey", rounded(sep, 5).alias("by_dot"), rounded(sphere.arcsec(sep), 1).alias("arcsec"))
 
 
 @query("SELECT o_orderkey, round((CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END) * (o_orderkey % 90 + (o_custkey % 60) / 60 + 30 / 3600), 8) AS deg FROM orders")
 def sexagesimal_angles(spark, sf_dir):
     text = F.format_string("%s%d:%d 30.0", F.expr("IF(o_orderkey % 2 = 0, '-', '+')"), F.expr("o_orderkey % 90"), F.expr("o_custkey % 60"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(sphere.sexagesimal(text), 8).alias("deg"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", rounded(sphere.sexagesimal(text), 8).alias("deg"))
 
 
 @query(f"{PLACED} SELECT c_custkey, pix, round({sep_sql('a', 'b')}, 5) AS sep, pix >> 2 AS parent FROM (SELECT c_custkey, pix, {{'ra': ra, 'dec': dec}} AS a, {{'ra': CAST(100 AS DOUBLE), 'dec': CAST(20 AS DOUBLE)}} AS b FROM placed)")
@@ -475,7 +476,7 @@ def homogenize_inverse_error(spark, sf_dir):
         {"source": "f", "target": "c", "error": "e", "steps": [{"type": "scale", "factor": -2}, {"type": "inverse"}]},
     )
     out = homogenize.homogenize_product(measured(spark, sf_dir), [own])
-    return out.select("id", *(F.round(c, 6).alias(c) for c in ("i", "i_err", "s", "s_err", "c", "c_err")))
+    return out.select("id", *(rounded(c, 6).alias(c) for c in ("i", "i_err", "s", "s_err", "c", "c_err")))
 
 
 @query(f"WITH {ERRORS} SELECT id, round(CASE WHEN f > 0 THEN -2.5 * log10(f * 2) + 22.5 END, 6) AS m, round(f + 0.25, 6) AS o, round(1 / f, 6) AS i FROM p")
@@ -487,7 +488,7 @@ def homogenize_view_text(spark, sf_dir):
         {"source": "f", "target": "o", "steps": {"type": "mag_offset", "delta": 0.25}}, {"source": "f", "target": "i", "steps": [{"type": "null_if_sentinel", "values": [-1]}, {"type": "inverse"}]},
     )
     out = spark.sql(homogenize.view_sql("measured_lines", homogenize.view_expressions(own.rules)))
-    return out.select("id", *(F.round(c, 6).alias(c) for c in ("m", "o", "i")))
+    return out.select("id", *(rounded(c, 6).alias(c) for c in ("m", "o", "i")))
 
 
 @query(f"WITH {ERRORS} SELECT id, round(1.0857362047461345 * (e * 3) / (f * 2 * 3) + 0.1, 6) AS m_err, round(1 / e, 6) AS i_err FROM p")
@@ -497,7 +498,7 @@ def homogenize_explicit_error(spark, sf_dir):
         {"source": "f", "target": "i", "error": "e", "steps": [{"type": "inverse"}], "error_steps": [{"type": "inverse"}]},
     )
     out = homogenize.homogenize_product(measured(spark, sf_dir), [own])
-    return out.select("id", F.round("m_err", 6).alias("m_err"), F.round("i_err", 6).alias("i_err"))
+    return out.select("id", rounded("m_err", 6).alias("m_err"), rounded("i_err", 6).alias("i_err"))
 
 
 @query(f"WITH {CUSTOMER} SELECT c_custkey AS _source_id, ra, dec, round(CAST(c_acctbal AS DOUBLE), 4) AS native, round(CAST(c_acctbal AS DOUBLE) * 0.5, 4) AS half FROM c")
@@ -506,7 +507,7 @@ def homogenize_catalog_columns(spark, sf_dir):
     own = customer_sky(spark, sf_dir).select(F.col("c_custkey").alias("_source_id"), "ra", "dec", F.col("c_acctbal").alias("native"))
     recipe = recipe_of({"source": "native", "target": "half", "steps": [{"type": "scale", "factor": 0.5}]}, {"source": "absent", "target": "x", "steps": [{"type": "identity"}]})
     out = homogenize.homogenize_catalog(own, recipe, passthrough=["native"])
-    return out.select("_source_id", "ra", "dec", F.round("native", 4).alias("native"), F.round("half", 4).alias("half"))
+    return out.select("_source_id", "ra", "dec", rounded("native", 4).alias("native"), rounded("half", 4).alias("half"))
 
 
 @query("SELECT p_partkey AS id, band, lambda_eff, mag FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS phot_ab_w1, CAST(p_retailprice AS DOUBLE) AS phot_ab_g FROM part) UNPIVOT (mag FOR name IN (phot_ab_w1, phot_ab_g)) JOIN (VALUES ('phot_ab_w1', 'w1', 33680.0::DOUBLE), ('phot_ab_g', 'g', 4810.0::DOUBLE)) AS b(name, band, lambda_eff) USING (name)")
@@ -515,7 +516,7 @@ def sed_by_bandpass_registry(spark, sf_dir):
     path = f"{files.scratch(spark)}/bandpass.json"
     files.write_text(spark, path, json.dumps({"bands": {"phot_ab_w1": {"lambda_eff_um": 3.368, "fwhm_um": 0.66}, "phot_ab_g": {"lambda_eff_um": 0.481}}}))
     own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("phot_ab_w1"), F.col("p_retailprice").cast("double").alias("phot_ab_g"), F.lit(1.0).alias("phot_ab_unknown"))
-    return homogenize.sed_points(own, Bandpasses.load(spark, path).frame("phot_ab_"), "id").select("id", "band", F.round("lambda_eff", 6).alias("lambda_eff"), "mag")
+    return homogenize.sed_points(own, Bandpasses.load(spark, path).frame("phot_ab_"), "id").select("id", "band", rounded("lambda_eff", 6).alias("lambda_eff"), "mag")
 
 
 @query(f"WITH {SPECTRA}, v AS (SELECT vec_id, list_transform(flux, lambda x: CASE WHEN x > 0 THEN CAST(1 / x AS REAL) ELSE CAST(0 AS REAL) END) AS i FROM s) SELECT vec_id, CAST(80 AS INTEGER) AS n, round(list_sum(list_transform(i, lambda x: CAST(x AS DOUBLE))), 4) AS ivar_sum, CAST(16 AS INTEGER) AS filled FROM v")
@@ -531,14 +532,14 @@ def spectra_resampled(spark, sf_dir):
     """Flux halfway between pixels; beyond the ends nothing."""
     own = spectrum_rows(spark, sf_dir).select("vec_id", "flux", "ivar", F.transform("flux", lambda x: F.lit(0)).alias("mask"), F.transform("flux", lambda x, i: i.cast("double")).alias("w"))
     out = spectra.resample(own, "w", "flux", "ivar", "mask", [-1.0, 0.5, 1.5, 2.5, 3.5, 4.5, 1e6])
-    return out.select("vec_id", F.transform(F.slice("flux", 2, 5), lambda x: F.round(x, 6)).alias("mid"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("outside"))
+    return out.select("vec_id", F.transform(F.slice("flux", 2, 5), lambda x: rounded(x, 6)).alias("mid"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("outside"))
 
 
 @query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings) SELECT vec_id, list_transform([0, 0, 0, 0, f[1], f[2], 0, f[9], f[10]], lambda x: round(CAST(x AS DOUBLE), 6)) AS cut FROM e")
 def cutout_stamp(spark, sf_dir):
     """A stamp at the corner of an 8 x 8 image; what lies outside is filled."""
     own = spectrum_rows(spark, sf_dir).select("vec_id", "flux", F.lit(0).alias("x"), F.lit(0).alias("y"))
-    return spectra.stamp(own, "flux", (8, 8), "x", "y", 3, "cut", fill=0.0).select("vec_id", F.transform("cut", lambda v: F.round(v, 6)).alias("cut"))
+    return spectra.stamp(own, "flux", (8, 8), "x", "y", 3, "cut", fill=0.0).select("vec_id", F.transform("cut", lambda v: rounded(v, 6)).alias("cut"))
 
 
 @query("SELECT o_orderkey, CAST(CAST(o_custkey % 100 AS REAL) / 8 AS DOUBLE) AS z, o_orderstatus AS instr, concat('f', o_orderkey, '.fits') AS source_file FROM orders")
@@ -554,7 +555,7 @@ def pixel_positions(spark, sf_dir):
     """The sky position of a pixel five above the centre of a cutout, by its packed coordinates."""
     wcs = {"crval1": F.col("ra"), "crval2": F.col("dec"), "crpix1": F.lit(8.0), "crpix2": F.lit(8.0), "cd1_1": F.lit(-0.01), "cd2_2": F.lit(0.01), "naxis1": F.lit(16), "naxis2": F.lit(16)}
     own = customer_sky(spark, sf_dir).withColumn("w", arrays.unpacked_record(arrays.packed_record(wcs, arrays.WCS), arrays.WCS))
-    return own.select("c_custkey", F.round(arrays.pixel_to_sky("w", 8.0, 13.0)["dec"], 6).alias("up"))
+    return own.select("c_custkey", rounded(arrays.pixel_to_sky("w", 8.0, 13.0)["dec"], 6).alias("up"))
 
 
 @query("SELECT count(*) AS rows, CAST(sum(CASE WHEN length(c_name) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS named, 'c_custkey:bigint,size:bigint,price:double,tags:array<bigint>' AS types FROM customer")
